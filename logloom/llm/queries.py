@@ -1,10 +1,11 @@
 """The numbered queries and their SQL."""
 
-from . import langid, simhash, url_filter
+from . import langid, ppm, simhash, url_filter
 
 
 def queries():
     return {
+        "op1_ppm_score": ppm.op1,
         "op2_simhash": simhash.op2,
         "op5_language_id": langid.op5,
         "op10_url_filters": url_filter.op10,
