@@ -117,3 +117,24 @@ def bloom_has(bloom: np.ndarray, h: np.ndarray, bits: int = BLOOM_BITS) -> np.nd
 def utf8(texts: pd.Series) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
+
+
+def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among `keys`, the other rows); keys has the one column `key`.
+
+    So that few rows, not all, are shuffled to an exact join. The filter has a fixed size.
+    """
+    bloom = df.sparkSession.sparkContext.broadcast(build_bloom(keys.select(F.xxhash64(key).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(bloom.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    m = maybe(F.xxhash64(key))
+    return df.where(~m), df.where(m)
+
+
+def drop_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df without the rows whose key is among `keys`; null keys stay."""
+    rest, maybe = split_by_bloom(df, key, keys)
+    return rest.union(maybe.join(keys, key, "left_anti").select(*df.columns))

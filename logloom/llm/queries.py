@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import langid, ppm, simhash, url_filter
+from . import decontam, langid, ppm, simhash, url_filter
 
 
 def queries():
@@ -8,9 +8,10 @@ def queries():
         "op1_ppm_score": ppm.op1,
         "op2_simhash": simhash.op2,
         "op5_language_id": langid.op5,
+        "op8_decontamination": decontam.op8,
         "op10_url_filters": url_filter.op10,
     }
 
 
 def oracle_sql():
-    return {"op10_url_filters": url_filter.OP10_SQL}
+    return {"op8_decontamination": decontam.OP8_SQL, "op10_url_filters": url_filter.OP10_SQL}
