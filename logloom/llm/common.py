@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: cuts its lineage, and what uses it twice computes it once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    path = f"{top.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of a value as text, modulo m; null for null."""
     c = F.col(col) if isinstance(col, str) else col

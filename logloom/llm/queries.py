@@ -1,12 +1,13 @@
 """The numbered queries and their SQL."""
 
-from . import decontam, langid, ppm, simhash, url_filter
+from . import decontam, langid, pii, ppm, simhash, url_filter
 
 
 def queries():
     return {
         "op1_ppm_score": ppm.op1,
         "op2_simhash": simhash.op2,
+        "op3_pii": pii.op3,
         "op5_language_id": langid.op5,
         "op8_decontamination": decontam.op8,
         "op10_url_filters": url_filter.op10,
