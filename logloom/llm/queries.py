@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import decontam, langid, pii, ppm, simhash, url_filter
+from . import decontam, langid, pii, ppm, simhash, toxicity, url_filter
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_ppm_score": ppm.op1,
         "op2_simhash": simhash.op2,
         "op3_pii": pii.op3,
+        "op4_toxicity": toxicity.op4,
         "op5_language_id": langid.op5,
         "op8_decontamination": decontam.op8,
         "op10_url_filters": url_filter.op10,
