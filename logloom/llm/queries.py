@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import decontam, html_extract, langid, pii, ppm, simhash, toxicity, url_filter
+from . import decontam, html_extract, langid, pieces, pii, ppm, simhash, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_pii": pii.op3,
         "op4_toxicity": toxicity.op4,
         "op5_language_id": langid.op5,
+        "op6_sentencepiece": pieces.op6,
         "op8_decontamination": decontam.op8,
         "op9_html": html_extract.op9,
         "op10_url_filters": url_filter.op10,
