@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import decontam, html_extract, langid, pieces, pii, ppm, simhash, toxicity, url_filter
+from . import decontam, html_extract, langid, media, pieces, pii, ppm, simhash, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_toxicity": toxicity.op4,
         "op5_language_id": langid.op5,
         "op6_sentencepiece": pieces.op6,
+        "op7_media": media.op7,
         "op8_decontamination": decontam.op8,
         "op9_html": html_extract.op9,
         "op10_url_filters": url_filter.op10,
