@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -65,29 +67,36 @@ _SIZE = np.array([int(i).bit_length() for i in range(2048)])
 
 
 def _pack(val: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (lanes, tokens) of at most 24 bits each, laid end to end in each lane and filled up with ones, as stuffed
-    bytes with a restart marker after each lane; the start of each lane in them."""
+    """Codes (lanes, tokens) of at most 12 bits each, laid end to end in each lane and filled up with ones, as bytes; each lane's size."""
+    if val.shape[1] % 2:
+        val, bits = np.pad(val, ((0, 0), (0, 1))), np.pad(bits, ((0, 0), (0, 1)))
+    val, bits = val[:, ::2] << bits[:, 1::2] | val[:, 1::2], bits[:, ::2] + bits[:, 1::2]
     ends = np.cumsum(bits, axis=1)
     size = (ends[:, -1] + 7) >> 3
     at = np.cumsum(size) - size
     pos = (ends - bits) + (at << 3)[:, None]
     fill = (size << 3) - ends[:, -1]
-    word = val << (32 - bits - (pos & 7))
+    word = (val << (32 - bits - (pos & 7))).ravel()
     first, total = (pos >> 3).ravel(), int(size.sum())
     out = np.zeros(total + 4)
     for k in range(4):
-        out += np.bincount(first + k, weights=((word >> (24 - 8 * k)) & 255).ravel(), minlength=total + 4)[: total + 4]
+        out += np.bincount(first + k, weights=(word >> (24 - 8 * k)) & 255, minlength=total + 4)[: total + 4]
     out = out[:total].astype(np.uint8)
     out[at + size - 1] |= ((1 << fill) - 1).astype(np.uint8)
+    return out, size
+
+
+def _marked(out: np.ndarray, size: np.ndarray, turn: np.ndarray) -> tuple[bytes, list[int]]:
+    """The lanes' bytes stuffed, with a restart marker, numbered by the lane's turn in its scan, after each lane; the start of each lane, and the end."""
+    at, total = np.cumsum(size) - size, len(out)
     ff = out == 255
     before = np.cumsum(ff) - ff
-    lane = np.repeat(np.arange(len(size)), size)
-    to = np.arange(total) + before + 2 * lane
-    res = np.zeros(total + int(ff.sum()) + 2 * len(size), np.uint8)
-    res[to] = out
     starts = at + before[at] + 2 * np.arange(len(size))
-    res[np.append(starts[1:], len(res)) - 2] = 255
-    return res, starts
+    res = np.zeros(total + int(ff.sum()) + 2 * len(size), np.uint8)
+    res[np.arange(total) + before + 2 * np.repeat(np.arange(len(size)), size)] = out
+    ends = np.append(starts[1:], len(res))
+    res[ends - 2], res[ends - 1] = 255, 0xD0 + turn % 8
+    return res.tobytes(), [*starts.tolist(), len(res)]
 
 
 def _segment(code: int, body: bytes) -> bytes:
@@ -98,6 +107,11 @@ def _table_body(kind: int, symbols: dict[int, list[int]]) -> bytes:
     return bytes([kind, *(len(symbols.get(n, ())) for n in range(1, 17)), *(s for n in sorted(symbols) for s in symbols[n])])
 
 
+@lru_cache(256)
+def _scan_head(comp: int, first: int, last: int, before: int, left: int) -> bytes:
+    return _segment(_SOS, bytes([1, comp, 0, first, last, before << 4 | left]))
+
+
 _TABLES = _segment(_DQT, bytes([0] + [1] * 64)) + _segment(_DHT, _table_body(0x00, _DC_SYMBOLS) + _table_body(0x10, _AC_SYMBOLS)) + _segment(_DRI, b"\x00\x01")
 
 
@@ -113,25 +127,29 @@ def write(payloads: list[bytes]) -> list[bytes]:
     shapes = [_geometry(len(p)) for p in payloads]
     blocks = [6 * w * h for _, w, h in shapes]
     at = np.cumsum(blocks) - blocks
-    coef = np.zeros((sum(blocks), BLOCK), np.int64)
+    coef = np.zeros((sum(blocks), BLOCK), np.int32)
     for p, a, (n, _, _) in zip(payloads, at, shapes, strict=True):
         coef[a : a + n] = np.frombuffer(p, np.uint8).reshape(-1, BLOCK)
     coef += _ADD
+    scan_sizes = np.array([i * j * w * h for _, w, h in shapes for _, i, j in _SAMPLING])
+    turn = np.arange(len(coef)) - np.repeat(np.cumsum(scan_sizes) - scan_sizes, scan_sizes)
     dc_code, dc_len = _codes(_DC_SYMBOLS)
     ac_code, ac_len = _codes(_AC_SYMBOLS)
     streams = []
     for first, last, before, left in SCANS:
         c = coef[:, first : last + 1]
         if before:  # one more bit of each coefficient, after an end of band where it is no DC scan
-            val, bits = c & 1, np.ones_like(c)
-            if first:
-                val, bits = np.concatenate([np.full((len(c), 1), ac_code[0]), val], 1), np.concatenate([np.full((len(c), 1), ac_len[0]), bits], 1)
+            head = int(ac_len[0]) if first else 0
+            bits = np.ones((len(c), -(-(head + c.shape[1]) // 8) * 8), np.uint8)
+            bits[:, :head] = [int(ac_code[0]) >> (head - 1 - i) & 1 for i in range(head)]
+            bits[:, head : head + c.shape[1]] = c & 1
+            out = np.packbits(bits, axis=1)
+            streams.append(_marked(out.ravel(), np.full(len(out), out.shape[1]), turn))
         else:
             v = c >> left
             s = _SIZE[v]
             code, length = (ac_code, ac_len) if first else (dc_code, dc_len)
-            val, bits = code[s] << s | v, length[s] + s
-        streams.append(_pack(val, bits))
+            streams.append(_marked(*_pack(code[s] << s | v, length[s] + s), turn))
     out = []
     for p, a, (n, w, h) in zip(payloads, at, shapes, strict=True):
         frame = b"\x08" + (16 * h).to_bytes(2, "big") + (16 * w).to_bytes(2, "big") + bytes([3] + [x for c, i, j in _SAMPLING for x in (c, i << 4 | j, 0)])
@@ -140,12 +158,7 @@ def write(payloads: list[bytes]) -> list[bytes]:
             b = int(a)
             for comp, i, j in _SAMPLING:
                 e = b + i * j * w * h
-                hi = starts[e] if e < len(starts) else len(data)
-                scan = data[starts[b] : hi - 2].copy()
-                # restart markers count from 0 to 7 and begin anew with the scan
-                m = starts[b + 1 : e] - starts[b] - 1
-                scan[m] = 0xD0 + np.arange(len(m)) % 8
-                parts += [_segment(_SOS, bytes([1, comp, 0, first, last, before << 4 | left])), scan.tobytes()]
+                parts += [_scan_head(comp, first, last, before, left), data[starts[b] : starts[e] - 2]]
                 b = e
         parts.append(bytes([255, _EOI]))
         out.append(b"".join(parts))
@@ -159,12 +172,12 @@ class _Bits:
     """The next bits of many lanes of one byte array."""
 
     def __init__(self, data: np.ndarray):
-        d = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
+        d = np.concatenate([data, np.zeros(64, np.uint8)]).astype(np.uint32)
         self.word = d[:-3] << np.uint32(24) | d[1:-2] << np.uint32(16) | d[2:-1] << np.uint32(8) | d[3:]
 
     def __call__(self, pos: np.ndarray) -> np.ndarray:
         """32 bits of which the first 25 are the next; the rest are not theirs."""
-        return self.word[np.minimum(pos >> 3, len(self.word) - 1)] << (pos & 7).astype(np.uint32)
+        return self.word[pos >> 3] << (pos & 7).astype(np.uint32)
 
 
 def _top(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -176,6 +189,28 @@ def _extend(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((n > 0) & (v < (1 << np.maximum(n - 1, 0))), v - (1 << n) + 1, v)
 
 
+def _whole(symbols: dict[int, list[int]], left: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, bits) by the next 16 bits, where these hold a code without a run and all of its value; else 0 bits."""
+    sym, n = (t.astype(np.int64) for t in _lookup(symbols))
+    ok = (n > 0) & (sym > 0) & (sym < 16) & (n + sym <= 16)
+    v = np.arange(1 << 16) << 16 >> np.where(ok, 32 - n - sym, 0) & ((1 << np.where(ok, sym, 0)) - 1)
+    return (_extend(v, sym) << left).astype(np.int32), np.where(ok, n + sym, 0).astype(np.uint8)
+
+
+def _ac_plain(bits, pos, coef, rows, first, last, whole) -> bool:
+    """The first scan of a band where every coefficient has a code of its own; False, with nothing done, where that isn't so."""
+    out = np.empty((last - first + 1, len(pos)), np.int32)
+    for k in range(len(out)):
+        x = bits(pos) >> np.uint32(16)
+        n = whole[1][x]
+        if not n.all():
+            return False
+        out[k] = whole[0][x]
+        pos = pos + n
+    coef[rows[:, 0], first : last + 1] = out.T
+    return True
+
+
 def _dc_first(bits, pos, coef, rows, left, tab):
     pred = np.zeros(len(pos), np.int64)
     for j in range(rows.shape[1]):
@@ -241,6 +276,18 @@ def _ac_next(bits, pos, coef, rows, first, last, left, tab):
         over = skip[lane] > 0  # the band has ended: only bits of non-zero coefficients follow
         skip[lane] -= over
         ask, run, new = ~over, np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+        c = coef[row, first : last + 1]
+        if c.all():  # nothing can become non-zero: the band ends at once, and a bit of each follows
+            sym, n = (t[bits(p) >> np.uint32(16)].astype(np.int64) for t in tab)
+            if not (ask & (sym != 0)).any():
+                p = p + ask * n
+                for k in range(0, c.shape[1], 24):
+                    part = c[:, k : k + 24]
+                    more = bits(p + k)[:, None] >> np.arange(31, 31 - part.shape[1], -1, dtype=np.uint32) & np.uint32(1)
+                    part += np.sign(part) * (more.astype(np.int32) << left)
+                coef[row, first : last + 1] = c
+                pos[lane] = p + c.shape[1]
+                continue
         for k in range(first, last + 1):
             if ask.any():
                 a = np.flatnonzero(ask)
@@ -272,78 +319,100 @@ def _ac_next(bits, pos, coef, rows, first, last, left, tab):
         pos[lane] = p
 
 
-def _files(data: bytes | np.ndarray, starts: list[int], ends: list[int]):
-    """Walks the markers of files laid end to end: shapes, and the scans with the bytes that hold them."""
-    arr = np.frombuffer(data, np.uint8)
-    ff = np.flatnonzero(arr[:-1] == 255)
-    code = arr[ff + 1]
-    stop = ff[(code != 0) & (code != 255) & ((code < 0xD0) | (code > 0xD7))]
-    restarts = ff[(code >= 0xD0) & (code <= 0xD7)]
-    shapes, scans, base = [], [], 0
+@lru_cache(64)
+def _split_tables(body: bytes) -> dict[int, bytes]:
+    out = {}
+    while body:
+        n = 17 + sum(body[1:17])
+        out[body[0]], body = body[1:n], body[n:]
+    return out
+
+
+def _frame(body: bytes, base: int) -> dict:
+    h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+    comps = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5])}
+    hm, vm = (max(c[i] for c in comps.values()) for i in (0, 1))
+    size = {c: (-(-w * i // (8 * hm)), -(-h * j // (8 * vm))) for c, (i, j) in comps.items()}
+    at, offset = {}, base
+    for c, (bw, bh) in size.items():
+        at[c] = (offset, bw * bh)
+        offset += bw * bh
+    return {"size": (h, w), "comps": size, "at": at, "blocks": (base, offset)}
+
+
+def _walk(data: bytes, stops: list[int], starts: list[int], ends: list[int]) -> tuple[list[dict], dict[tuple, list], int]:
+    """Walks the markers of files laid end to end: their shapes; scans by kind, each with its place, end, first block and blocks; all blocks."""
+    shapes, scans, base, turn = [], {}, 0, 0
     for a, z in zip(starts, ends, strict=True):
         shape, tables, every, comment, at = None, {}, 0, b"", a + 2
         while at < z:
-            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            mark = data[at + 1]
             if mark == _EOI:
                 break
+            size = data[at + 2] << 8 | data[at + 3]
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
-            if mark == _COM:
-                comment = body
-            elif mark == _DRI:
-                every = int.from_bytes(body, "big")
-            elif mark == _DHT:
-                while body:
-                    n = sum(body[1:17])
-                    tables[body[0]] = bytes(body[1 : 17 + n])
-                    body = body[17 + n :]
-            elif mark == _SOF2:
-                h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                comps = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5])}
-                hm, vm = (max(c[i] for c in comps.values()) for i in (0, 1))
-                size_of = {c: (-(-w * i // (8 * hm)), -(-h * j // (8 * vm))) for c, (i, j) in comps.items()}
-                order, offset = {}, base
-                for c, (bw, bh) in size_of.items():
-                    order[c] = (offset, bw * bh)
-                    offset += bw * bh
-                shape = {"size": (h, w), "comps": size_of, "at": order, "blocks": (base, offset)}
-                base = offset
-            elif mark == _SOS:
+            if mark == _SOS:
                 if shape is None or body[0] != 1:
                     raise ValueError("only progressive files with scans of one component are read")
-                end = int(stop[np.searchsorted(stop, at)])
-                inner = restarts[np.searchsorted(restarts, at) : np.searchsorted(restarts, end)]
+                end = stops[bisect_left(stops, at)]
                 first, last, bits = body[3], body[4], body[5]
-                kind = 0x10 | body[2] & 15 if first else body[2] >> 4
                 offset, n = shape["at"][body[1]]
-                scans.append(((first, last, bits >> 4, bits & 15, tables.get(kind, b"") if first or not bits >> 4 else b"", every or n), np.append(at, inner + 2), offset, n))
+                coded = first or not bits >> 4
+                kind = (first, last, bits >> 4, bits & 15, tables.get(0x10 | body[2] & 15 if first else body[2] >> 4, b"") if coded else b"", every or n)
+                scans.setdefault(kind, []).append((at, end, offset, n, turn))
+                turn += 1
                 at = end
+            elif mark == _COM:
+                comment = body
+            elif mark == _DRI:
+                every = int.from_bytes(body, "big")
+            elif mark == _DHT:
+                tables = tables | _split_tables(body)
+            elif mark == _SOF2:
+                shape = _frame(body, base)
+                base = shape["blocks"][1]
         shapes.append(shape | {"comment": comment})
-    return arr, shapes, scans, base
+    return shapes, scans, base
+
+
+@lru_cache(64)
+def _symbols(tab: bytes, left: int):
+    symbols = {k + 1: list(tab[16 + sum(tab[:k]) : 16 + sum(tab[: k + 1])]) for k in range(16)} if tab else {}
+    return _lookup(symbols), _whole(symbols, left)
 
 
 def read(files: list[bytes]) -> tuple[np.ndarray, list[dict]]:
     """Coefficients (blocks, 64) in zigzag order of all files' blocks, and each file's shape."""
     ends = np.cumsum([len(f) for f in files])
     data = b"".join(files)
-    arr, shapes, scans, n_blocks = _files(data, (ends - [len(f) for f in files]).tolist(), ends.tolist())
+    arr = np.frombuffer(data, np.uint8)
+    ff = np.flatnonzero(arr[:-1] == 255)
+    code = arr[ff + 1]
+    rst = (code >= 0xD0) & (code <= 0xD7)
+    restarts = ff[rst]
+    shapes, scans, n_blocks = _walk(data, ff[(code != 0) & (code != 255) & ~rst].tolist(), (ends - [len(f) for f in files]).tolist(), ends.tolist())
     stuffed = np.zeros(len(arr), bool)
-    stuffed[1:] = (arr[1:] == 0) & (arr[:-1] == 255)
-    gone = np.cumsum(stuffed)
+    stuffed[ff[code == 0] + 1] = True
+    gone = np.cumsum(stuffed, dtype=np.int32)
     bits = _Bits(arr[~stuffed])
     coef = np.zeros((n_blocks, BLOCK), np.int32)
-    groups: dict[tuple, list] = {}
-    for turn, (key, lanes, offset, n) in enumerate(scans):
-        groups.setdefault(key, []).append((turn, lanes, offset, n))
-    # scans of one kind are read abreast; kinds come in the order in which the files have them
-    for key, own in sorted(groups.items(), key=lambda g: (g[0][2] > 0, -g[0][3], g[1][0][0])):
-        first, last, before, left, tab, every = key
-        start = np.concatenate([x[1] for x in own])
-        rows = np.concatenate([_rows(o, n, every, len(lanes)) for _, lanes, o, n in own])
-        pos = (start - gone[start]) * 8
-        look = _lookup({k + 1: list(tab[16 + sum(tab[:k]) : 16 + sum(tab[: k + 1])]) for k in range(16)}) if tab else None
+    # scans of one kind are read abreast; kinds come in the order in which bits are told
+    for (first, last, before, left, tab, every), own in sorted(scans.items(), key=lambda g: (g[0][2] > 0, -g[0][3], g[1][0][4])):
+        at, end, offset, n, _ = (np.array(x) for x in zip(*own, strict=True))
+        lo = np.searchsorted(restarts, at)
+        lanes = np.searchsorted(restarts, end) - lo + 1
+        scan = np.repeat(np.arange(len(at)), lanes)
+        turn = np.arange(len(scan)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.where(turn == 0, at[scan], restarts[np.minimum(lo[scan] + turn - 1, len(restarts) - 1)] + 2 if len(restarts) else 0)
+        block = turn[:, None] * every + np.arange(every)[None, :]
+        rows = np.where(block < n[scan][:, None], block + offset[scan][:, None], -1)
+        pos = (start - gone[start]).astype(np.int64) * 8
+        look, whole = _symbols(tab, left)
         for i in range(0, len(pos), _LANES):
             p, r = pos[i : i + _LANES].copy(), rows[i : i + _LANES]
+            if first and not before and every == 1 and _ac_plain(bits, p, coef, r, first, last, whole):
+                continue
             if first == 0:
                 _dc_next(bits, p, coef, r, left) if before else _dc_first(bits, p, coef, r, left, look)
             else:
@@ -351,12 +420,6 @@ def read(files: list[bytes]) -> tuple[np.ndarray, list[dict]]:
     return coef, shapes
 
 
-def _rows(offset: int, n: int, every: int, lanes: int) -> np.ndarray:
-    """Block of each lane's turns; -1 where there is none."""
-    r = np.arange(lanes)[:, None] * every + np.arange(every)[None, :]
-    return np.where(r < n, r + offset, -1)
-
-
 def payload(coef: np.ndarray, shape: dict) -> bytes:
     """The payload that write() put into the blocks of a file."""
     n, a = int(shape["comment"]), shape["blocks"][0]
