@@ -293,7 +293,7 @@ def _count(batches):
                     total.update(("f", f, int(k)) for f in features(b))
                     if b.parent >= 0:
                         total["e", edge(blocks, b), int(y[b.parent]), int(k)] += 1
-    yield pd.DataFrame({"key": [repr(k) for k in total], "n": [*total.values()]})
+    yield pd.DataFrame({"key": pd.Series([repr(k) for k in total], dtype=object), "n": pd.Series([*total.values()], dtype="int64")})
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:
