@@ -13,17 +13,19 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, utf8
+from .common import crc_mod, stored, table, utf8
 
-ORDER = 5
+ORDER = 4
 BLOCK_BYTES = 16 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 255
 _END_WORD = b"\n"
+_WORD_FLAG = 1 << 62
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +67,19 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return k[at], np.add.reduceat(n, at)
 
 
+def _word_keys(words) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return ((h >> np.uint64(2)) | np.uint64(_WORD_FLAG)).astype(np.int64)
+
+
 def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(block, word, gram, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
+    """(block, key, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
     texts, train = utf8(pdf["text"]), pdf["train"].to_numpy(bool)
-    words = Counter()
+    words = Counter({_END_WORD: int(train.sum())})
+    others = set()
     for t, ok in zip(texts, train, strict=True):
-        if ok:
-            words.update(t.lower().split())
-    if train.any():
-        words[_END_WORD] = int(train.sum())
-    for t, ok in zip(texts, train, strict=True):
-        if not ok:
-            for w in t.lower().split():
-                words[w] += 0
-    words[_END_WORD] += 0
+        (words if ok else others).update(t.lower().split())
+    others = [w for w in others if w not in words]
     parts = []
     for at, chunk in _chunks(texts):
         ok = train[at : at + len(chunk)]
@@ -89,9 +90,8 @@ def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     grams, n = _merge(parts)
     return pd.DataFrame({
         "block": np.int32(pdf["block"].iloc[0]),
-        "word": [*words, *[None] * len(grams)],
-        "gram": pd.array(np.r_[np.full(len(words), -1), grams.astype(np.int64)], "Int64"),
-        "n": np.r_[np.fromiter(words.values(), np.int64, len(words)), n],
+        "key": np.r_[_word_keys(words), _word_keys(others), grams.astype(np.int64)],
+        "n": np.r_[np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64), n],
     })
 
 
@@ -109,42 +109,38 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     log = lambda a, b: F.log10(a / b)
     level = {order: counts.where("n > 0")}  # depth k + 1 of the trie: grams of a context of k bytes and a byte
     for k in range(order - 1, -1, -1):
-        level[k] = level[k + 1].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n"))
-    context = {}
-    for k in range(order, -1, -1):
-        below = level[k]
-        if k:  # what the children of this context weigh one order down
+        level[k] = stored(level[k + 1].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n")))
+
+    def contexts(k: int) -> DataFrame:
+        """(context, total, kinds, out) of the contexts of k bytes; out: what their children weigh one order down."""
+        below = level[k].withColumn("_m", F.lit(0))
+        if k:
             short = level[k - 1].select(F.col("gram").alias("_s"), F.col("n").alias("_m"))
-            below = below.join(short, _low("gram", k) == F.col("_s"))
-        else:
-            below = below.withColumn("_m", F.lit(0))
-        context[k] = below.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_m").alias("out"))
-    state = counts.where("n = 0").select("gram", F.lit(0.0).alias("val"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_kinds"))
-    done = []
-    first = counts.where("n > 0").withColumn("_c", F.shiftrightunsigned("gram", 8)).join(context[order], F.col("_c") == F.col("context"))
-    done.append(first.select("gram", log(F.col("n") - 0.5, F.col("total")).alias("val")))
+            below = level[k].join(short, _low("gram", k) == F.col("_s"))
+        return below.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_m").alias("out"))
+
+    longest = stored(contexts(order))
+    known = counts.where("n > 0").join(longest, F.shiftrightunsigned("gram", 8) == F.col("context"))
+    known = known.select("gram", log(F.col("n") - 0.5, F.col("total")).alias("val"))
+    # the others go down the orders; gone, gone_kinds: weight and number of the bytes excluded at this order
+    s = counts.where("n = 0").select("gram", F.lit(0.0).alias("val"), F.lit(False).alias("found"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_kinds"))
     for k in range(order, -1, -1):
-        # gone, gone_kinds: weight and number of bytes excluded at this order
-        c = context[k].select("context", "total", "kinds", "out")
-        s = state.withColumn("_c", F.shiftrightunsigned(_low("gram", k + 1), 8)).join(c, F.col("_c") == F.col("context"), "left")
-        seen, mass, kinds = F.col("total").isNotNull(), F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
+        c = longest if k == order else contexts(k)
+        s = s.join(c, F.shiftrightunsigned(_low("gram", k + 1), 8) == F.col("context"), "left")
+        hit = F.lit(False)
         if k < order:
             n = level[k].select(F.col("gram").alias("_g"), F.col("n").alias("_n"))
             s = s.join(n, _low("gram", k + 1) == F.col("_g"), "left")
             hit = F.col("_n").isNotNull()
-            done.append(s.where(hit).select("gram", (F.col("val") + log(F.col("_n") - 0.5, mass)).alias("val")))
-            s = s.where(~hit)
-        state = s.select(
-            "gram",
-            F.when(seen & (kinds > 0), F.col("val") + log(kinds / 2, mass)).otherwise(F.col("val")).alias("val"),
-            F.when(seen, F.col("out")).otherwise(F.lit(0)).alias("gone"),
-            F.when(seen, F.col("kinds")).otherwise(F.lit(0)).alias("gone_kinds"),
+        seen, mass, kinds = F.col("total").isNotNull(), F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
+        step = F.when(hit, log(F.col("_n") - 0.5, mass)) if k < order else F.when(F.lit(False), 0.0)
+        step = step.when(seen & (kinds > 0), log(kinds / 2, mass)).otherwise(0.0)
+        s = s.select(
+            "gram", F.when(F.col("found"), F.col("val")).otherwise(F.col("val") + step).alias("val"), (F.col("found") | hit).alias("found"),
+            F.coalesce("out", F.lit(0)).alias("gone"), F.coalesce("kinds", F.lit(0)).alias("gone_kinds"),
         )
-    done.append(state.select("gram", (F.col("val") - F.log10(F.lit(_SYMBOLS) - F.col("gone_kinds"))).alias("val")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
+    s = s.select("gram", F.when(F.col("found"), F.col("val")).otherwise(F.col("val") - F.log10(F.lit(_SYMBOLS) - F.col("gone_kinds"))).alias("val"))
+    return known.union(s)
 
 
 class _Lookup:
@@ -181,15 +177,19 @@ def _score_block(docs: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({"id": [], "train": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
     texts = utf8(docs["text"])
-    word = keys["word"].notna().to_numpy()
-    base = dict(zip(keys["word"].to_numpy()[word], keys["val"].to_numpy()[word], strict=True))
-    known = dict(zip(keys["word"].to_numpy()[word], keys["known"].to_numpy()[word], strict=True))
-    look = _Lookup(keys["gram"].to_numpy()[~word].astype(np.uint64), keys["val"].to_numpy()[~word])
+    key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy()
+    word = key >= _WORD_FLAG
+    look = _Lookup(key[~word].astype(np.uint64), val[~word])
+    words = [*{w for t in texts for w in t.lower().split()}, _END_WORD]
+    vals = _Lookup(key[word].astype(np.uint64), val[word])(_word_keys(words).astype(np.uint64))
+    base = dict(zip(words, vals.tolist(), strict=True))
+    new = val[word & ~keys["known"].to_numpy(bool)][:1]  # what every word that training texts lack costs
     n_tokens, n_known, base_score, score = (np.zeros(len(texts), t) for t in (np.int64, np.int64, float, float))
     for i, t in enumerate(texts):
         w = t.lower().split()
         w.append(_END_WORD)
-        n_tokens[i], n_known[i], base_score[i] = len(w), sum(map(known.__getitem__, w)), sum(map(base.__getitem__, w))
+        v = np.fromiter(map(base.__getitem__, w), float, len(w))
+        n_tokens[i], n_known[i], base_score[i] = len(w), (~np.isin(v, new)).sum(), v.sum()
     for at, chunk in _chunks(texts):
         g, starts = _grams(chunk, ORDER)
         score[at : at + len(chunk)] = np.add.reduceat(look(g), starts)
@@ -206,19 +206,17 @@ def score_documents(docs: DataFrame, train_col: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(int(size // block_bytes) + 1)).cast("int"))
-    keys = rows.select("block", "train", "text").groupBy("block").applyInPandas(_block_keys, "block int, word binary, gram long, n long")
-    keys = keys.repartition(F.col("word"), F.col("gram"))
-    counts = keys.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-    words = counts.where("word is not null")
-    sums = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("vocab"))
-    words = words.join(F.broadcast(sums)).select("word", "gram", F.log10((F.col("n") + 1) / (F.col("tokens") + F.col("vocab") + 1)).alias("val"), (F.col("n") > 0).alias("known"))
-    grams = code_lengths(counts.where("word is null").select("gram", "n"))
-    vals = words.union(grams.select(F.lit(None).cast("binary").alias("word"), "gram", "val", F.lit(True).alias("known")))
-    vals = vals.select(F.col("word").alias("_w"), F.col("gram").alias("_g"), "val", "known")
-    back = keys.join(vals, F.col("word").eqNullSafe(F.col("_w")) & (F.col("gram") == F.col("_g"))).select("block", "word", "gram", "val", "known")
+    keys = stored(rows.select("block", "train", "text").groupBy("block").applyInPandas(_block_keys, "block int, key long, n long"))
+    counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")))
+    words = counts.where(F.col("key") >= _WORD_FLAG)
+    tokens, vocab = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = words.select("key", F.log10((F.col("n") + 1) / F.lit(tokens + vocab + 1)).alias("val"), (F.col("n") > 0).alias("known"))
+    grams = code_lengths(counts.where(F.col("key") < _WORD_FLAG).select(F.col("key").alias("gram"), "n"))
+    vals = words.union(grams.select("gram", "val", F.lit(True)))
+    back = keys.select("block", "key").join(vals, "key").select("block", "key", "val", "known")
     out = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         _score_block, f"id {dict(rows.dtypes)['id']}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.join(F.broadcast(sums.select(F.col("tokens").alias("train_tokens")))).select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1(spark, sf_dir):
