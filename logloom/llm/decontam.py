@@ -96,7 +96,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                         runs += found.keys()
                         hashes += found.values()
                         sizes += [n] * len(found)
-            yield pd.DataFrame({"row": pdf["row"].to_numpy()[own], "doc_id": ids.iloc[own].reset_index(drop=True), "n": np.array(sizes, np.int32), "run": runs, "hash": np.array(hashes, np.int64)})
+            yield pd.DataFrame({"row": pdf["row"].to_numpy()[own], "doc_id": ids.iloc[own].reset_index(drop=True), "n": np.array(sizes, np.int32), "run": pd.Series(runs, dtype=object), "hash": np.array(hashes, np.int64)})
 
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.mapInPandas(search, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, run binary, hash long").distinct().checkpoint()

@@ -124,7 +124,7 @@ def _evidence(batches):
                     out += [(term, e, whole) for term in _near_terms(t, s, cover)]
                     out.append(("", e, whole))
         out = list(set(out))
-        yield pd.DataFrame({"term": [x[0] for x in out], "entity": np.array([x[1] for x in out], np.uint64).view(np.int64), "text": np.array([x[2] for x in out], np.uint64).view(np.int64)})
+        yield pd.DataFrame({"term": pd.Series([x[0] for x in out], dtype=object), "entity": np.array([x[1] for x in out], np.uint64).view(np.int64), "text": np.array([x[2] for x in out], np.uint64).view(np.int64)})
 
 
 class _Terms:
