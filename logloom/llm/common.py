@@ -32,6 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A top-level column, whatever its name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of a value as text, modulo m; null for null."""
     c = F.col(col) if isinstance(col, str) else col
@@ -147,5 +152,6 @@ def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
 
 def drop_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """df without the rows whose key is among `keys`; null keys stay."""
-    rest, maybe = split_by_bloom(df, key, keys)
-    return rest.union(maybe.join(keys, key, "left_anti").select(*df.columns))
+    rows = df.select(F.struct(*map(quoted, df.columns)).alias("_doc"), quoted(key).alias("_of"))
+    rest, maybe = split_by_bloom(rows, "_of", keys.select(F.col(key).alias("_of")))
+    return rest.union(maybe.join(keys.select(F.col(key).alias("_gone")), F.col("_of") == F.col("_gone"), "left_anti")).select("_doc.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, build_bloom, ensure_checkpoint_dir, split_by_bloom, table
+from .common import bloom_has, build_bloom, ensure_checkpoint_dir, quoted, split_by_bloom, table
 
 WINDOW = 6  # words on either side of an entity
 MIN_TEXTS = 3  # different texts that must hold a term by an entity
@@ -232,8 +232,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     terms = disclosing_terms(docs, text_col).checkpoint()
     found = _found_in(docs, id_col, text_col, terms).where(F.exists("spans", lambda s: s["kind"] == "term")).select(F.col("row").alias("_row"), "spans").distinct()
     spotted = found.checkpoint()
-    cols = docs.columns
-
     @F.pandas_udf("string")
     def general(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else _replace(t, base_spans(t) if s is None else [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
@@ -242,10 +240,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def plain(texts: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else _replace(t, base_spans(t)) for t in texts])
 
-    keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
+    doc = F.struct(*[quoted(c) for c in docs.columns])
+    keyed = docs.select(doc.alias("_doc"), F.xxhash64(id_col, text_col).alias("_row"), quoted(text_col).alias("_text"))
     rest, maybe = split_by_bloom(keyed, "_row", spotted.select("_row"))
     maybe = maybe.join(spotted, "_row", "left")
-    return rest.withColumn(text_col, plain(F.col(text_col))).select(*cols).union(maybe.withColumn(text_col, general(F.col(text_col), F.col("spans"))).select(*cols))
+    out = rest.select("_doc", plain("_text").alias("_text")).union(maybe.select("_doc", general("_text", "spans").alias("_text")))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def spans_text(spans: Column) -> Column:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, ensure_checkpoint_dir, spanning_links, table, utf8
+from .common import connected_components, ensure_checkpoint_dir, quoted, spanning_links, table, utf8
 
 SEED = 42
 TILE = 2048  # fingerprints in a tile, about
@@ -162,8 +162,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component: that of the smallest id. Of rows that repeat an id, one stays; rows without an id stay."""
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep")).withColumn("_nth", F.row_number().over(Window.partitionBy("_keep").orderBy("_keep")))
-    return kept.where("_nth = 1").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("_doc"), quoted(id_col).alias("_of"))  # packed, so that no column's name can clash
+    kept = rows.join(keep, F.col("_of") == F.col("_keep")).withColumn("_nth", F.row_number().over(Window.partitionBy("_keep").orderBy("_keep")))
+    return kept.where("_nth = 1").select("_doc.*").union(docs.where(quoted(id_col).isNull()))
 
 
 def hex16(fp: Column) -> Column:

@@ -333,7 +333,7 @@ def test_pipeline(spark, rng, tmp_path):
     rows = [(i, prose(rng, rng.randint(30, 90)), "en", "s", 1) for i in range(80)]
     rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(5)] + [(110, prose(rng, 20) + " " + item + " " + prose(rng, 20), "en", "s", 1)]
     rows += [(120 + i, " ".join(x for w in prose(rng, 40).split() for x in (w, rng.choice(["idiot", "moron", "scum"]))), "en", "s", 1) for i in range(12)]
-    rows += [(140, rows[70][1] + " Mail me: joe@example.org now.", "en", "s", 1), (141, None, None, None, None), (None, "no id at all", None, None, None)]
+    rows += [(140, prose(rng, 50) + " Mail me: joe@example.org now.", "en", "s", 1), (141, None, None, None, None), (None, "no id at all", None, None, None)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, 1, int(120 <= i < 140)) for i, *_ in rows if i is not None and i % 4], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
