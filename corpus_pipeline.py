@@ -39,7 +39,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids that decode to their texts."""
-    rows = pieces.encode(docs.select(*COLUMNS), pieces.vocabulary(spark))
+    rows = pieces.encode(docs.select(*COLUMNS), pieces.vocabulary(spark), keep=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
 
 

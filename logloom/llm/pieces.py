@@ -8,20 +8,22 @@ and the place where it starts, and the best path is read backwards, as in Viterb
 """
 
 import re
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import table
+from .common import quoted, table
 
 MARK = "▁"
 #: The vocabulary file of op6 and the pipeline; a parameter of everything below.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = 8 << 20  # characters whose distinct words are sorted at a time
-_MEMO = 1 << 20
+_CHUNK = 4 << 20  # characters whose distinct words are sorted at a time
+_ROWS = 1024  # rows encoded and passed on at a time
+_WORDS, _PAIRS = 200_000, 1 << 19  # words and pairs of pieces that a task remembers at most; it forgets all beyond
 
 
 class Vocabulary:
@@ -42,11 +44,13 @@ class Vocabulary:
         self.utf8[self.unknown] = " \u2047 ".encode()
         for b, i in self.byte.items():
             self.utf8[i] = bytes([b])
+        self.lengths = [len(p) if not special[i] else 1 for i, p in enumerate(self.pieces)] + [1]
         ends: dict[str, set[int]] = {}
         for p in self.id:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: By the last three characters, the lengths of two and more that a piece with this end can have, longest first.
+        self.ends = {k: tuple(sorted(v | ({2} if k[1:] in self.id else set()), reverse=True)) for k, v in ends.items()}
         joined = {c for p in self.id if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r\x0b\x0c" if c not in joined)
         #: No piece goes from a character that is no mark to a mark, nor over a character that stands alone.
@@ -71,28 +75,28 @@ def merge(v: Vocabulary, text: str) -> list[str]:
 
 class Encoder:
     def __init__(self, v: Vocabulary):
-        self.v, self.follows, self.whole = v, {}, {}
+        self.v = v
+        self.none = len(v.pieces)  # stands for the start of a word and for a character without a piece: neither merges with what follows
+        self.follows: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, piece: str) -> tuple[int, ...]:
-        i = self.v.id.get(piece)
-        if i is not None:
-            return (i,)
         if self.v.byte:
             return tuple(self.v.byte[b] for b in piece.encode("utf-8", "replace"))
         return (self.v.unknown,)
 
-    def _may_follow(self, q: str, p: str) -> bool:
-        ok = merge(self.v, q + p) == [q, p] if q else merge(self.v, p) == [p]
-        if len(self.follows) > 2 * _MEMO:
+    def _may_follow(self, q: int, p: int) -> bool:
+        pieces = self.v.pieces
+        ok = merge(self.v, pieces[p]) == [pieces[p]] if q == self.none else merge(self.v, pieces[q] + pieces[p]) == [pieces[q], pieces[p]]
+        if len(self.follows) > _PAIRS:
             self.follows.clear()
-        self.follows[q, p] = ok
+        self.follows[q << 20 | p] = ok
         return ok
 
     def words(self, words: list[str]) -> None:
         """Encode sorted distinct words, depth first."""
-        id_, ends, follows = self.v.id, self.v.ends, self.follows
-        last: list[str] = [""]  # last[i]: the piece in which the encoding of the first i characters ends
+        get, ends, follows, none, known, lengths = self.v.id.get, self.v.ends.get, self.follows.get, self.none, self.known, self.v.lengths
+        last = [none]  # the piece in which the encoding of the first i characters ends
         before = ""
         for w in words:
             k, top = 0, min(len(w), len(before))
@@ -100,23 +104,32 @@ class Encoder:
                 k += 1
             del last[k + 1 :]
             for i in range(k + 1, len(w) + 1):
-                for n in ends.get(w[i - 2 : i], ()) if i > 1 else ():
+                for n in ends(w[i - 3 : i], (2,)) if i > 2 else (2,) if i == 2 else ():
                     if n <= i:
-                        p = w[i - n : i]
-                        if p in id_:
-                            q = last[i - n]
-                            ok = follows.get((q, p))
-                            if ok or ok is None and self._may_follow(q, p):
+                        p = get(w[i - n : i])
+                        if p is not None:
+                            at = last[i - n] << 20 | p
+                            ok = follows(at)
+                            if ok or ok is None and self._may_follow(last[i - n], p):
                                 last.append(p)
                                 break
                 else:
-                    last.append(w[i - 1])
+                    last.append(get(w[i - 1], none))
             before = w
             out, i = [], len(w)
             while i:
-                out.append(last[i])
-                i -= len(last[i])
-            self.known[w] = tuple(x for p in reversed(out) for x in self._ids(p))
+                p = last[i]
+                out.append(p)
+                i -= lengths[p]
+            out.reverse()
+            if none in out:
+                i, full = 0, []
+                for p in out:
+                    n = 1 if p == none else len(self.v.pieces[p])
+                    full += self._ids(w[i]) if p == none else (p,)
+                    i += n
+                out = full
+            known[w] = tuple(out)
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
@@ -129,11 +142,12 @@ class Encoder:
                 if size >= _CHUNK:
                     break
             split = [self.v.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : end + 1]]
-            if len(self.known) > _MEMO:
+            if len(self.known) > _WORDS:
                 self.known.clear()
             self.words(sorted({w for words in split for w in words} - self.known.keys()))
+            known = self.known.__getitem__
             for words in split:
-                out.append(np.fromiter((x for w in words for x in self.known[w]), np.int32))
+                out.append(np.fromiter(chain.from_iterable(map(known, words)), np.int32))
             at = end + 1
         return out
 
@@ -148,25 +162,32 @@ def vocabulary(spark: SparkSession, model_file: str = MODEL_FILE):
     return spark.sparkContext.broadcast(Vocabulary(model_file))
 
 
-def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip") -> DataFrame:
-    """docs with `ids` (array of int) and `round_trip`, whether decoding gives the text again, a mark in a text being a space.
+def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or its columns `keep`, with `ids` (array of int) and `round_trip`, whether decoding gives the text again, a mark in a text being a space.
 
     Null and empty texts have no ids. A row for each row; no shuffle. A broken task starts anew from its
-    input; its memory is one batch, and the words of a chunk.
+    input; its memory is one Arrow batch of its input, _ROWS rows of its output, and what it remembers of words.
     """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, check_col)]
+    rows = docs.select(*map(quoted, kept), quoted(text_col).alias("_text"))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]], StructField(ids_col, ArrayType(IntegerType(), False)), StructField(check_col, BooleanType())])
+
+    def run(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf("ids array<int>, same boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:  # keeps what is learnt about words from batch to batch
         v = vocab.value
-        e = Encoder(v)
-        for texts in parts:
-            texts = [t or "" for t in texts]
-            ids = e.texts(texts)
-            same = [decode(v, i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"ids": ids, "same": same})
+        e = Encoder(v)  # keeps what is learnt about words from batch to batch
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                texts = [t or "" for t in part.column(len(kept)).to_pylist()]
+                ids = e.texts(texts)
+                same = [decode(v, i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], lists, pa.array(same, pa.bool_())], names=[*kept, ids_col, check_col])
 
-    kept = [c for c in docs.columns if c not in (ids_col, check_col)]
-    return docs.select(*kept, run(F.col(text_col)).alias("_e")).select(*kept, F.col("_e.ids").alias(ids_col), F.col("_e.same").alias(check_col))
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, vocab, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -182,4 +203,4 @@ def decoded(rows: DataFrame, vocab, ids_col: str = "ids", text_col: str = "decod
 def op6(spark, sf_dir, model_file: str = MODEL_FILE):
     vocab = vocabulary(spark, model_file)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, vocab).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+    return encode(docs, vocab, keep=("doc_id",)).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")

@@ -128,13 +128,15 @@ def _evidence(batches):
 
 
 class _Terms:
-    """Which words are possible terms of a set given as a Bloom filter; remembers words within a batch."""
+    """Which words are possible terms of a set given as a Bloom filter; remembers some words."""
 
     def __init__(self, bloom: np.ndarray):
         self.bloom, self.known = bloom, {}
 
     def of(self, text: str) -> set[str]:
         words = set(_TERM.findall(text))
+        if len(self.known) > 100_000:
+            self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
             ok = bloom_has(self.bloom, np.array([_hash(w.lower()) for w in new], np.uint64))

@@ -73,7 +73,7 @@ class _Features:
 
     def _ids(self, w: str) -> tuple[int, ...]:
         if w not in self.memo:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             self.memo[w] = tuple(self.at[t] for t in (w, *(f"{k}={w[:k]}" for k in PREFIXES if len(w) > k)) if t in self.at)
         return self.memo[w]

@@ -12,8 +12,6 @@ from ..schema import Tables
 
 #: What of each session a list shows.
 LISTED = ("id", "agent", "device_id", "profile", "project_path", "project_remote", "project_marker", "started_at", "last_activity_at", "model", "parent_session_id")
-#: The project that lists sort by: another order than that of reports.
-SORT_PROJECT = F.coalesce("project_marker", "project_remote", "project_path")
 
 
 def _list_limit(n: int | None) -> int:
@@ -31,9 +29,10 @@ def with_tokens(t: Tables, s: DataFrame) -> DataFrame:
     return s.join(u, s["id"] == u["session_id"], "left").drop("session_id").withColumn("measured", F.coalesce("measured", F.lit(False)))
 
 
-SORTS: dict[str, tuple[Column, bool]] = {  # column, descending by default
-    "started_at": (F.col("started_at"), True), "total_tokens": (F.col("total_tokens"), True), "agent": (F.col("agent"), False), "project": (SORT_PROJECT, False), "device": (F.col("device_id"), False),
-}
+def _sort(name: str) -> tuple[Column, bool]:
+    """Column, and whether the largest come first by default. The project is not the one of reports: another of its names is shown first."""
+    sorts = {"total_tokens": (F.col("total_tokens"), True), "agent": (F.col("agent"), False), "project": (F.coalesce("project_marker", "project_remote", "project_path"), False), "device": (F.col("device_id"), False)}
+    return sorts.get(name, (F.col("started_at"), True))
 
 
 def list_sessions(t: Tables, f: SessionFilter | None = None, sort: str = "started_at", descending: bool | None = None, limit: int | None = None, offset: int = 0, query: str | None = None) -> DataFrame:
@@ -42,7 +41,7 @@ def list_sessions(t: Tables, f: SessionFilter | None = None, sort: str = "starte
     if query:
         best = ranked_turns(t.turns, query).groupBy(F.col("session_id").alias("_s")).agg(F.max("rank").alias("rank"))
         s = s.join(best, s["id"] == best["_s"]).drop("_s")
-    col, desc = SORTS.get(sort, SORTS["started_at"])
+    col, desc = _sort(sort)
     desc = desc if descending is None else descending
     keys = [F.desc("rank")] if query else [col.desc_nulls_last() if desc else col.asc_nulls_last()]
     total = s.select("id").groupBy(F.lit(1).alias("_1")).agg(F.count("*").alias("total"))

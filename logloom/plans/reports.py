@@ -10,9 +10,17 @@ from ..operators.filters import SessionFilter, apply
 from ..operators.search import flagged_sessions
 from ..schema import TOKENS, Tables
 
-DAY = F.date_format("started_at", "yyyy-MM-dd")
-HOUR = F.date_format("started_at", "HH")
-MODEL = F.coalesce("model", F.lit("(none)"))
+
+def day() -> Column:
+    return F.date_format("started_at", "yyyy-MM-dd")
+
+
+def hour() -> Column:
+    return F.date_format("started_at", "HH")
+
+
+def model() -> Column:
+    return F.coalesce("model", F.lit("(none)"))
 
 
 def project(alias: str = "") -> Column:
@@ -52,7 +60,7 @@ def tools(t: Tables, f: SessionFilter | None = None, top: int = 20) -> DataFrame
 
 
 def models(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    return apply(t, f).groupBy(MODEL.alias("model")).agg(_count()).orderBy(F.desc("sessions"), "model")
+    return apply(t, f).groupBy(model().alias("model")).agg(_count()).orderBy(F.desc("sessions"), "model")
 
 
 def projects(t: Tables, f: SessionFilter | None = None) -> DataFrame:
@@ -81,7 +89,7 @@ def day_span(s: DataFrame, f: SessionFilter) -> DataFrame:
 
 
 def heatmap(t: Tables, f: SessionFilter) -> DataFrame:
-    per = apply(t, f).groupBy(DAY.alias("date"), "agent").agg(_count())
+    per = apply(t, f).groupBy(day().alias("date"), "agent").agg(_count())
     full = F.broadcast(day_span(t.sessions, f)).join(per, "date", "left")
     return full.select("date", F.coalesce("agent", F.lit("")).alias("agent"), F.coalesce("sessions", F.lit(0)).alias("sessions")).orderBy("date", "agent")
 
@@ -94,13 +102,13 @@ def _priced(t: Tables, f: SessionFilter | None, keys: dict[str, Column], at: str
 
 def usage(t: Tables, f: SessionFilter | None = None) -> DataFrame:
     """Cost is that of each day, agent and model, then summed; null where nothing is priced."""
-    g = _priced(t, f, {"day": DAY, "agent": F.col("agent"), "model": F.coalesce("model", F.lit(""))}).groupBy("agent")
+    g = _priced(t, f, {"day": day(), "agent": F.col("agent"), "model": F.coalesce("model", F.lit(""))}).groupBy("agent")
     out = g.agg(*[F.sum(c).alias(c) for c in ("sessions", "measured", *TOKENS)], F.sum("cost_nano").alias("cost_nano"))
     return _public_cost(out, ["agent"], ("measured", "total", "input", "output", "cached"))
 
 
 def usage_by_model(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    g = _priced(t, f, {"day": DAY, "model": MODEL}).groupBy("model")
+    g = _priced(t, f, {"day": day(), "model": model()}).groupBy("model")
     out = g.agg(*[F.sum(c).alias(c) for c in ("sessions", "measured", *TOKENS)], F.sum("cost_nano").alias("cost_nano"))
     return _public_cost(out, ["model"], ("total", "input", "output"))
 
@@ -111,13 +119,13 @@ def _public_cost(df: DataFrame, keys: list[str], cols: tuple[str, ...]) -> DataF
 
 
 def hours(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    return apply(t, f).groupBy(HOUR.alias("hour")).agg(_count()).orderBy("hour")
+    return apply(t, f).groupBy(hour().alias("hour")).agg(_count()).orderBy("hour")
 
 
 def errors_by_model(t: Tables, f: SessionFilter | None = None) -> DataFrame:
     s = apply(t, f)
     s = s.join(flagged_sessions(t.turns), s["id"] == F.col("session_id"), "left_semi")
-    return s.groupBy(MODEL.alias("model")).agg(_count()).orderBy(F.desc("sessions"), "model")
+    return s.groupBy(model().alias("model")).agg(_count()).orderBy(F.desc("sessions"), "model")
 
 
 def _usage_by(t: Tables, f: SessionFilter | None, keys: dict[str, Column]) -> DataFrame:
@@ -126,17 +134,17 @@ def _usage_by(t: Tables, f: SessionFilter | None, keys: dict[str, Column]) -> Da
 
 
 def usage_by_day(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    return _usage_by(t, f, {"day": DAY, "model": MODEL})
+    return _usage_by(t, f, {"day": day(), "model": model()})
 
 
 def usage_by_hour(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    return _usage_by(t, f, {"hour": HOUR, "model": MODEL})
+    return _usage_by(t, f, {"hour": hour(), "model": model()})
 
 
 def subagent_usage_by_day(t: Tables, f: SessionFilter | None = None) -> DataFrame:
     """A child counts as delegated whether or not its parent was taken in."""
     kind = F.when(F.col("parent_session_id").isNull(), "direct").otherwise("subagent")
-    return _usage_by(t, f, {"day": DAY, "kind": kind, "model": MODEL})
+    return _usage_by(t, f, {"day": day(), "kind": kind, "model": model()})
 
 
 def _children(t: Tables, f: SessionFilter | None) -> DataFrame:
@@ -161,19 +169,19 @@ def session_kinds(t: Tables, f: SessionFilter | None = None) -> DataFrame:
 
 def profile_usage(t: Tables, f: SessionFilter | None = None) -> DataFrame:
     s = with_usage(t, with_device(t, apply(t, f)))
-    keys = {"day": DAY, "device": F.col("device"), "agent": F.col("agent"), "profile": F.col("profile"), "model": MODEL}
+    keys = {"day": day(), "device": F.col("device"), "agent": F.col("agent"), "profile": F.col("profile"), "model": model()}
     g = s.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*usage_sums(), F.date_format(F.max("last_activity_at"), "yyyy-MM-dd HH:mm").alias("last_activity"))
     short = [F.col(c).alias(c.removesuffix("_tokens")) for c in TOKENS]
     return g.select(*keys, "sessions", "measured", *short, "last_activity").orderBy(*keys)
 
 
 def profiles_by_day(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    return apply(t, f).groupBy(DAY.alias("day"), "agent", "profile").agg(_count()).orderBy("day", "agent", "profile")
+    return apply(t, f).groupBy(day().alias("day"), "agent", "profile").agg(_count()).orderBy("day", "agent", "profile")
 
 
 def punchcard(t: Tables, f: SessionFilter | None = None) -> DataFrame:
     """dow: 0 is Sunday."""
-    return apply(t, f).groupBy((F.dayofweek("started_at") - 1).alias("dow"), HOUR.alias("hour")).agg(_count()).orderBy("dow", "hour")
+    return apply(t, f).groupBy((F.dayofweek("started_at") - 1).alias("dow"), hour().alias("hour")).agg(_count()).orderBy("dow", "hour")
 
 
 def seconds() -> Column:

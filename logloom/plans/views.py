@@ -14,7 +14,10 @@ from . import reports as r
 
 OTHER = "other"
 TOP = 7
-_ALL = Window.partitionBy()  # over the rows of a report: few, whatever the number of sessions
+
+def _all():
+    """Over the rows of a report: few, whatever the number of sessions."""
+    return Window.partitionBy()
 
 
 def bar_percent(n: Column, most: Column, floor: int = 3) -> Column:
@@ -27,7 +30,7 @@ def heat_level(n: Column, most: Column) -> Column:
 
 
 def bars(df: DataFrame, label: str, count: str = "sessions") -> DataFrame:
-    return df.select(F.col(label).alias("label"), F.col(count).alias("count"), bar_percent(F.col(count), F.max(count).over(_ALL)).alias("percent"))
+    return df.select(F.col(label).alias("label"), F.col(count).alias("count"), bar_percent(F.col(count), F.max(count).over(_all())).alias("percent"))
 
 
 def week(day: Column) -> Column:
@@ -80,16 +83,16 @@ def tool_bars(t: Tables, f: SessionFilter) -> DataFrame:
 def heatmap_grid(t: Tables, f: SessionFilter) -> DataFrame:
     """(date, sessions, level, column, row, month_band): Sunday-first columns; a new band where a column's first day is of another month."""
     d = r.heatmap(t, f).groupBy("date").agg(F.sum("sessions").alias("sessions"))
-    first = F.min(F.to_date("date")).over(_ALL)
+    first = F.min(F.to_date("date")).over(_all())
     start = F.date_sub(first, F.dayofweek(first) - 1)
     g = d.withColumn("column", F.floor(F.datediff(F.to_date("date"), start) / 7).cast("int")).withColumn("row", F.dayofweek(F.to_date("date")) - 1)
-    g = g.withColumn("level", heat_level(F.col("sessions"), F.max("sessions").over(_ALL)))
+    g = g.withColumn("level", heat_level(F.col("sessions"), F.max("sessions").over(_all())))
     return g.withColumn("month_band", F.min(F.date_format(F.to_date("date"), "yyyy-MM")).over(Window.partitionBy("column"))).select("date", "sessions", "level", "column", "row", "month_band")
 
 
 def usage_table(t: Tables, f: SessionFilter) -> DataFrame:
     """Agents that used tokens, with their share of the largest."""
-    return r.usage(t, f).where("total <> 0").withColumn("percent", bar_percent(F.col("total"), F.max("total").over(_ALL)))
+    return r.usage(t, f).where("total <> 0").withColumn("percent", bar_percent(F.col("total"), F.max("total").over(_all())))
 
 
 def project_bars(t: Tables, f: SessionFilter, top: int = 10) -> DataFrame:
@@ -98,7 +101,7 @@ def project_bars(t: Tables, f: SessionFilter, top: int = 10) -> DataFrame:
 
 def model_board(t: Tables, f: SessionFilter, top: int = 8) -> DataFrame:
     """Models by tokens with the whole percent of all tokens, rounded down."""
-    g = r.usage_by_model(t, f).withColumn("percent", F.floor(F.col("total") * 100 / F.sum("total").over(_ALL)))
+    g = r.usage_by_model(t, f).withColumn("percent", F.floor(F.col("total") * 100 / F.sum("total").over(_all())))
     return g.orderBy(F.desc("total"), "model").limit(top)
 
 
@@ -140,7 +143,7 @@ def activity_trend(t: Tables, f: SessionFilter, top: int = TOP) -> DataFrame:
 
 
 def _priced_days(t: Tables, f: SessionFilter, extra: dict | None = None) -> DataFrame:
-    keys = {"day": r.DAY, "model": r.MODEL} | (extra or {})
+    keys = {"day": r.day(), "model": r.model()} | (extra or {})
     return r._priced(t, f, keys)
 
 
@@ -149,7 +152,7 @@ def spend_trend(t: Tables, f: SessionFilter) -> DataFrame:
     g = _priced_days(t, f).groupBy(_bucket(f, F.col("day")).alias("bucket")).agg(F.sum("cost_nano").alias("c"), F.sum("total_tokens").alias("n"))
     spine = r.day_span(t.sessions, f).select(_bucket(f, F.col("date")).alias("bucket")).distinct()
     full = spine.join(g, "bucket", "left").select("bucket", F.coalesce("c", F.lit(0)).alias("cost_nano"), F.coalesce("n", F.lit(0)).alias("tokens"))
-    share = lambda c: F.coalesce(F.round(F.col(c) * 100.0 / F.nullif(F.max(c).over(_ALL), F.lit(0)), 4), F.lit(0.0))
+    share = lambda c: F.coalesce(F.round(F.col(c) * 100.0 / F.nullif(F.max(c).over(_all()), F.lit(0)), 4), F.lit(0.0))
     return full.withColumns({"cost_pct": share("cost_nano"), "tokens_pct": share("tokens")})
 
 
@@ -167,7 +170,7 @@ def punchcard_grid(t: Tables, f: SessionFilter, offset_hours: int = 0) -> DataFr
     local = p.select(F.pmod(F.col("dow") + carry, F.lit(7)).alias("dow"), F.pmod("_h", F.lit(24)).alias("hour"), "sessions").groupBy("dow", "hour").agg(F.sum("sessions").alias("sessions"))
     spine = t.sessions.sparkSession.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("dow"), (F.col("id") % 24).cast("int").alias("hour"))
     full = spine.join(local, ["dow", "hour"], "left").select("dow", "hour", F.coalesce("sessions", F.lit(0)).alias("sessions"))
-    return full.withColumn("level", heat_level(F.col("sessions"), F.max("sessions").over(_ALL)))
+    return full.withColumn("level", heat_level(F.col("sessions"), F.max("sessions").over(_all())))
 
 
 def schedule_kpis(t: Tables, f: SessionFilter, offset_hours: int = 0) -> DataFrame:
@@ -196,7 +199,7 @@ def _dimension(t: Tables, names: list[str]) -> DataFrame:
 def durations_card(t: Tables, f: SessionFilter) -> DataFrame:
     """(position, bucket, sessions, percent): all buckets, in order."""
     full = _dimension(t, [b for _, b in r.BUCKETS]).join(r.durations(t, f), "bucket", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
-    return full.select("position", "bucket", "sessions", bar_percent(F.col("sessions"), F.max("sessions").over(_ALL)).alias("percent"))
+    return full.select("position", "bucket", "sessions", bar_percent(F.col("sessions"), F.max("sessions").over(_all())).alias("percent"))
 
 
 def kind_bars(t: Tables, f: SessionFilter) -> DataFrame:
@@ -207,12 +210,13 @@ def subagent_totals(t: Tables, f: SessionFilter) -> DataFrame:
     return r.subagents(t, f).agg(*[F.coalesce(fn(c), F.lit(0)).alias(c) for c, fn in (("parents", F.sum), ("children", F.sum), ("max_fanout", F.max))])
 
 
-_KIND = F.when(F.col("parent_session_id").isNull(), "direct").otherwise("subagent")
+def _kind() -> Column:
+    return F.when(F.col("parent_session_id").isNull(), "direct").otherwise("subagent")
 
 
 def delegation_kpis(t: Tables, f: SessionFilter) -> DataFrame:
     """(spawning, children, max_fanout, delegated_pct, subagent_cost_nano): one row."""
-    u = _priced_days(t, f, {"kind": _KIND})
+    u = _priced_days(t, f, {"kind": _kind()})
     sub = F.col("kind") == "subagent"
     a = u.agg(F.sum(F.when(sub, F.col("total_tokens"))).alias("s"), F.sum("total_tokens").alias("n"), F.sum(F.when(sub, F.col("cost_nano"))).alias("c"))
     a = a.select(F.round(F.coalesce("s", F.lit(0)) * 100 / F.nullif("n", F.lit(0))).cast("long").alias("delegated_pct"), F.col("c").alias("subagent_cost_nano"))
@@ -236,7 +240,7 @@ def fanout_histogram(t: Tables, f: SessionFilter) -> DataFrame:
     bucket = F.when(c == 1, "1").when(c == 2, "2").when(c <= 4, "3-4").when(c <= 8, "5-8").otherwise("9+")
     g = r.subagent_parents(t, f).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("sessions"))
     full = _dimension(t, FANOUT).join(g, "bucket", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
-    return full.select("position", "bucket", "sessions", bar_percent(F.col("sessions"), F.max("sessions").over(_ALL)).alias("percent"))
+    return full.select("position", "bucket", "sessions", bar_percent(F.col("sessions"), F.max("sessions").over(_all())).alias("percent"))
 
 
 def top_delegators(t: Tables, f: SessionFilter, top: int = 8) -> DataFrame:
@@ -259,7 +263,7 @@ def profile_board(t: Tables, f: SessionFilter) -> DataFrame:
 
 def project_board(t: Tables, f: SessionFilter) -> DataFrame:
     g = r.projects(t, f).groupBy("project").agg(F.sum("sessions").alias("sessions"))
-    return g.withColumn("percent", F.round(F.col("sessions") * 100.0 / F.sum("sessions").over(_ALL), 4))
+    return g.withColumn("percent", F.round(F.col("sessions") * 100.0 / F.sum("sessions").over(_all()), 4))
 
 
 def filter_options(t: Tables) -> DataFrame:
