@@ -13,10 +13,17 @@ from logloom.llm import decontam, pieces, pii, simhash, toxicity
 from logloom.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of an Arrow batch. Whole texts go to Python, and Python workers live on from stage to stage with the memory of their largest batch.
+BATCH_ROWS = 1000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; null and empty texts stay. The model is fitted on labelled documents."""
+    _bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -24,21 +31,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates by shingles of five words; documents without a doc_id stay."""
+    _bound_batches(spark)
     return simhash.drop_near_duplicates(docs.select(*COLUMNS), words=5)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bound_batches(spark)
     return decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts put in general terms; n_chars follows the text."""
+    _bound_batches(spark)
     return pii.sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids that decode to their texts."""
+    _bound_batches(spark)
     rows = pieces.encode(docs.select(*COLUMNS), pieces.vocabulary(spark), keep=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
 

@@ -21,9 +21,9 @@ from .common import quoted, table
 MARK = "▁"
 #: The vocabulary file of op6 and the pipeline; a parameter of everything below.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = 4 << 20  # characters whose distinct words are sorted at a time
-_ROWS = 1024  # rows encoded and passed on at a time
-_WORDS, _PAIRS = 200_000, 1 << 19  # words and pairs of pieces that a task remembers at most; it forgets all beyond
+_CHUNK = 1 << 20  # characters whose distinct words are sorted at a time
+_ROWS = 512  # rows encoded and passed on at a time
+_WORDS, _PAIRS = 100_000, 1 << 18  # words and pairs of pieces that a task remembers at most; it forgets all beyond
 
 
 class Vocabulary:
