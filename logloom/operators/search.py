@@ -125,6 +125,11 @@ class Query:
         return here & F.exists(places(words[0]), lambda i: reduce(and_, [F.exists(places(w), lambda j: F.abs(i - j) - 1 <= node[2]) for w in words[1:]], F.lit(True)))
 
 
+def _is(word: str):
+    """A test of one argument; a second, with a default too, would get the place in the array."""
+    return lambda x: x == word
+
+
 def ranked_turns(turns: DataFrame, query: str) -> DataFrame:
     """Turns that match, with `rank`, BM25 over all searchable turns (higher is better)."""
     q = Query(query)
@@ -135,7 +140,7 @@ def ranked_turns(turns: DataFrame, query: str) -> DataFrame:
     n, avg = stats["n"], stats["avg"] or 1.0
     score = F.lit(0.0)
     for i, w in enumerate(terms):
-        tf = F.size(F.filter("_t", lambda x, w=w: x == w)).cast("double")
+        tf = F.size(F.filter("_t", _is(w))).cast("double")
         idf = F.log(F.lit(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_t") / avg))
     return docs.where(q.match(F.col("_t"))).withColumn("rank", score).withColumn("terms", F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"))
