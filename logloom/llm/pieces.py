@@ -21,9 +21,9 @@ from .common import quoted, table
 MARK = "▁"
 #: The vocabulary file of op6 and the pipeline; a parameter of everything below.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = 2 << 20  # characters whose distinct words are sorted at a time
-_ROWS = 1024  # rows encoded and passed on at a time
-_WORDS, _PAIRS = 200_000, 1 << 19  # words and pairs of pieces that a Python worker remembers at most; it forgets all beyond
+_CHUNK = 1 << 20  # characters whose distinct words are sorted at a time
+_ROWS = 512  # rows encoded and passed on at a time
+_WORDS, _PAIRS = 100_000, 1 << 18  # words that a task, and pairs of pieces that a Python worker remembers at most; all are forgotten beyond
 
 
 class Vocabulary:
@@ -56,16 +56,11 @@ class Vocabulary:
         #: No piece goes from a character that is no mark to a mark, nor over a character that stands alone.
         assert not any(MARK in p.lstrip(MARK) for p in self.id)
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
-        self._encoder = None
-
-    def encoder(self) -> "Encoder":
-        """The encoder of this process: what it has learnt about words serves a worker's later tasks too."""
-        if self._encoder is None:
-            self._encoder = Encoder(self)
-        return self._encoder
+        #: Whether a piece may follow another, as learnt in this process; serves a worker's later tasks too.
+        self.follows: dict[int, bool] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_encoder": None}
+        return self.__dict__ | {"follows": {}}
 
 
 def merge(v: Vocabulary, text: str) -> list[str]:
@@ -87,7 +82,7 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.none = len(v.pieces)  # stands for the start of a word and for a character without a piece: neither merges with what follows
-        self.follows: dict[int, bool] = {}
+        self.follows = v.follows
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, piece: str) -> tuple[int, ...]:
@@ -186,7 +181,7 @@ def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids",
         import pyarrow as pa
 
         v = vocab.value
-        e = v.encoder()
+        e = Encoder(v)  # keeps what is learnt about words from batch to batch
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)
