@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logloom.llm import decontam, pieces, pii, simhash, toxicity
 from logloom.llm.common import stored, table
 
+SIMILARITY = 0.8  # Jaccard, of the sets of five-word shingles
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of an Arrow batch. Whole texts go to Python, and Python workers live on from stage to stage with the memory of their largest batch.
 BATCH_ROWS = 1000
@@ -30,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates by shingles of five words; documents without a doc_id stay."""
+    """One document, that of the smallest doc_id, of each group of near duplicates, linked by SIMILARITY of shingles of five words; documents without a doc_id stay."""
     _bound_batches(spark)
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS), words=5)
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS), words=5, similarity=SIMILARITY)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
