@@ -47,3 +47,16 @@ def test_similar_groups_in_tiles(spark, monkeypatch, tile):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = dict(simhash.near_duplicates(docs, words=5, similarity=0.8).select("doc_id", "component_id").collect())
     assert [got[i] for i in range(len(texts))] == low
+
+
+def test_texts_with_a_common_line_stay(spark):
+    """Different texts that repeat the same line have close fingerprints; before, all but one of a line were dropped."""
+    r = random.Random(9)
+    rows = []
+    for line in range(4):
+        common = " ".join(f"c{r.randrange(3000)}" for _ in range(11))
+        for _ in range(10):
+            rows.append((len(rows), " ".join(f"w{r.randrange(3000)}" for _ in range(100)) + " " + " ".join([common] * r.randint(40, 300))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.drop_near_duplicates(docs, words=5).count() < 20  # by fingerprints alone
+    assert simhash.drop_near_duplicates(docs, words=5, similarity=0.8).count() == len(rows)
