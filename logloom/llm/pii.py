@@ -1,9 +1,11 @@
 """PII: patterns find what must be protected; corpus co-occurrence finds what else reveals it.
 
-A protected entity is the value of a pattern's match. A term within `WINDOW` words of an entity is taken to
-disclose it when seeing the term leaves at most `RESIDUAL_BITS` bits of doubt about the entity, -log2 p(entity | term),
-and takes away `GAINED_BITS` at least, its pointwise mutual information. Terms that disclose an
-entity are removed or generalised wherever they stand.
+A protected entity is the value of a pattern's match, and so is what recurs where values don't: an e-mail's domain, an
+IP's first three parts. A term within `WINDOW` words of an entity is taken to disclose it when seeing the term leaves at
+most `RESIDUAL_BITS` bits of doubt about the entity, -log2 p(entity | term), and takes away `GAINED_BITS` at least, its
+pointwise mutual information. The first p is smoothed by `SMOOTHING` texts in which the entity is as frequent as anywhere, so one text
+isn't enough; it is for a term that the e-mail's own local part spells, whose p is the plain share.
+Terms that disclose an entity are removed or generalised wherever they stand.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bloom_has, build_bloom, ensure_checkpoint_dir, quoted, split_by_bloom, table
 
 WINDOW = 6  # words on either side of an entity
-MIN_TEXTS = 3  # different texts that must hold a term by an entity
+SMOOTHING = 2.0  # texts that stand for what is known without the term
 RESIDUAL_BITS = 1.0
 GAINED_BITS = 3.0
 _REACH = 400  # characters on either side in which those words are looked for
@@ -111,8 +113,19 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode(), 42)
 
 
+def _entities(value: str, kind: str) -> list[tuple[str, set[str]]]:
+    """The entities of a match, each with the words that it spells."""
+    out = [(f"{kind}:{value}", set())]
+    if kind == "email":
+        local, domain = value.split("@", 1)
+        out = [(out[0][0], set(_TERM.findall(local))), (f"domain:{domain}", set())]
+    elif kind == "ip":
+        out.append((f"net:{value.rsplit('.', 1)[0]}", set()))
+    return out
+
+
 def _evidence(batches):
-    """(term, entity, text): a term near an entity; term '' for the entity itself. text: a hash of the whole text."""
+    """(term, entity, text, spelled): a term near an entity; term '' for the entity itself. text: a hash of the whole text."""
     for pdf in batches:
         out = []
         for t in pdf["text"]:
@@ -120,11 +133,16 @@ def _evidence(batches):
             if spans:
                 whole, cover = _hash(t), _Cover(spans)
                 for s in spans:
-                    e = _hash(f"{s[2]}:{_value(t, s)}")
-                    out += [(term, e, whole) for term in _near_terms(t, s, cover)]
-                    out.append(("", e, whole))
+                    near = _near_terms(t, s, cover)
+                    for name, spelled in _entities(_value(t, s), s[2]):
+                        e = _hash(name)
+                        out += [(term, e, whole, term in spelled) for term in near]
+                        out.append(("", e, whole, False))
         out = list(set(out))
-        yield pd.DataFrame({"term": pd.Series([x[0] for x in out], dtype=object), "entity": np.array([x[1] for x in out], np.uint64).view(np.int64), "text": np.array([x[2] for x in out], np.uint64).view(np.int64)})
+        yield pd.DataFrame({
+            "term": pd.Series([x[0] for x in out], dtype=object), "entity": np.array([x[1] for x in out], np.uint64).view(np.int64),
+            "text": np.array([x[2] for x in out], np.uint64).view(np.int64), "spelled": np.array([x[3] for x in out], bool),
+        })
 
 
 class _Terms:
@@ -148,12 +166,15 @@ def _term_hash(col: str = "term") -> Column:
     return F.xxhash64(col)  # XXH64 of the UTF-8 bytes with seed 42, as _hash
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, residual_bits: float = RESIDUAL_BITS, gained_bits: float = GAINED_BITS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float = SMOOTHING, residual_bits: float = RESIDUAL_BITS, gained_bits: float = GAINED_BITS) -> DataFrame:
     """(term): lower-cased terms that disclose an entity, by counts over all different texts of docs."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"))
-    near = rows.mapInPandas(_evidence, "term string, entity long, text long").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).checkpoint()
+    near = rows.mapInPandas(_evidence, "term string, entity long, text long, spelled boolean").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n"), F.max("spelled").alias("spelled"))
+    # of one text, smoothed: p <= (1 + s p0) / (1 + s), which is below what is asked for
+    alone = (1 + smoothing * 2.0**-gained_bits) / (1 + smoothing) < 2.0**-residual_bits
+    pairs = pairs.where((F.col("term") == "") | F.col("spelled") | (F.col("n") >= (2 if alone else 1))).checkpoint()
     bloom = rows.sparkSession.sparkContext.broadcast(build_bloom(pairs.where("term <> ''").select(_term_hash().alias("h")), "h"))
 
     def count(batches):
@@ -170,8 +191,10 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = M
     total = counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entities = pairs.where("term = ''").select("entity", F.col("n").alias("of_entity"))
     found = pairs.where("term <> ''").join(counts.where("term <> ''").withColumnRenamed("n", "of_term"), "term").join(entities, "entity")
-    residual = -F.log2(F.least(F.lit(1.0), F.col("n") / F.col("of_term")))
-    gained = F.log2(F.lit(float(total)) / F.col("of_entity")) - residual
+    prior = F.col("of_entity") / F.lit(float(total))
+    more = F.when(F.col("spelled"), 0.0).otherwise(smoothing)
+    residual = -F.log2(F.least(F.lit(1.0), (F.col("n") + more * prior) / (F.col("of_term") + more)))
+    gained = F.log2(F.least(F.lit(1.0), F.col("n") / F.col("of_term")) / prior)
     return found.where((residual <= residual_bits) & (gained >= gained_bits)).select("term").distinct()
 
 
