@@ -187,7 +187,11 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float =
                         got[w] = got.get(w, 0) + 1
             yield pd.DataFrame({"term": ["", *got], "n": [seen, *got.values()]})
 
-    counts = rows.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).checkpoint()
+    # copies of a text count once, as they do in near; only texts that may have copies are shuffled
+    keyed = rows.select(F.xxhash64("text").alias("key"), "text")
+    once, maybe = split_by_bloom(keyed, "key", keyed.groupBy("key").count().where("count > 1").select("key"))
+    different = once.union(maybe.dropDuplicates(["key"])).select("text")
+    counts = different.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).checkpoint()
     total = counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entities = pairs.where("term = ''").select("entity", F.col("n").alias("of_entity"))
     found = pairs.where("term <> ''").join(counts.where("term <> ''").withColumnRenamed("n", "of_term"), "term").join(entities, "entity")

@@ -18,3 +18,13 @@ def test_names_in_few_texts(spark):
     assert {r[0] for r in pii.disclosing_terms(docs).collect()} == {"zarquon", "trillian", "hooloovoo"}
     clean = dict(pii.sanitise(docs).select("doc_id", "text").collect())
     assert clean[61].endswith("saw [TERM]") and clean[5] == rows[5]
+
+
+def test_copies_count_once(spark):
+    """Repeated rows change nothing; before, a term of three texts of ten copies each no longer disclosed its entity."""
+    r = random.Random(2)
+    rows = [_words(r, 30) for _ in range(60)]
+    few = [f"{_words(r, k)} Trillian 4692819832630923 {_words(r, 8)}" for k in (8, 9, 10)]
+    for copies in (1, 10):
+        docs = spark.createDataFrame(list(enumerate(rows + few * copies)), "doc_id long, text string")
+        assert {r[0] for r in pii.disclosing_terms(docs).collect()} == {"trillian"}
