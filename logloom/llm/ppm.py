@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stored, table, utf8
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 20
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
