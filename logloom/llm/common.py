@@ -16,10 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; make a folder only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
+    """Use the cluster's spark.checkpoint.dir; make a folder of this machine only in local mode, where none is set."""
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -92,42 +93,46 @@ def spanning_links(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return k, label[k]
 
 
-# -- a Bloom filter of fixed size, tested in numpy ---------------------------------------------
+# -- a Bloom filter sized by its keys, tested in numpy --------------------------------------------
 
-BLOOM_BITS = 24  # 2^24 bits = 2 MB whatever the number of keys; more keys only mean more false hits
+#: At most 2^27 bits (16 MB): enough for 4 million keys at 32 bits a key. More keys mean more false hits, never a miss, and no larger filter.
+BLOOM_BITS = 27
+_BLOOM_LEAST = 12
+_BLOOM_FULL = 1 / 16  # share of set bits up to which a filter may be halved
 
 
-def _bloom_positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = h.astype(np.uint64)
-    m = np.uint64((1 << bits) - 1)
-    return h & m, (h >> np.uint64(64 - bits)) & m
+class Bloom:
+    """Words of 64 bits; two bits for each key."""
 
+    def __init__(self, words: np.ndarray, bits: int):
+        while bits > _BLOOM_LEAST and 2 * int(np.bitwise_count(words).sum(dtype=np.int64)) <= _BLOOM_FULL * len(words) * 64:
+            words, bits = words[: len(words) // 2] | words[len(words) // 2 :], bits - 1
+        self.words, self.mask = words, np.uint64((1 << bits) - 1)
 
-def build_bloom(keys: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bit array of 2^bits bits over the long hashes in `col`; what reaches the driver is at most 2^bits / 8 bytes.
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether each of the hashes (any 64-bit integers) may be a key; False is sure."""
+        h = h.view(np.uint64) if h.dtype == np.int64 else h.astype(np.uint64)
+        ok = np.ones(len(h), bool)
+        for p in (h & self.mask, (h >> np.uint64(64 - BLOOM_BITS)) & self.mask):
+            ok &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def build_bloom(keys: DataFrame, col: str) -> Bloom:
+    """Filter over the long hashes in `col`, made in one pass; at most 2^21 words of 16 bytes reach the driver, fewer than two a key.
 
     Keys may repeat and may be any number; null keys are left out.
     """
-    m = (1 << bits) - 1
-    k = F.col(col)
-    pos = keys.where(k.isNotNull()).select(
-        F.explode(F.array(k.bitwiseAND(F.lit(m)), F.shiftrightunsigned(k, 64 - bits).bitwiseAND(F.lit(m)))).alias("p")
-    )
+    k, m = F.col(col), (1 << BLOOM_BITS) - 1
+    pos = keys.where(k.isNotNull()).select(F.explode(F.array(k.bitwiseAND(F.lit(m)), F.shiftrightunsigned(k, 64 - BLOOM_BITS).bitwiseAND(F.lit(m)))).alias("p"))
     words = (
         pos.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
         .groupBy("w").agg(F.bit_or("b").alias("b"))
     )
-    out = np.zeros(1 << (bits - 6), np.int64)
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     got = words.toArrow()
     out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def bloom_has(bloom: np.ndarray, h: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for p in _bloom_positions(h, bits):
-        ok &= (bloom[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-    return ok
+    return Bloom(out.view(np.uint64), BLOOM_BITS)
 
 
 def utf8(texts: pd.Series) -> list[bytes]:
@@ -138,13 +143,13 @@ def utf8(texts: pd.Series) -> list[bytes]:
 def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not among `keys`, the other rows); keys has the one column `key`.
 
-    So that few rows, not all, are shuffled to an exact join. The filter has a fixed size.
+    So that few rows, not all, are shuffled to an exact join. The filter is of 16 MB at most (see Bloom).
     """
     bloom = df.sparkSession.sparkContext.broadcast(build_bloom(keys.select(F.xxhash64(key).alias("h")), "h"))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom_has(bloom.value, h.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
 
     m = maybe(F.xxhash64(key))
     return df.where(~m), df.where(m)

@@ -1,29 +1,43 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are put into size classes: those shorter than a shingle by their number of words, and the others. Of an
-item, the MinHash sketch is its SKETCH smallest shingle hashes, so that a short item's sketch is all of it, and a
-document of any length is asked only whether it holds one of those: it misses all of a sketch of k hashes of
-an item of which it holds the share c with probability (1 - c)^k. A shared sketch hash makes a candidate;
-the shingles themselves decide.
+The sets differ greatly in size, an item's few shingles and a long document's many, so that their resemblance says
+nothing; the sketch is one of containment: the MinHash values of the item alone, its smallest shingle hashes, looked up in each
+document. Items are partitioned by size, their number of distinct shingles, from each power of two to the next; a partition's sketch has
+`sketch_size` hashes. A document that holds the threshold's share of an item lacks so few shingles that one of the sketch is surely
+met, or, in partitions of large items, is met but for a probability of MISS. Documents are asked only for items
+of partitions that their own number of shingles can hold. A pass over all texts finds which documents meet which sketches; these
+documents alone are read again, and the shingles themselves decide on these items alone.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, build_bloom, drop_keys, ensure_checkpoint_dir, table, utf8
+from .common import build_bloom, drop_keys, ensure_checkpoint_dir, split_by_bloom, table, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
-#: At the threshold, an item of this many shingles or more is missed with probability 0.2^24; shorter items are kept whole.
-SKETCH = 24
+MISS = 1e-9  # probability that a document that holds an item at the threshold meets none of its sketch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sketch_size(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Hashes in the sketch of an item of n distinct shingles: of its size partition's largest item.
+
+    Whoever holds the threshold's share of N shingles lacks N - ceil(threshold N) at most: one hash more suffices.
+    k random hashes are all among those with probability (1 - threshold)^k at most.
+    """
+    largest = (1 << n.bit_length()) - 1
+    lacks = largest - math.ceil(threshold * largest - 1e-9)
+    return min(n, lacks + 1, max(1, math.ceil(math.log(miss) / math.log(1 - threshold))) if threshold < 1 else 1)
+
+
 def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words, by place, from the words' hashes."""
     out = np.full(max(len(h) - n + 1, 0), n, np.uint64)
@@ -37,76 +51,86 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _runs(words: list[bytes], n: int, keep=None) -> dict[bytes, int]:
-    """Distinct runs of n words with their hashes; keep: tells which hashes matter."""
-    h = _run_hashes(_word_hashes(words), n)
-    at = np.arange(len(h)) if keep is None else np.flatnonzero(keep(h))
-    return {b" ".join(words[i : i + n]): int(x) for i, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)}
-
-
-def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(item_id, size_class, shingle, h, sketched, total): the distinct shingles of each item that has a word.
+def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, item_id, n, run, h, sketched, total): the distinct shingles of each different item that has a word.
 
-    size_class is the number of words of a shingle: `words`, or all the words of a shorter item.
+    item: hash of id and text; n: number of words of a shingle, `words` or all the words of a shorter item.
     """
     kind = dict(items.dtypes)[id_col]
 
     def run(batches):
         for pdf in batches:
             out = []
-            for i, t in zip(pdf["id"].tolist(), utf8(pdf["text"]), strict=True):
+            for i, j, t in zip(pdf["item"].tolist(), pdf["item_id"].tolist(), utf8(pdf["text"]), strict=True):
                 w = t.lower().split()
                 n = min(len(w), words)
-                found = _runs(w, n) if n else {}
-                sketch = set(sorted(x % (1 << 64) for x in found.values())[:SKETCH])
-                out += [(i, n, s, h, h % (1 << 64) in sketch, len(found)) for s, h in found.items()]
-            yield pd.DataFrame(out, columns=["item_id", "size_class", "shingle", "h", "sketched", "total"])
+                h = _run_hashes(_word_hashes(w), n) if n else ()
+                found = {b" ".join(w[k : k + n]): x for k, x in enumerate(h)}
+                sketch = set(sorted(set(found.values()))[: sketch_size(len(found), threshold)]) if found else ()
+                out += [(i, j, n, s, int(x.view(np.int64)), x in sketch, len(found)) for s, x in found.items()]
+            yield pd.DataFrame(out, columns=["item", "item_id", "n", "run", "h", "sketched", "total"])
 
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"item_id {kind}, size_class int, shingle binary, h long, sketched boolean, total int")
+    rows = items.select(F.xxhash64(id_col, text_col).alias("item"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).dropDuplicates(["item", "item_id"])
+    return rows.mapInPandas(run, f"item long, item_id {kind}, n int, run binary, h long, sketched boolean, total int")
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, containment): each document with each item of whose distinct word shingles it holds the share `threshold` or more.
-
-    A-Z are lower-cased and words split at ASCII white space. An item of fewer than `words` words is one shingle,
-    a run of words. Null, empty and blank texts hold nothing and are held by nothing. Rows that repeat a
-    (doc_id, item_id) give their largest containment once; a null id takes part like any other.
-
-    One pass over the texts; what leaves it are the runs of words that some item has. What is broadcast to find
-    them has a fixed size.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-    shingles = item_shingles(items, item_id_col, item_text_col, words).checkpoint()
-    lengths = sorted(r[0] for r in shingles.select("size_class").distinct().collect())  # `words` values at most
-    bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(shingles, "h"))
+def _text_runs(bloom, lengths: list[int], whole: bool):
+    """A pass over (row, doc_id, text): each text's distinct runs of words whose hash the filter may have; as words where `whole`, with the text's number of runs."""
 
     def search(batches):
         for pdf in batches:
-            ids, own, runs, hashes, sizes = pdf["doc_id"], [], [], [], []
+            own, runs, hashes, sizes, held = [], [], [], [], []
             for k, t in enumerate(utf8(pdf["text"])):
                 w = t.lower().split()
                 wh = _word_hashes(w) if w else np.zeros(0, np.uint64)
                 for n in lengths:
                     h = _run_hashes(wh, n)
-                    at = np.flatnonzero(bloom_has(bloom.value, h))
+                    at = np.flatnonzero(bloom.value.has(h))
                     if len(at):
-                        found = {b" ".join(w[i : i + n]): x for i, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)}
+                        found = {b" ".join(w[i : i + n]) if whole else x: x for i, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)}
                         own += [k] * len(found)
                         runs += found.keys()
                         hashes += found.values()
                         sizes += [n] * len(found)
-            yield pd.DataFrame({"row": pdf["row"].to_numpy()[own], "doc_id": ids.iloc[own].reset_index(drop=True), "n": np.array(sizes, np.int32), "run": pd.Series(runs, dtype=object), "hash": np.array(hashes, np.int64)})
+                        held += [len(h)] * len(found)
+            out = {"row": pdf["row"].to_numpy()[own], "doc_id": pdf["doc_id"].iloc[own].reset_index(drop=True), "n": np.array(sizes, np.int32)}
+            yield pd.DataFrame(out | ({"run": pd.Series(runs, dtype=object)} if whole else {"h": np.array(hashes, np.int64), "held": np.array(held, np.int64)}))
+
+    return search
+
+
+def candidates(rows: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, doc_id, item, item_id) of texts (row, doc_id, text) that meet an item's sketch and have shingles enough for it."""
+    sketch = shingles.where("sketched").select("item", "item_id", "n", "h", "total")
+    lengths = sorted(r[0] for r in sketch.select("n").distinct().collect())  # a few numbers: a shingle's words at most
+    bloom = rows.sparkSession.sparkContext.broadcast(build_bloom(sketch, "h"))
+    met = rows.mapInPandas(_text_runs(bloom, lengths, False), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, h long, held long")
+    return met.join(sketch, ["n", "h"]).where(F.col("held") >= threshold * F.col("total") - 1e-9).select("row", "doc_id", "item", "item_id").distinct()
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, containment): each document with each item of whose distinct word shingles it holds the share `threshold` or more.
+
+    A-Z are lower-cased and words split at ASCII white space. An item of fewer than `words` words is one shingle,
+    a run of words. Null, empty and blank texts hold nothing and are held by nothing, texts of any length are taken whole. Each row is a
+    document and an item of its own: rows that repeat an id with other texts are not put together, and those that
+    repeat a (doc_id, item_id) give their largest containment once. A null id takes part like any other; other columns are not looked at.
 
+    The filters broadcast are of a bounded size; what the passes over texts pass on are runs of words that some item has.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    shingles = item_shingles(items, item_id_col, item_text_col, words, threshold).checkpoint()
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInPandas(search, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, run binary, hash long").distinct().checkpoint()
-    sketch = shingles.where("sketched").select("item_id", F.col("size_class").alias("n"), F.col("h").alias("hash"))
-    candidates = found.select("row", "n", "hash").join(sketch, ["n", "hash"]).select("row", "item_id").distinct()
-    whole = shingles.select("item_id", F.col("size_class").alias("n"), F.col("shingle").alias("run"), "total").distinct()
-    held = found.select("row", "doc_id", "n", "run").join(whole, ["n", "run"])
-    held = held.join(candidates.select(F.col("row").alias("_r"), F.col("item_id").alias("_i")), (F.col("row") == F.col("_r")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
-    pairs = held.groupBy("row", "doc_id", "item_id").agg((F.count_distinct("run") / F.max("total")).alias("containment"))
-    return pairs.where(F.col("containment") >= threshold).groupBy(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col)).agg(F.max("containment").alias("containment"))
+    pairs = candidates(rows, shingles, threshold).checkpoint()
+    asked = shingles.join(pairs.select("item", "item_id").distinct().select(F.col("item").alias("_i"), F.col("item_id").alias("_id")), (F.col("item") == F.col("_i")) & F.col("item_id").eqNullSafe(F.col("_id")), "left_semi").select("item", "item_id", "n", "run", "h", "total").checkpoint()
+    lengths = sorted(r[0] for r in asked.select("n").distinct().collect())
+    bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(asked, "h"))
+    texts = split_by_bloom(rows, "row", pairs.select("row"))[1].mapInPandas(_text_runs(bloom, lengths, True), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, run binary").distinct()
+    held = texts.join(asked.drop("h"), ["n", "run"])
+    which = pairs.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d"), F.col("item").alias("_i"), F.col("item_id").alias("_id"))
+    same = (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_id"))
+    share = held.join(which, same, "left_semi").groupBy("row", "doc_id", "item", "item_id").agg((F.count("*") / F.max("total")).alias("containment"))
+    return share.where(F.col("containment") >= threshold).groupBy(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col)).agg(F.max("containment").alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -116,17 +140,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **h
 
 
 def op8(spark, sf_dir):
+    """(doc_id, item_id, containment) of all documents and benchmark items: five-word shingles, 0.8 or more. Cases as in contained()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contained(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 OP8_SQL = f"""
-WITH i AS (SELECT item_id, w, least(len(w), {WORDS}) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
-s AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS run FROM i),
-t AS (SELECT item_id, count(*) AS total FROM s GROUP BY item_id),
-d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
-r AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS run FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n)
-SELECT doc_id, item_id, count(*) / max(total) AS containment FROM r JOIN s USING (n, run) JOIN t USING (item_id)
-GROUP BY doc_id, item_id HAVING count(*) / max(total) >= {THRESHOLD}
+WITH i AS (SELECT row_number() OVER () AS k, item_id, w, least(len(w), {WORDS}) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+s AS (SELECT DISTINCT k, item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS run FROM i),
+t AS (SELECT k, count(*) AS total FROM s GROUP BY k),
+d AS (SELECT row_number() OVER () AS j, doc_id, {_WORDS_SQL} AS w FROM documents),
+r AS (SELECT DISTINCT j, doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS run FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n),
+c AS (SELECT doc_id, item_id, count(*) / max(total) AS containment FROM r JOIN s USING (n, run) JOIN t USING (k) GROUP BY j, k, doc_id, item_id)
+SELECT doc_id, item_id, max(containment) AS containment FROM c WHERE containment >= {THRESHOLD} GROUP BY doc_id, item_id
 """

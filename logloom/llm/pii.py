@@ -11,7 +11,8 @@ Terms that disclose an entity are removed or generalised wherever they stand.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, build_bloom, ensure_checkpoint_dir, quoted, split_by_bloom, table
+from .common import Bloom, build_bloom, ensure_checkpoint_dir, quoted, split_by_bloom, table
 
 WINDOW = 6  # words on either side of an entity
 SMOOTHING = 2.0  # texts that stand for what is known without the term
 RESIDUAL_BITS = 1.0
 GAINED_BITS = 3.0
-_REACH = 400  # characters on either side in which those words are looked for
 
 #: The kinds in the order in which equal starts are listed, and what replaces them.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -101,12 +101,19 @@ class _Cover:
         return i < len(self.starts) and self.starts[i] < end
 
 
-def _near_terms(text: str, span, covered: _Cover) -> set[str]:
-    """Terms within WINDOW words of a span that are no part of a span; a term that the reach cuts doesn't count."""
-    lo, hi = max(0, span[0] - _REACH), min(len(text), span[1] + _REACH)
-    left = [m for m in _TERM.finditer(text, lo, span[0]) if m.start() > lo or lo == 0][-WINDOW:]
-    right = [m for m in _TERM.finditer(text, span[1], hi) if m.end() < hi or hi == len(text)][:WINDOW]
-    return {m[0].lower() for m in left + right if not covered(*m.span())}
+class _Near:
+    """Terms within WINDOW words of a span, however far away, that are no part of a span."""
+
+    def __init__(self, text: str, covered: _Cover):
+        self.text, self.covered, self.starts, self.ends = text, covered, array("q"), array("q")
+        for m in _TERM.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def __call__(self, span) -> set[str]:
+        left, right = bisect_right(self.ends, span[0]), bisect_left(self.starts, span[1])
+        at = [*range(max(0, left - WINDOW), left), *range(right, min(right + WINDOW, len(self.starts)))]
+        return {self.text[s:e].lower() for s, e in ((self.starts[i], self.ends[i]) for i in at) if not self.covered(s, e)}
 
 
 def _hash(s: str) -> int:
@@ -131,9 +138,9 @@ def _evidence(batches):
         for t in pdf["text"]:
             spans = base_spans(t)
             if spans:
-                whole, cover = _hash(t), _Cover(spans)
+                whole, near_to = _hash(t), _Near(t, _Cover(spans))
                 for s in spans:
-                    near = _near_terms(t, s, cover)
+                    near = near_to(s)
                     for name, spelled in _entities(_value(t, s), s[2]):
                         e = _hash(name)
                         out += [(term, e, whole, term in spelled) for term in near]
@@ -148,7 +155,7 @@ def _evidence(batches):
 class _Terms:
     """Which words are possible terms of a set given as a Bloom filter; remembers some words."""
 
-    def __init__(self, bloom: np.ndarray):
+    def __init__(self, bloom: Bloom):
         self.bloom, self.known = bloom, {}
 
     def of(self, text: str) -> set[str]:
@@ -157,7 +164,7 @@ class _Terms:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            ok = bloom_has(self.bloom, np.array([_hash(w.lower()) for w in new], np.uint64))
+            ok = self.bloom.has(np.array([_hash(w.lower()) for w in new], np.uint64))
             self.known.update(zip(new, ok.tolist(), strict=True))
         return {w for w in words if self.known[w]}
 
@@ -167,7 +174,10 @@ def _term_hash(col: str = "term") -> Column:
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float = SMOOTHING, residual_bits: float = RESIDUAL_BITS, gained_bits: float = GAINED_BITS) -> DataFrame:
-    """(term): lower-cased terms that disclose an entity, by counts over all different texts of docs."""
+    """(term): lower-cased terms that disclose an entity, by counts over all different texts of docs.
+
+    Copies of a text count once, on both sides of p(entity | term); null and empty texts say nothing; ids are not looked at.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"))
     near = rows.mapInPandas(_evidence, "term string, entity long, text long, spelled boolean").distinct()
@@ -208,7 +218,7 @@ _SPANS = "array<struct<start:int,end:int,kind:string>>"
 def _found_in(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(row, id, base, spans), a row for each row of docs: base spans, and these with the disclosing terms.
 
-    row: hash of id and text; equal rows have equal spans.
+    row: hash of id and text; rows of equal id and hash have equal spans.
     """
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(terms.select(_term_hash().alias("h")), "h"))
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -226,12 +236,12 @@ def _found_in(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
             yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "base": base, "terms": term})
 
     found = rows.mapInPandas(find, f"row long, id {dict(rows.dtypes)['id']}, base {_SPANS}, terms array<struct<term:string,start:int,end:int>>").checkpoint()
-    sure = found.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).distinct().join(terms, F.col("t.term") == F.col("term"))
-    sure = sure.groupBy("row").agg(F.collect_list(F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.lit("term").alias("kind"))).alias("more"))
+    sure = found.where(F.size("terms") > 0).select("row", "id", F.explode("terms").alias("t")).distinct().join(terms, F.col("t.term") == F.col("term"))
+    sure = sure.groupBy(F.col("row").alias("_r"), F.col("id").alias("_i")).agg(F.collect_list(F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.lit("term").alias("kind"))).alias("more"))
     all_ = F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))
     order = F.transform(all_, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(order), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return found.join(sure, "row", "left").select("row", "id", "base", spans.alias("spans"))
+    return found.join(sure, (F.col("row") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i")), "left").select("row", "id", "base", spans.alias("spans"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,8 +269,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Only texts that may hold a disclosing term are shuffled, to meet the exact list of terms. Null texts stay null.
     """
     terms = disclosing_terms(docs, text_col).checkpoint()
-    found = _found_in(docs, id_col, text_col, terms).where(F.exists("spans", lambda s: s["kind"] == "term")).select(F.col("row").alias("_row"), "spans").distinct()
-    spotted = found.checkpoint()
+    found = _found_in(docs, id_col, text_col, terms).where(F.exists("spans", lambda s: s["kind"] == "term"))
+    spotted = found.select(F.col("row").alias("_row"), F.col("id").alias("_id"), "spans").dropDuplicates(["_row", "_id"]).checkpoint()
+
     @F.pandas_udf("string")
     def general(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else _replace(t, base_spans(t) if s is None else [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
@@ -270,9 +281,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pd.Series([t if t is None else _replace(t, base_spans(t)) for t in texts])
 
     doc = F.struct(*[quoted(c) for c in docs.columns])
-    keyed = docs.select(doc.alias("_doc"), F.xxhash64(id_col, text_col).alias("_row"), quoted(text_col).alias("_text"))
-    rest, maybe = split_by_bloom(keyed, "_row", spotted.select("_row"))
-    maybe = maybe.join(spotted, "_row", "left")
+    keyed = docs.select(doc.alias("_doc"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("_key"), quoted(id_col).alias("_of"), quoted(text_col).alias("_text"))
+    rest, maybe = split_by_bloom(keyed, "_key", spotted.select(F.col("_row").alias("_key")))
+    maybe = maybe.join(spotted, (F.col("_key") == F.col("_row")) & F.col("_of").eqNullSafe(F.col("_id")), "left")
     out = rest.select("_doc", plain("_text").alias("_text")).union(maybe.select("_doc", general("_text", "spans").alias("_text")))
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
 
@@ -282,6 +293,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def op3(spark, sf_dir):
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of documents, repeated rows and null ids included.
+
+    Null and empty texts have no spans: zeros, the digest of the empty string, and ''. Texts of any length are searched whole.
+    """
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

@@ -199,6 +199,43 @@ def test_containment_against_plain(spark, rng):
     assert left == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_containment_of_repeated_ids(spark, rng):
+    """Rows that repeat an item_id or a doc_id with other texts stand for themselves, in the query as in its SQL; before, item texts were merged over the larger total."""
+    import duckdb
+
+    a, b, c = (prose(rng, n) for n in (13, 24, 40))
+    long = prose(rng, 44).split()
+    items = [(1, a), (1, b), (None, b), (None, c), (2, c), (2, c), (3, " ".join(long))]
+    docs = [(1, f"{a} and {b}"), (2, " ".join(b.split()[:13])), (3, c), (3, a), (None, b), (4, " ".join(long[:34])), (5, " ".join([*long[:40], "cut"])), (5, None)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(repr, map(tuple, decontam.contained(d, i).collect())))
+    con = duckdb.connect()
+    for name, rows in (("documents", docs), ("benchmark", items)):
+        con.execute(f"create table {name}({name[:3] == 'doc' and 'doc_id' or 'item_id'} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    assert got == sorted(map(repr, con.execute(decontam.OP8_SQL).fetchall())) and len(got) == 8
+    assert all(eval(x)[2] <= 1 for x in got)
+
+
+def test_sketches_miss_nothing(spark, rng):
+    """Recall of the candidate search is 1 on items of all size partitions, at the threshold itself; documents that hold none are not asked."""
+    items, docs = [], []
+    for j, n in enumerate([1, 2, 4, 5, 6, 7, 9, 12, 20, 33, 60, 61, 100, 130, 250, 600] * 3):
+        w = [f"a{j}w{k}" for k in range(n + 4)]
+        items.append((j, " ".join(w)))
+        keep = -(-4 * n // 5) + 4  # words whose runs are the threshold's share
+        at = rng.randrange(n + 4 - keep + 1)
+        docs.append((j, f"{prose(rng, 30)} {' '.join(w[at : at + keep])} {prose(rng, 3000 if j % 5 == 0 else 30)}"))
+    docs += [(1000 + i, prose(rng, 100)) for i in range(30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shingles = decontam.item_shingles(i)
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.candidates(d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), shingles).collect()}
+    want = plain_containment(docs, items)
+    assert len(want) == len(items) and want.keys() <= found and not {x for x, _ in found} & set(range(1000, 1030))
+    sizes = {r["total"]: r["n"] for r in shingles.where("sketched").groupBy("item", "total").agg(F.count("*").alias("n")).collect()}
+    assert sizes[1] == 1 and sizes[7] == 2 and sizes[33] == 13 and sizes[600] == 13
+
+
 def test_containment_odd(spark, odd_docs, no_docs, odd_rows):
     items = spark.createDataFrame([(1, odd_rows[0][1]), (1, odd_rows[0][1]), (None, "no id here at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contained(odd_docs, items).collect()}
