@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Many voters - words and word beginnings that labelled rows show to go with toxicity, fixed words of abuse, and
-patterns of writing - each vote toxic or abstain, and a row's own label is one more, fallible, voter. A generative model of the votes estimates, by expectation
-maximisation, each voter's accuracy and, from what the votes share beyond the classes, the voters' correlations,
-by which their votes are discounted. A linear classifier is trained on the posterior labels.
+Many voters each vote toxic, clean, or not at all: words and word beginnings that labelled rows show to go with toxicity, fixed words
+of abuse and patterns of writing vote toxic where they stand; a group of them of which a text has none votes clean; and a row's label is one more
+voter, as fallible as the others. A generative model of the votes estimates by expectation maximisation, from the votes
+alone, how often each voter votes what in either class and, from what the votes share beyond the classes, the voters' correlations,
+by which their votes are discounted. Its posterior labels, not the labels, train a linear classifier.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, quoted, stored, table
 
 #: Labelled rows that the voters, the label model and the classifier are fitted on: at most so many, those of the smallest hashes.
 SAMPLE = 20_000
 LEXICON = 512  # terms that the classifier weighs
 VOTERS = 160  # of them, the most telling are voters
 MIN_TOXIC = 5  # toxic rows that must have a term
+GROUPS = 4  # of voting terms; each votes clean where a text has none of it
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 
@@ -100,41 +102,46 @@ def _sigmoid(z):
 
 
 class LabelModel:
-    """P(vote | class) of each voter, the prior, and how far the voters say the same thing."""
+    """Rates of each voter's votes in either class, the prior, and how far the voters say the same thing.
 
-    def fit(self, votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 30, annotator: bool = False):
-        """votes (rows, voters) of 0 (abstains) and 1 (toxic); start: first guess of P(toxic) of each row.
+    rates: (class, vote + 1, voter); hit, false: rates of toxic votes in toxic and in clean rows.
+    """
 
-        annotator: the last voter is a person, who is taken to be right in 95 of 100 toxic and 99 of 100 clean rows
-        at least, and to say nothing that others say because they say it.
-        """
-        v, post = votes.astype(np.float64), start.astype(float)
-        self.discount = np.ones(v.shape[1])
+    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 50):
+        """votes (rows, voters) of -1 (clean), 0 (none) and 1 (toxic); start: first guess of P(toxic) of each row."""
+        v, post = votes.astype(np.float32), np.asarray(start, float)
+        yes, no = (v > 0).astype(np.float32), (v < 0).astype(np.float32)
         for _ in range(rounds):
-            w1, w0 = post.sum(), (1 - post).sum()
-            self.hit = np.clip((post @ v + 0.5) / (w1 + 1), 1e-4, 1 - 1e-4)
-            self.false = np.clip(((1 - post) @ v + 0.5) / (w0 + 1), 1e-5, 1 - 1e-4)
-            if annotator:
-                self.hit[-1], self.false[-1] = max(self.hit[-1], 0.95), min(self.false[-1], 0.01)
-            self.prior = np.clip(0.5 * prior + 0.5 * post.mean(), 1e-3, 0.999)
+            w = np.stack([1 - post, post])
+            n, clean, toxic = w.sum(1)[:, None], w @ no, w @ yes
+            self.rates = np.stack([clean + 0.5, n - clean - toxic + 0.5, toxic + 0.5], 1) / (n + 1.5)[:, None]
+            self.prior = float(np.clip(post.mean(), 1e-3, 0.999))
             # correlations: what votes share beyond what their classes explain
-            res = v - (post[:, None] * self.hit + (1 - post)[:, None] * self.false)
+            res = v - w.T @ (self.rates[:, 2] - self.rates[:, 0])
             res -= res.mean(0)
             sd = np.sqrt((res**2).mean(0)) + 1e-3
             self.correlation = res.T @ res / len(v) / np.outer(sd, sd)
-            shared = np.where(self.correlation > 0.1, self.correlation, 0)  # a voter's own is 1
-            self.discount = 1 / np.maximum(shared.sum(1), 1)
-            if annotator:
-                self.discount[-1] = 1
+            self.discount = 1 / np.maximum(np.where(self.correlation > 0.1, self.correlation, 0).sum(1), 1)  # a voter's own is 1
             new = self.posterior(v)
-            if np.abs(new - post).max() < 1e-4:
-                break
+            done = np.abs(new - post).max() < 1e-4
             post = new
+            if done:
+                break
+        self.hit, self.false = self.rates[1, 2], self.rates[0, 2]
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-        return _sigmoid(np.log(self.prior / (1 - self.prior)) + (votes * yes + (1 - votes) * no) @ self.discount)
+        clean, none, toxic = np.log(self.rates[1] / self.rates[0])
+        says = none + (votes > 0) * (toxic - none) + (votes < 0) * (clean - none)
+        return _sigmoid(np.log(self.prior / (1 - self.prior)) + says @ self.discount)
+
+
+def _votes(x: np.ndarray, lexicon: int, voters: int, label: np.ndarray) -> np.ndarray:
+    """(rows, voters) of -1, 0 and 1 from rows of feature values: terms, patterns, groups that are absent, and the label last."""
+    has = x[:, :voters] * (x[:, lexicon : lexicon + voters] >= 0.1) > 0
+    patterns = x[:, 2 * lexicon : 2 * lexicon + len(PATTERNS)] >= 1
+    absent = np.stack([has[:, g::GROUPS].any(1) for g in range(GROUPS)], 1)
+    return np.concatenate([has, patterns, absent.astype(np.int8) - 1, np.where(label > 0, 1, -1)[:, None]], axis=1).astype(np.int8)
 
 
 def _distinct(top: list) -> list:
@@ -172,14 +179,16 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", toxic_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows of labels, those of the smallest hashes of their ids, and the texts of docs that have their ids.
+    """Fit on at most `sample` rows: labels of the smallest hashes of their ids, each with the one text of docs that has its id.
 
-    Labels that are null are left out; of labels that repeat an id the largest counts. Without toxic rows or without
-    clean rows every text scores the prior.
+    Labels that are null are left out; of labels that repeat an id the largest counts, of texts that repeat one that of the smallest
+    hash. Null and empty texts count as texts without terms. Without toxic rows or without clean rows every text scores the prior.
     """
     known = labels.where(F.col(toxic_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).alias("_id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id").select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r"))  # a text an id, so that the bound holds
+    rows = stored(rows.select("r.text", F.least(F.greatest("r.toxic", F.lit(0)), F.lit(1)).alias("toxic")))
     sums = rows.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sums}
     if not n.get(0) or not n.get(1):
@@ -207,25 +216,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = np.zeros((len(got), size), np.float32), got["toxic"].to_numpy(float)
     for r, (i, v) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[r, i] = v
-    k = len(lexicon)
-    dense = x[:, k : 2 * k]
-    votes = np.concatenate([x[:, :voters] * (dense[:, :voters] >= 0.1) > 0, x[:, 2 * k : 2 * k + len(PATTERNS)] >= 1, y[:, None] > 0], axis=1)
-    model = LabelModel().fit(votes, y.mean(), 0.9 * y + 0.1 * y.mean(), annotator=True)
+    votes = _votes(x, len(lexicon), voters, y)
+    # the label is one vote among others from the start
+    start = 0.1 + 0.4 * y + 0.4 * (votes[:, : voters + len(PATTERNS)] > 0).any(1)
+    model = LabelModel().fit(votes, start)
     return Model(lexicon, _fit_linear(x, model.posterior(votes)), model)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with `score`, 0 to 1. Only the text is looked at; null and empty texts get the score of no terms."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with `score`, 0 to 1, in place of a column of that name. A row for each row, repeated ones included.
+
+    Only the text is looked at, the whole of it; null and empty texts get the score of no terms.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(texts))
 
-    return docs.withColumn("score", run(F.col(text_col)))
+    return docs.withColumn(score_col, run(quoted(text_col)))
 
 
 def op4(spark, sf_dir):
+    """(doc_id, held_out, score, predicted), a row for each row of documents, learnt from labels of rows that are not held out.
+
+    Null and empty texts are scored as texts without terms; rows with a null doc_id have no label and are not held out; repeated rows stay.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)

@@ -322,14 +322,78 @@ def test_label_model_finds_copies_of_a_voter(rng):
     own = lambda: np.where(y, r.random(4000) < 0.7, r.random(4000) < 0.05)
     a = own()
     votes = np.array([a, a, a, own(), own(), own()]).T
-    m = toxicity.LabelModel().fit(votes, 0.3, votes.mean(1))
+    m = toxicity.LabelModel().fit(votes, votes.mean(1))
     assert m.discount[:3].max() < 0.5 < m.discount[3:].min()
     assert m.hit[3:] == pytest.approx(0.7, abs=0.15)
 
 
+def plain_label_model(votes, start, rounds):
+    """The label model in plain loops."""
+    rows, voters, post = len(votes), len(votes[0]), list(start)
+    for _ in range(rounds):
+        w = [[1 - p for p in post], post]
+        rate = [[[(sum(w[y][r] for r in range(rows) if votes[r][j] == o) + 0.5) / (sum(w[y]) + 1.5) for o in (-1, 0, 1)] for j in range(voters)] for y in (0, 1)]
+        prior = min(max(sum(post) / rows, 1e-3), 0.999)
+        res = [[votes[r][j] - sum(w[y][r] * (rate[y][j][2] - rate[y][j][0]) for y in (0, 1)) for j in range(voters)] for r in range(rows)]
+        mean = [sum(x[j] for x in res) / rows for j in range(voters)]
+        res = [[x[j] - mean[j] for j in range(voters)] for x in res]
+        sd = [math.sqrt(sum(x[j] ** 2 for x in res) / rows) + 1e-3 for j in range(voters)]
+        cor = [[sum(x[i] * x[j] for x in res) / rows / sd[i] / sd[j] for i in range(voters)] for j in range(voters)]
+        weight = [1 / max(1, sum(c for c in cor[j] if c > 0.1)) for j in range(voters)]
+        odds = [math.log(prior / (1 - prior)) + sum(weight[j] * math.log(rate[1][j][o + 1] / rate[0][j][o + 1]) for j, o in enumerate(row)) for row in votes]
+        post = [1 / (1 + math.exp(-min(max(z, -30), 30))) for z in odds]
+    return post
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_label_model_against_plain(rng, rounds):
+    votes = [[rng.choice([-1, 0, 0, 1]), a := rng.choice([0, 1]), a if rng.random() < 0.9 else 0, rng.choice([-1, 1])] for _ in range(60)]
+    start = [0.2 + 0.6 * (v[3] > 0) for v in votes]
+    m = toxicity.LabelModel().fit(np.array(votes), np.array(start), rounds)
+    assert m.posterior(np.array(votes)) == pytest.approx(plain_label_model(votes, start, rounds), abs=1e-4)
+
+
+def test_posteriors_mend_labels(spark, rng):
+    """With every seventh label turned round, the label model turns most of them back, and what is trained on its posteriors is better than what is trained on the labels."""
+    rows, given = [], []
+    for i in range(1400):
+        bad, w = i % 5 == 0, prose(rng, 40).split()
+        for _ in range(3 * bad):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "grulf", "snarp", "blick", "vorm", "tost"]))
+        rows.append((i, " ".join(w), int(bad)))
+        given.append((i, int(bad) ^ (rng.random() < 1 / 7)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, true int").drop("true"), spark.createDataFrame(given[:1000], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    f = toxicity._Features(model.lexicon)
+    x = np.array([f.of(t) for _, t, _ in rows])
+    y, truth = np.array([b for _, b in given]), np.array([b for *_, b in rows])
+    raw = toxicity._fit_linear(x[:1000], y[:1000].astype(float))
+    wrong = lambda w: int(((toxicity._sigmoid(x[1000:] @ w) >= toxicity.THRESHOLD) != truth[1000:]).sum())
+    voters = len(model.label_model.discount) - len(toxicity.PATTERNS) - toxicity.GROUPS - 1
+    post = model.label_model.posterior(toxicity._votes(x[:1000], len(model.lexicon), voters, y[:1000])) >= 0.5
+    turned = y[:1000] != truth[:1000]
+    assert (post[turned] == truth[:1000][turned]).mean() > 0.9 and (post == truth[:1000]).mean() > 0.98
+    assert wrong(model.weights) < wrong(raw) and wrong(model.weights) <= 8
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Rows that repeat an id don't add to the sample."""
+    docs = spark.createDataFrame([(i % 4, f"idiot {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.LabelModel.fit
+    try:
+        toxicity.LabelModel.fit = lambda self, votes, *a: seen.append(len(votes)) or fit(self, votes, *a)
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.LabelModel.fit = fit
+    assert seen == [4]
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs, odd_rows):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
-    out = toxicity.score(odd_docs.drop("score"), toxicity.train(odd_docs, labels))
+    out = toxicity.score(odd_docs, toxicity.train(odd_docs, labels))
+    assert out.columns == odd_docs.columns  # the column `score` is replaced
     assert out.count() == len(odd_rows) and out.where("score is null or score < 0 or score > 1").count() == 0
     empty = toxicity.train(odd_docs, labels.limit(0))
     assert toxicity.score(no_docs, empty).count() == 0 and len(set(empty.score(["", None, "a b"]))) == 1
