@@ -12,6 +12,7 @@ from logloom.llm import decontam, langid, pieces, pii, ppm, simhash, toxicity
 
 from .conftest import DOCS, prose
 
+MARK = pieces.MARK
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -446,6 +447,68 @@ def test_pieces_against_library(spark, rng):
     assert [pieces.decode(v, w) for w in want] == lib.decode(want)
 
 
+def _field(n, value):
+    """A field of a protocol buffer: an integer, or bytes."""
+    number = lambda x: bytes([x]) if x < 128 else bytes([x & 127 | 128]) + number(x >> 7)
+    return number(n << 3) + number(value) if isinstance(value, int) else number(n << 3 | 2) + number(len(value)) + value
+
+
+def _vocabulary_file(path, pieces_, kind=1, byte=True, spaces=0, prefix=1):
+    """A vocabulary as the library reads it: (piece, score) after the unknown piece, the two controls and the bytes."""
+    import struct
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte else []) + [(p, s, 1) for p, s in pieces_]
+    out = b"".join(_field(1, _field(1, p.encode()) + bytes([0x15]) + struct.pack("<f", s) + _field(3, t)) for p, s, t in rows)
+    out += _field(2, _field(3, kind) + _field(35, int(byte)) + _field(4, len(rows)))
+    out += _field(3, _field(1, b"identity") + _field(3, prefix) + _field(4, spaces) + _field(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("byte", [True, False])
+def test_unigram_against_library(rng, tmp_path, byte):
+    """Forward scores over a scored vocabulary give the library's ids, unknown characters and ties of length included."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    found = {MARK: -3.1} | {c: -5.0 - i / 7 for i, c in enumerate("abcdeést")}
+    while len(found) < 150:
+        w = "".join(rng.choice("abcdeést") for _ in range(rng.randint(2, 6)))
+        found[rng.choice(["", MARK]) + w] = -rng.uniform(4, 12)
+    file = _vocabulary_file(tmp_path / "u.model", found.items(), byte=byte)
+    lib = sentencepiece.SentencePieceProcessor(model_file=file)
+    texts = ["".join(rng.choice(["a", "b", "c", "d", "e", "é", "s", "t", "x", "你", " ", "  ", "\n", "test "]) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    v = pieces.Vocabulary(file)
+    assert v.type == pieces.UNIGRAM
+    want = lib.encode(texts)
+    assert [g.tolist() for g in pieces.Encoder(v).texts(texts)] == want
+    assert [pieces.decode(v, w) for w in want] == lib.decode(want)
+
+
+def plain_unigram(v, word):
+    best = [(0.0, [])]
+    for i in range(1, len(word) + 1):
+        ways = [(best[j][0] + v.score[word[j:i]], best[j][1] + [v.id[word[j:i]]]) for j in range(i) if word[j:i] in v.id]
+        if word[i - 1] not in v.id:
+            ways.append((best[i - 1][0] + v.worst, best[i - 1][1] + [v.unknown]))
+        best.append(max(ways, key=lambda x: x[0]))
+    return best[-1]
+
+
+def test_unigram_prefixes_share_scores(rng, tmp_path):
+    found = {MARK: -2.0} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): -rng.uniform(1, 9) for _ in range(40)}
+    v = pieces.Vocabulary(_vocabulary_file(tmp_path / "u.model", found.items(), byte=False))
+    words = sorted({MARK + "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(500)})
+    e = pieces.Encoder(v)
+    e.words(words)
+    assert all(np.frombuffer(e.known[w], np.int32).tolist() == plain_unigram(v, w)[1] for w in words)
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    rows = {MARK: -1.0, "a": -2.0}.items()
+    for name, how in {"neither": {"kind": 3}, "removes": {"spaces": 1}, "before": {"prefix": 0}}.items():
+        with pytest.raises(ValueError, match=name):
+            pieces.Vocabulary(_vocabulary_file(tmp_path / "w.model", rows, **how))
+
+
 def test_pieces_odd(spark, odd_docs, no_docs, odd_rows):
     vocab = pieces.vocabulary(spark)
     out = pieces.encode(odd_docs, vocab)
