@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quoted, table
+
 #: Fixed values: (verdict, host, path).
 RULES = (
     ("allow", "org", "/"),
@@ -15,11 +17,16 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Words in a host that put its URLs on the list that op10 filters by.
-LISTED_WORDS = ("cheap-pills", "casino-win", "spam-farm", "ads-track")
-
-#: The filter has this many blocks of one 64-bit word each at most, whatever the length of the list: 1 MB to broadcast.
-BLOOM_BLOCKS = 1 << 16
+#: The parts of the URLs that op10 has listed where no list is given; see default_list.
+LISTED = {
+    "sub": ("", "blog.", "m."), "site": ("ads-track", "casino-win", "cheap-pills", "spam-farm"), "top": ("com", "net", "org"), "lang": ("de", "en", "es", "fr"),
+    "first": 1000, "last": 9999,
+}
+
+#: Blocks of one 64-bit word, four bits a URL: one for each four URLs listed, but 2^20 at most (about 16 MB to broadcast, enough
+#: for four million URLs). A longer list passes more URLs that are not on it to the exact join.
+BLOOM_BLOCKS = 1 << 20
+KEYS_A_BLOCK = 4
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -60,21 +67,25 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int = BLOOM_BLOCKS) -> Da
     return listed.where(F.col(key).isNotNull()).select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("word"))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", listed_url_col: str = "url", rules=RULES, blocks: int = BLOOM_BLOCKS) -> DataFrame:
-    """(id, host, path, rule, verdict, listed), a row for each row of pages, repeated rows kept.
+def bloom_blocks(urls: int) -> int:
+    """Blocks for a list of so many URLs."""
+    return min(BLOOM_BLOCKS, max(64, 1 << (max(urls, 1) // KEYS_A_BLOCK).bit_length()))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", listed_url_col: str = "url", rules=RULES, blocks: int | None = None) -> DataFrame:
+    """(id, host, path, rule, verdict, listed), a row for each row of pages, repeated rows and null ids kept; other columns are not looked at.
 
-    A rule's verdict stands; else URLs whose canonical form is listed are blocked, the others allowed.
-    Null URLs and URLs without '://' have empty host and path, no rule, and are allowed.
-    The blocks of the filter (a fixed number) are broadcast; only possible hits reach the exact join,
+    listed: the URLs to block, one a row; they may repeat or be null. A rule's verdict stands; else URLs whose canonical form is listed are
+    blocked, the others allowed. Null URLs and URLs without '://' have empty host and path, no rule, and are allowed.
+    The filter's blocks are broadcast, 2^20 at most; only possible hits reach the exact join with the list,
     a shuffled one that AQE splits where one URL holds many rows.
     """
-    def parsed(df, url):
-        df = df.select(*([F.col(id_col).alias("_id")] if id_col in df.columns and df is pages else []), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-        return df.withColumn("_key", canonical_url(F.col("host"), F.col("path")))
-
-    keys = parsed(listed, listed_url_col).where("_key is not null").select(F.col("_key").alias("_listed")).distinct()
+    keys = listed.select(canonical_url(url_host(quoted(listed_url_col)), url_path(quoted(listed_url_col))).alias("_listed")).where("_listed is not null").distinct()
+    if blocks is None:
+        blocks = bloom_blocks(keys.count())
     block, bits = _bloom_address("_key", blocks)
-    rows = parsed(pages, url_col).withColumn("_block", block).withColumn("_bits", bits)
+    rows = pages.select(quoted(id_col).alias("_id"), url_host(quoted(url_col)).alias("host"), url_path(quoted(url_col)).alias("path"))
+    rows = rows.withColumn("_key", canonical_url(F.col("host"), F.col("path"))).withColumn("_block", block).withColumn("_bits", bits)
     bloom = F.broadcast(blocked_bloom(keys, "_listed", blocks))
     rows = rows.join(bloom, rows["_block"] == bloom["block"], "left")
     rows = rows.withColumn("_maybe", F.coalesce(F.col("word").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False)) & F.col("_key").isNotNull())
@@ -88,20 +99,24 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     )
 
 
-def spam_list(pages: DataFrame, url_col: str = "url", words=LISTED_WORDS) -> DataFrame:
-    """(url) of the pages on hosts that hold one of the words."""
-    host = url_host(F.col(url_col))
-    fits = F.lit(False)
-    for w in words:
-        fits = fits | host.contains(w)
-    return pages.where(fits).select(F.col(url_col).alias("url"))
+def default_list(spark: SparkSession, parts: dict = LISTED) -> DataFrame:
+    """(url): http://<sub><site>.example.<top>/<lang>/<number> of all parts and numbers, 1.3 million URLs that no table is looked at for.
+
+    Pages of the same hosts at other paths (.html, and languages and numbers beyond) are not listed.
+    """
+    of = lambda name: F.explode(F.array(*map(F.lit, parts[name]))).alias(name)
+    numbers = spark.range(parts["first"], parts["last"] + 1).withColumnRenamed("id", "number")
+    rows = numbers.select("number", of("sub")).select("*", of("site")).select("*", of("top")).select("*", of("lang"))
+    return rows.select(F.concat(F.lit("http://"), "sub", "site", F.lit(".example."), "top", F.lit("/"), "lang", F.lit("/"), F.col("number").cast("string")).alias("url"))
 
 
-def op10(spark, sf_dir):
-    from .common import table
+def op10(spark, sf_dir, list_path: str | None = None):
+    """(page_id, host, path, rule, verdict), a row for each row of pages.
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, spam_list(pages)).select("page_id", "host", "path", "rule", "verdict")
+    list_path: a Parquet table of listed URLs, column url; else default_list. Null and odd URLs as in filter_urls.
+    """
+    listed = spark.read.parquet(list_path) if list_path else default_list(spark)
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,7 +126,8 @@ _RULE_SQL = " ".join(
 OP10_SQL = f"""
 WITH u AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
 k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') END AS ckey FROM u),
-l AS (SELECT DISTINCT ckey AS lkey FROM k WHERE ckey IS NOT NULL AND ({" OR ".join(f"contains(host, '{w}')" for w in LISTED_WORDS)}))
+l AS (SELECT sub || site || '.example.' || top || '/' || lang || '/' || number AS lkey
+  FROM {", ".join(f"(VALUES {', '.join(f'({x!r})' for x in LISTED[k])}) AS t_{k}({k})" for k in ("sub", "site", "top", "lang"))}, range({LISTED["first"]}, {LISTED["last"] + 1}) AS t_number(number))
 SELECT page_id, host, path, CASE {_RULE_SQL.format(*[h + p for _, h, p in RULES])} END AS rule,
   CASE {_RULE_SQL.format(*[v for v, _, _ in RULES])} WHEN lkey IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM k LEFT JOIN l ON ckey = lkey

@@ -13,24 +13,36 @@ from .conftest import DOCS, prose
 
 URLS = [
     "http://A.Example.ORG/es/1", "https://example.org/en/12?x", "https://m.example.org/en/2", "http://x.org", "http://x.com/fr/", "http://x.com/de/a#b", "com", None, "", "ftp://", "http://xorg/",
-    "http://www.spam-farm.net/a/", "https://spam-farm.net/a?q=1", "http://b.net/a", "http://b.net/a\nb?c", "x://y://z/p", "http://spam-farm.org/es/", "HTTP://WWW.Ads-Track.net", "http://ÀB.com/de/",
+    "http://www.spam-farm.example.net/en/1000/", "https://m.Spam-Farm.example.net/es/9999?q=1", "http://spam-farm.example.net/en/999", "http://spam-farm.example.net/en/1000.html", "http://b.net/a\nb?c", "x://y://z/p",
+    "http://blog.spam-farm.example.org/es/1000", "HTTP://WWW.ads-track.example.com/fr/2000", "http://ads-track.example.com/en/2000#x", "http://ÀB.com/de/", "http://www.ads-track.example.com", "http://old.ads-track.example.com/en/2000",
 ]
 
 
 def test_urls_against_sql(spark):
     rows = [(i, u) for i, u in enumerate(URLS)] + [(11, URLS[11]), (None, URLS[0])]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = url_filter.filter_urls(pages, url_filter.spam_list(pages)).select("page_id", "host", "path", "rule", "verdict").collect()
+    got = url_filter.filter_urls(pages, url_filter.default_list(spark)).select("page_id", "host", "path", "rule", "verdict").collect()
     con = duckdb.connect()
     con.execute("create table pages(page_id bigint, url varchar)")
     con.executemany("insert into pages values (?, ?)", rows)
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(url_filter.OP10_SQL).fetchall()))
+    # listed URLs share their hosts with clean ones
+    verdict = {r["host"] + r["path"]: r["verdict"] for r in got}
+    assert verdict["www.spam-farm.example.net/en/1000/"] == "block" and verdict["spam-farm.example.net/en/999"] == verdict["spam-farm.example.net/en/1000.html"] == "allow"
+
+
+def test_list_from_a_table(spark, tmp_path):
+    pages = [(1, "https://www.good.net/a/"), (2, "http://good.net/b"), (3, "http://good.net/a?x"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([("http://good.net/a", 1), (None, 2), ("http://good.net/a", 3)], "url string, page_id long").write.parquet(str(tmp_path / "list"))
+    got = url_filter.op10(spark, str(tmp_path), list_path=str(tmp_path / "list")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
 
 
 def test_bloom_never_misses_and_join_is_exact(spark):
     pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h', id, '.net/p') as url", "'x' as host", "1 as _key", "2 as block", "3 as rule")
     listed = pages.where("page_id % 3 = 0").select("url")
-    for blocks in (4, 1 << 16):
+    for blocks in (4, None, 1 << 16):
         out = url_filter.filter_urls(pages, listed, blocks=blocks)
         assert out.count() == 3000 and out.where("(verdict = 'block') <> (page_id % 3 = 0)").count() == 0
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
