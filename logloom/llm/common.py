@@ -38,6 +38,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_fields(rows: DataFrame, result: Column, fields: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the fields of the struct `result`, in place of columns of their names and of `without`; no other column's name can clash."""
+    kept = [c for c in rows.columns if c not in fields and c not in without]
+    packed = rows.select(F.struct(F.lit(0).alias("_"), *map(quoted, kept)).alias("_row"), result.alias("_new"))
+    return packed.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col("_new")[f].alias(f) for f in fields])
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of a value as text, modulo m; null for null."""
     c = F.col(col) if isinstance(col, str) else col

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, quoted, table, with_fields
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: The matrix has BUCKETS floats (128 KB) a language; more languages than this are refused, so that it stays under 26 MB.
-MAX_LANGS = 200
+#: Languages scored at a time: the matrix, 128 KB a language, is broadcast in slices of so many, however many there are.
+SLICE = 8
 _CHUNK = 1 << 20  # code points at a time
 
 
@@ -73,33 +73,32 @@ def _count(batches):
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A language's counts, BUCKETS at most, as one row."""
-    counts, k = np.zeros(BUCKETS, np.int64), pdf["bucket"].to_numpy() >= 0
-    counts[pdf["bucket"].to_numpy()[k]] = pdf["n"].to_numpy()[k]
-    return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "docs": int(pdf["n"].to_numpy()[~k].sum()), "counts": [counts.tobytes()]})
+    """A language's log probabilities with add-one smoothing, BUCKETS of them, as one row."""
+    counts, k = np.ones(BUCKETS), pdf["bucket"].to_numpy() >= 0
+    counts[pdf["bucket"].to_numpy()[k]] += pdf["n"].to_numpy()[k]
+    logp = np.log(counts / counts.sum()).astype(np.float32)
+    return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "docs": int(pdf["n"].to_numpy()[~k].sum()), "logp": [logp.tobytes()]})
 
 
 class Model:
-    """langs, and an array (BUCKETS, languages) of log probabilities with add-one smoothing; prior by documents."""
+    """langs, slices of the matrix of log probabilities (a row for each bucket and one of zeros, SLICE languages at most), and the prior by documents."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, docs: np.ndarray):
-        self.langs = langs
+    def __init__(self, langs: list[str], logp: list[bytes], docs: np.ndarray):
+        self.langs, self.slices = langs, []
+        for k in range(0, len(langs), SLICE):
+            part = np.array([np.frombuffer(x, np.float32) for x in logp[k : k + SLICE]])
+            self.slices.append(np.ascontiguousarray(np.pad(part, ((0, 0), (0, 1))).T))
         if langs:
-            p = np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))
-            self.logp = np.ascontiguousarray(p.T.astype(np.float32))
             self.prior = np.log(docs / docs.sum())
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over all rows with a language; null texts count as documents only."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
+    """Counts over all rows with a language; null and empty texts count as documents only, repeated rows each time. The driver gets 128 KB a language."""
+    rows = docs.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).where("lang is not null")
     sums = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.groupBy("lang").applyInPandas(_pack, "lang string, docs long, counts binary").limit(MAX_LANGS + 1).collect()
-    if len(got) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    got.sort(key=lambda r: r["lang"])
-    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in got], float).reshape(len(got), BUCKETS)
-    return Model([r["lang"] for r in got], counts, np.array([float(r["docs"]) for r in got]))
+    got = sums.groupBy("lang").applyInPandas(_pack, "lang string, docs long, logp binary").toArrow().to_pydict()
+    order = sorted(range(len(got["lang"])), key=got["lang"].__getitem__)
+    return Model([got["lang"][i] for i in order], [got["logp"][i] for i in order], np.array([float(got["docs"][i]) for i in order]))
 
 
 def predict_texts(model: Model, texts) -> tuple[list[str], np.ndarray]:
@@ -117,7 +116,8 @@ def predict_texts(model: Model, texts) -> tuple[list[str], np.ndarray]:
         total, grams = np.zeros((len(todo), len(model.langs))), np.zeros(len(todo))
         for n in ORDERS:
             b, starts = _grams(cps, n)
-            total += np.add.reduceat(padded[b], starts, axis=0)
+            for k, logp in enumerate(model.slices):
+                total[:, k * SLICE : (k + 1) * SLICE] += np.add.reduceat(logp[b], starts, axis=0)
             grams += np.maximum(lens - n + 1, 0)
         total += model.prior
         best = total.argmax(1)
@@ -128,7 +128,6 @@ def predict_texts(model: Model, texts) -> tuple[list[str], np.ndarray]:
             out[i], score[i] = model.langs[k], q
         todo.clear()
 
-    padded = np.concatenate([model.logp, np.zeros((1, len(model.langs)), np.float32)])
     size = 0
     for i, t in enumerate(texts):
         if not t:
@@ -146,7 +145,10 @@ def predict_texts(model: Model, texts) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Null, empty and letterless texts: 'und', 0. Only the text is looked at."""
+    """docs with `lang_pred` and `score`, in place of columns of these names; a row for each row.
+
+    Null, empty and letterless texts: 'und', 0. Only the text is looked at, the whole of it; of equal languages the first in order of names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -154,12 +156,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         lang, score = predict_texts(shared.value, texts.tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    p = run(F.col(text_col)).alias("_p")
-    return docs.select(*[F.col(c) for c in docs.columns if c not in ("lang_pred", "score")], p).select(
-        *[c for c in docs.columns if c not in ("lang_pred", "score")], "_p.lang_pred", "_p.score")
+    return with_fields(docs, run(quoted(text_col)), ["lang_pred", "score"])
 
 
 def op5(spark, sf_dir):
+    """(doc_id, held_out, lang_pred, score), a row for each row of documents; rows with a null doc_id are learnt from. Cases as in identify()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
     model = train(docs.where("not held_out"))
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import quoted, table, utf8, with_fields
 
 BLOCK = 64
 _ADD = 2  # coefficient = byte + 2: never 0 or 1, so that the first scans find every coefficient non-zero
@@ -475,56 +475,66 @@ def _batches(payloads: list[bytes]):
 
 
 def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """docs with `media`, a progressive JPEG of the whole text's UTF-8 bytes. Null is empty; an empty text has one block of zeros."""
+    """docs with `media`, a progressive JPEG of the whole text's UTF-8 bytes, in place of a column of that name. Null is empty; an empty text has one block of zeros."""
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
         p = [padded(t) for t in utf8(texts)]
         return pd.Series([f for b in _batches(p) for f in write(p[b])], dtype=object)
 
-    return docs.withColumn(media_col, run(F.col(text_col)))
+    return docs.withColumn(media_col, run(quoted(text_col)))
+
+
+def _loaded(media: pd.Series):
+    """(file, payload, tensor) of each file as read back, Nones for null; some megabytes of files are read abreast."""
+    files = [None if m is None else bytes(m) for m in media]
+    for b in _batches([f or b"" for f in files]):
+        some = [f for f in files[b] if f is not None]
+        coef, shapes = read(some) if some else (None, [])
+        found = iter(zip(some, shapes, tensors(coef, shapes), strict=True)) if some else iter(())
+        for f in files[b]:
+            if f is None:
+                yield None, None, None
+            else:
+                f, s, rgb = next(found)
+                yield f, payload(coef, s), rgb
 
 
 def load(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """rows with `payload` (binary), `height`, `width`, `rgb` (binary: rows of pixels) read from `media`; null media give nulls."""
+    """rows with `payload` (binary), `height`, `width`, `rgb` (binary: rows of pixels) read from `media`, in place of columns of these names; null media give nulls."""
 
     @F.pandas_udf("payload binary, height int, width int, rgb binary")
     def run(media: pd.Series) -> pd.DataFrame:
-        out = []
-        for m in media:
-            if m is None:
-                out.append((None, None, None, None))
-                continue
-            coef, shapes = read([bytes(m)])
-            rgb = tensors(coef, shapes)[0]
-            out.append((payload(coef, shapes[0]), *rgb.shape[:2], rgb.tobytes()))
+        out = [(None, None, None, None) if f is None else (p, *rgb.shape[:2], rgb.tobytes()) for f, p, rgb in _loaded(media)]
         return pd.DataFrame(out, columns=["payload", "height", "width", "rgb"])
 
-    kept = [c for c in rows.columns if c not in ("payload", "height", "width", "rgb")]
-    return rows.select(*kept, run(F.col(media_col)).alias("_m")).select(*kept, "_m.*")
+    return with_fields(rows, run(quoted(media_col)), ["payload", "height", "width", "rgb"])
 
 
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with digests of its payload as stored and read back, and features of its tensor. A row for each row; no shuffle."""
+def digests(rows: DataFrame, media_col: str = "media") -> DataFrame:
+    """rows with digests of what is read back from `media`, of its bytes, and features of its tensor, in place of the media and of columns of these names.
+
+    A row for each row; null media give nulls. No shuffle.
+    """
 
     @F.pandas_udf(_DIGEST)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        raw = utf8(texts)
-        p, out = [padded(t) for t in raw], []
-        for b in _batches(p):
-            files = write(p[b])
-            coef, shapes = read(files)
-            for t, f, s, rgb in zip(raw[b], files, shapes, tensors(coef, shapes), strict=True):
-                back = payload(coef, s)
-                out.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(f), hashlib.sha256(f).hexdigest(), features(rgb)))
+    def run(media: pd.Series) -> pd.DataFrame:
+        out = [
+            (None,) * 6 if f is None else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(f), hashlib.sha256(f).hexdigest(), features(rgb))
+            for f, p, rgb in _loaded(media)
+        ]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _DIGEST.split(", ")])
 
-    kept = [c for c in docs.columns if c != text_col and c not in [x.split()[0] for x in _DIGEST.split(", ")]]
-    return docs.select(*kept, run(F.col(text_col)).alias("_m")).select(*kept, "_m.*")
+    return with_fields(rows, run(quoted(media_col)), [c.split()[0] for c in _DIGEST.split(", ")], without=(media_col,))
 
 
 def op7(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), a row for each row of documents.
+
+    Each text becomes a media column (store), and what is said of it is read back from that column. Null and empty texts: 64 zeros. Repeated rows stay.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return digests(store(docs).drop("text"))

@@ -254,14 +254,14 @@ def vocabulary(spark: SparkSession, model_file: str = MODEL_FILE):
 
 
 def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs, or its columns `keep`, with `ids` (array of int) and `round_trip`, whether decoding gives the text again, a mark in a text being a space.
+    """docs, or its columns `keep`, with `ids` (array of int) and `round_trip`, whether decoding gives the text again, a mark in a text being a space; in place of columns of these names.
 
     Null and empty texts have no ids. A row for each row; no shuffle. A broken task starts anew from its
     input; its memory is one Arrow batch of its input, _ROWS rows of its output, and what it remembers of words.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, check_col)]
-    rows = docs.select(*map(quoted, kept), quoted(text_col).alias("_text"))
-    schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]], StructField(ids_col, ArrayType(IntegerType(), False)), StructField(check_col, BooleanType())])
+    rows = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(text_col).alias("text"))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]], StructField("ids", ArrayType(IntegerType(), False)), StructField("same", BooleanType())])
 
     def run(batches):
         import pyarrow as pa
@@ -276,9 +276,9 @@ def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids",
                 same = [decode(v, i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], lists, pa.array(same, pa.bool_())], names=[*kept, ids_col, check_col])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], lists, pa.array(same, pa.bool_())], names=[*[f"c{i}" for i in range(len(kept))], "ids", "same"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(ids_col), F.col("same").alias(check_col))
 
 
 def decoded(rows: DataFrame, vocab, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -288,7 +288,7 @@ def decoded(rows: DataFrame, vocab, ids_col: str = "ids", text_col: str = "decod
     def run(ids: pd.Series) -> pd.Series:
         return pd.Series([None if i is None else decode(vocab.value, i.tolist()) for i in ids], dtype=object)
 
-    return rows.withColumn(text_col, run(F.col(ids_col)))
+    return rows.withColumn(text_col, run(quoted(ids_col)))
 
 
 def op6(spark, sf_dir, model_file: str = MODEL_FILE):

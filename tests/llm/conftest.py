@@ -26,14 +26,14 @@ def odd_rows(rng):
 
 
 #: Columns whose names clash with those that operators use inside.
-CLASH = ["id", "fp", "block", "row", "score", "_id", "train", "lang_pred", "component_id", "key", "val", "h", "spans", "media", "ids", "_row", "_keep", "listed", "host"]
+CLASH = ["id", "fp", "block", "row", "score", "_id", "train", "lang_pred", "component_id", "key", "val", "h", "spans", "media", "ids", "_row", "_keep", "listed", "host", "_p", "_m", "_new", "_doc", "_of", "a.b", "payload", "feature", "rgb"]
 
 
 @pytest.fixture(scope="session")
 def odd_docs(spark, odd_rows):
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(odd_rows, DOCS).withColumns({c: F.lit(7) for c in CLASH})
+    return spark.createDataFrame(odd_rows, DOCS).select("*", *[F.lit(7).alias(c) for c in CLASH])
 
 
 @pytest.fixture(scope="session")

@@ -398,18 +398,33 @@ def test_tensor_is_the_inverse_transform(rng):
 
 
 def test_media_columns(spark, odd_docs, no_docs, odd_rows):
-    got = media.digests(odd_docs.select("doc_id", "text")).collect()
+    stored = media.store(odd_docs)
+    got = media.digests(stored)
+    assert sorted(got.columns) == sorted({*odd_docs.columns, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"} - {"media"})
+    got, by = got.collect(), {}
     assert len(got) == len(odd_rows)
-    by = {}
     for r in got:
-        raw = next((t for i, t, *_ in odd_rows if i == r["doc_id"] and (i is not None or len((t or "").encode()) == r["n_bytes"])), None) or ""
-        p = media.padded(raw.encode())
-        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw.encode()), len(p))
-        assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        raw = (r["text"] or "").encode()
+        p = media.padded(raw)
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert by.setdefault(raw, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
-    back = media.load(media.store(odd_docs.where("doc_id < 5"))).select("text", "payload", "height", "width", "rgb").collect()
-    assert all(r["payload"] == media.padded(r["text"].encode()) and len(r["rgb"]) == 3 * r["height"] * r["width"] for r in back)
-    assert media.digests(no_docs).count() == 0
+    back = media.load(stored).select("text", "payload", "height", "width", "rgb").collect()
+    assert all(r["payload"] == media.padded((r["text"] or "").encode()) and len(r["rgb"]) == 3 * r["height"] * r["width"] for r in back)
+    assert media.load(spark.createDataFrame([(None,)], "media binary")).first()["payload"] is None
+    assert media.digests(media.store(no_docs)).count() == 0
+
+
+def test_media_query(spark, odd_docs, odd_rows, tmp_path):
+    odd_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["n_bytes"], r["payload_bytes"]) for r in media.op7(spark, str(tmp_path)).collect())
+    sizes = [len((t or "").encode()) for _, t, *_ in odd_rows]
+    assert got == sorted((n, max(64, -(-n // 64) * 64)) for n in sizes)
+
+
+def test_extract_keeps_odd_columns(spark, odd_docs, odd_rows):
+    pages = odd_docs.withColumnRenamed("text", "html")
+    out = html_extract.extract(pages, html_extract.Model())
+    assert sorted(out.columns) == sorted({*odd_docs.columns, "n_chars"}) and out.count() == len(odd_rows)
 
 
 # -- pipeline ----------------------------------------------------------------------------------

@@ -404,14 +404,25 @@ def test_toxicity_odd(spark, odd_docs, no_docs, odd_rows):
 
 
 def plain_bayes(rows, text):
-    grams = lambda t: [g for n in langid.ORDERS for c in [langid._code_points(t)] for g in langid.buckets(c, n).tolist()]
+    """Language and score, a letter at a time."""
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                h = 0
+                for c in s[i : i + n]:
+                    h = (h * 0x110000 + ord(c)) % 2**64
+                yield (h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 49
+
     counts, docs = defaultdict(Counter), Counter()
     for _, t, lang in rows:
         docs[lang] += 1
         counts[lang].update(grams(t or ""))
-    total = sum(docs.values())
-    best = {lang: math.log(docs[lang] / total) + sum(math.log((c[g] + 1) / (sum(c.values()) + langid.BUCKETS)) for g in grams(text)) for lang, c in counts.items()}
-    return max(sorted(best), key=best.get)
+    total, g = sum(docs.values()), [*grams(text)]
+    odds = {lang: math.log(docs[lang] / total) + sum(math.log((c[x] + 1) / (sum(c.values()) + 2**15)) for x in g) for lang, c in counts.items()}
+    best = max(sorted(odds), key=odds.get)
+    return best, 1 / sum(math.exp((z - odds[best]) * min(64, len(g)) / len(g)) for z in odds.values())
 
 
 def test_langid_against_plain(spark, rng):
@@ -421,12 +432,23 @@ def test_langid_against_plain(spark, rng):
     model = langid.train(docs)
     texts = [prose(rng, n, words[lang] + ["zz"]) for lang in words for n in (1, 2, 5, 20)]
     got, score = langid.predict_texts(model, [*texts, None, "", "123 !"])
-    assert got == [plain_bayes(rows, t) for t in texts] + ["und"] * 3
-    assert (score[:-3] > 0.33).all() and (score <= 1).all() and (score[-3:] == 0).all()
+    want = [plain_bayes(rows, t) for t in texts]
+    assert got == [lang for lang, _ in want] + ["und"] * 3
+    assert score[:-3] == pytest.approx([s for _, s in want], abs=1e-3) and (score[-3:] == 0).all()
+
+
+def test_langid_of_many_languages(spark, rng):
+    """300 languages, in slices; before, more than 200 were refused."""
+    alphabet = [chr(0x4E00 + i) for i in range(900)]
+    rows = [(f"l{k:03}", "".join(rng.choice(alphabet[3 * k : 3 * k + 3]) for _ in range(40))) for k in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    got, _ = langid.predict_texts(model, [t[:20] for _, t in rows])
+    assert len(model.slices) == 38 and sum(a == b for a, (b, _) in zip(got, rows, strict=True)) >= 297
 
 
 def test_langid_odd(odd_docs, no_docs, odd_rows):
     out = langid.identify(odd_docs, langid.train(odd_docs))
+    assert sorted(out.columns) == sorted(odd_docs.columns)  # lang_pred and score are replaced
     assert out.count() == len(odd_rows)
     assert {r["lang_pred"] for r in out.where("text is null or trim(text) = ''").collect()} == {"und"}
     assert {r["lang_pred"] for r in langid.identify(odd_docs, langid.train(no_docs)).collect()} == {"und"}
