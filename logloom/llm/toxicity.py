@@ -111,10 +111,13 @@ class LabelModel:
         """votes (rows, voters) of -1 (clean), 0 (none) and 1 (toxic); start: first guess of P(toxic) of each row."""
         v, post = votes.astype(np.float32), np.asarray(start, float)
         yes, no = (v > 0).astype(np.float32), (v < 0).astype(np.float32)
+        # one row that votes as all rows together do stands for what is not known of a class, so that a voter who never speaks says nothing
+        all_ = np.stack([no.sum(0), (v == 0).sum(0), yes.sum(0)]).astype(float) + 1e-3
+        all_ /= all_.sum(0)
         for _ in range(rounds):
             w = np.stack([1 - post, post])
             n, clean, toxic = w.sum(1)[:, None], w @ no, w @ yes
-            self.rates = np.stack([clean + 0.5, n - clean - toxic + 0.5, toxic + 0.5], 1) / (n + 1.5)[:, None]
+            self.rates = (np.stack([clean, n - clean - toxic, toxic], 1) + all_) / (n + 1)[:, None]
             self.prior = float(np.clip(post.mean(), 1e-3, 0.999))
             # correlations: what votes share beyond what their classes explain
             res = v - w.T @ (self.rates[:, 2] - self.rates[:, 0])

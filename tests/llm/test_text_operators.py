@@ -331,9 +331,10 @@ def test_label_model_finds_copies_of_a_voter(rng):
 def plain_label_model(votes, start, rounds):
     """The label model in plain loops."""
     rows, voters, post = len(votes), len(votes[0]), list(start)
+    all_ = [[(sum(x[j] == o for x in votes) + 1e-3) / (rows + 3e-3) for o in (-1, 0, 1)] for j in range(voters)]
     for _ in range(rounds):
         w = [[1 - p for p in post], post]
-        rate = [[[(sum(w[y][r] for r in range(rows) if votes[r][j] == o) + 0.5) / (sum(w[y]) + 1.5) for o in (-1, 0, 1)] for j in range(voters)] for y in (0, 1)]
+        rate = [[[(sum(w[y][r] for r in range(rows) if votes[r][j] == o) + all_[j][o + 1]) / (sum(w[y]) + 1) for o in (-1, 0, 1)] for j in range(voters)] for y in (0, 1)]
         prior = min(max(sum(post) / rows, 1e-3), 0.999)
         res = [[votes[r][j] - sum(w[y][r] * (rate[y][j][2] - rate[y][j][0]) for y in (0, 1)) for j in range(voters)] for r in range(rows)]
         mean = [sum(x[j] for x in res) / rows for j in range(voters)]
