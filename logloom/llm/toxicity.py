@@ -119,9 +119,9 @@ class LabelModel:
             n, clean, toxic = w.sum(1)[:, None], w @ no, w @ yes
             self.rates = (np.stack([clean, n - clean - toxic, toxic], 1) + all_) / (n + 1)[:, None]
             self.prior = float(np.clip(post.mean(), 1e-3, 0.999))
-            # correlations: what votes share beyond what their classes explain
-            res = v - w.T @ (self.rates[:, 2] - self.rates[:, 0])
-            res -= res.mean(0)
+            # correlations: what votes share beyond what the likelier classes explain
+            h = np.stack([post < 0.5, post >= 0.5]).astype(np.float32)
+            res = v - h.T @ (h @ v / np.maximum(h.sum(1), 1)[:, None])
             sd = np.sqrt((res**2).mean(0)) + 1e-3
             self.correlation = res.T @ res / len(v) / np.outer(sd, sd)
             self.discount = 1 / np.maximum(np.where(self.correlation > 0.1, self.correlation, 0).sum(1), 1)  # a voter's own is 1
