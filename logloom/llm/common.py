@@ -23,13 +23,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again: cuts its lineage, and what uses it twice computes it once."""
+def stored(df: DataFrame, integers: bool = False) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: cuts its lineage, and what uses it twice computes it once.
+
+    integers: the columns are integers, which are written as differences; best where they are sorted.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     path = f"{top.rstrip('/')}/logloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if integers:
+        writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,10 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, table, utf8
+from .common import crc_mod, quoted, split_by_bloom, stored, table, utf8
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 16 << 20  # of texts, about, and
+BLOCK_ROWS = 20_000  # rows that are scored together at most, about
+COPIES = 16  # rows of one id and text beyond which they are scored once
+_SHORT = 2  # contexts of so many bytes are 65,536 at most, whatever the texts: their tables are broadcast
 _CHUNK = 1 << 20
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 255
@@ -74,19 +77,22 @@ def _word_keys(words) -> np.ndarray:
 
 def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     """(block, key, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
-    texts, train = utf8(pdf["text"]), pdf["train"].to_numpy(bool)
-    words = Counter({_END_WORD: int(train.sum())})
+    texts, times = utf8(pdf["text"]), np.where(pdf["train"].to_numpy(bool), pdf["times"].to_numpy(np.int64), 0)
+    words = Counter({_END_WORD: int(times.sum())})
     others = set()
-    for t, ok in zip(texts, train, strict=True):
-        (words if ok else others).update(t.lower().split())
+    for t, k in zip(texts, times.tolist(), strict=True):
+        if k > 1:
+            for w, n in Counter(t.lower().split()).items():
+                words[w] += n * k
+        else:
+            (words if k else others).update(t.lower().split())
     others = [w for w in others if w not in words]
     parts = []
     for at, chunk in _chunks(texts):
-        ok = train[at : at + len(chunk)]
-        for side, w in ((ok, 1), (~ok, 0)):
-            if side.any():
-                k, n = _distinct(_grams([t for t, x in zip(chunk, side, strict=True) if x], ORDER)[0])
-                parts.append((k, n * w))
+        own = times[at : at + len(chunk)]
+        for k in np.unique(own):
+            g, n = _distinct(_grams([t for t, x in zip(chunk, own == k, strict=True) if x], ORDER)[0])
+            parts.append((g, n * k))
     grams, n = _merge(parts)
     return pd.DataFrame({
         "block": np.int32(pdf["block"].iloc[0]),
@@ -109,28 +115,29 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     log = lambda a, b: F.log10(a / b)
     level = {order: counts.where("n > 0")}  # depth k + 1 of the trie: grams of a context of k bytes and a byte
     for k in range(order - 1, -1, -1):
-        level[k] = stored(level[k + 1].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n")))
+        level[k] = stored(level[k + 1].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n")), integers=True)
+    small = lambda df, k: F.broadcast(df) if k <= _SHORT else df
 
     def contexts(k: int) -> DataFrame:
         """(context, total, kinds, out) of the contexts of k bytes; out: what their children weigh one order down."""
         below = level[k].withColumn("_m", F.lit(0))
         if k:
             short = level[k - 1].select(F.col("gram").alias("_s"), F.col("n").alias("_m"))
-            below = level[k].join(short, _low("gram", k) == F.col("_s"))
+            below = level[k].join(small(short, k), _low("gram", k) == F.col("_s"))  # short: contexts of k bytes
         return below.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_m").alias("out"))
 
-    longest = stored(contexts(order))
+    longest = stored(contexts(order), integers=True)
     known = counts.where("n > 0").join(longest, F.shiftrightunsigned("gram", 8) == F.col("context"))
     known = known.select("gram", log(F.col("n") - 0.5, F.col("total")).alias("val"))
     # the others go down the orders; gone, gone_kinds: weight and number of the bytes excluded at this order
     s = counts.where("n = 0").select("gram", F.lit(0.0).alias("val"), F.lit(False).alias("found"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_kinds"))
     for k in range(order, -1, -1):
         c = longest if k == order else contexts(k)
-        s = s.join(c, F.shiftrightunsigned(_low("gram", k + 1), 8) == F.col("context"), "left")
+        s = s.join(small(c, k), F.shiftrightunsigned(_low("gram", k + 1), 8) == F.col("context"), "left")
         hit = F.lit(False)
         if k < order:
             n = level[k].select(F.col("gram").alias("_g"), F.col("n").alias("_n"))
-            s = s.join(n, _low("gram", k + 1) == F.col("_g"), "left")
+            s = s.join(small(n, k + 1), _low("gram", k + 1) == F.col("_g"), "left")
             hit = F.col("_n").isNotNull()
         seen, mass, kinds = F.col("total").isNotNull(), F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
         step = F.when(hit, log(F.col("_n") - 0.5, mass)) if k < order else F.when(F.lit(False), 0.0)
@@ -173,9 +180,10 @@ class _Lookup:
             slot[bad] = (slot[bad] + 1) & ((1 << self.bits) - 1)
 
 
-def _score_block(docs: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, new: float) -> pd.DataFrame:
+    """Scores of a block's texts; new: what each word costs that training texts lack."""
     if not len(docs):
-        return pd.DataFrame({"id": [], "train": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+        return pd.DataFrame({"id": [], "train": [], "times": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
     texts = utf8(docs["text"])
     key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy()
     word = key >= _WORD_FLAG
@@ -183,42 +191,54 @@ def _score_block(docs: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
     words = [*{w for t in texts for w in t.lower().split()}, _END_WORD]
     vals = _Lookup(key[word].astype(np.uint64), val[word])(_word_keys(words).astype(np.uint64))
     base = dict(zip(words, vals.tolist(), strict=True))
-    new = val[word & ~keys["known"].to_numpy(bool)][:1]  # what every word that training texts lack costs
     n_tokens, n_known, base_score, score = (np.zeros(len(texts), t) for t in (np.int64, np.int64, float, float))
     for i, t in enumerate(texts):
         w = t.lower().split()
         w.append(_END_WORD)
         v = np.fromiter(map(base.__getitem__, w), float, len(w))
-        n_tokens[i], n_known[i], base_score[i] = len(w), (~np.isin(v, new)).sum(), v.sum()
+        n_tokens[i], n_known[i], base_score[i] = len(w), (v > new).sum(), v.sum()
     for at, chunk in _chunks(texts):
         g, starts = _grams(chunk, ORDER)
         score[at : at + len(chunk)] = np.add.reduceat(look(g), starts)
-    return pd.DataFrame({"id": docs["id"], "train": docs["train"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
+    return pd.DataFrame({"id": docs["id"], "train": docs["train"], "times": docs["times"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
 
 
-def score_documents(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
+def score_documents(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; other columns are not looked at.
 
     score: log10 probability of the whole text and its end under a model of order ORDER that has learnt all rows
-    where train_col is true. base_score: under word counts with add-one smoothing. Null texts are empty.
+    where train_col is true. base_score: under word counts with add-one smoothing. Null texts are empty, a null train_col is false.
     Repeated rows stay and count each time. Without training rows, all bytes are equally likely.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(int(size // block_bytes) + 1)).cast("int"))
-    keys = stored(rows.select("block", "train", "text").groupBy("block").applyInPandas(_block_keys, "block int, key long, n long"))
-    counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")))
+    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(train_col), F.lit(False)).alias("train"), quoted(text_col).alias("text"))
+    key = F.xxhash64("id", "train", "text")
+    sizes = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"))  # many rows of one key are one block's otherwise
+    hot = sizes.where(F.col("n") > COPIES).select("key").checkpoint()
+    once, maybe = split_by_bloom(rows.withColumn("key", key), "key", hot)
+    some = maybe.groupBy("id", "train", "text").agg(F.count("*").alias("times"))
+    rows = once.select("id", "train", "text", F.lit(1).cast("long").alias("times")).union(some)
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(size // block_bytes, count // block_rows) + 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(int(blocks))).cast("int"))
+    keys = stored(rows.groupBy("block").applyInPandas(_block_keys, "block int, key long, n long"), integers=True)
+    counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), integers=True)
     words = counts.where(F.col("key") >= _WORD_FLAG)
     tokens, vocab = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = words.select("key", F.log10((F.col("n") + 1) / F.lit(tokens + vocab + 1)).alias("val"), (F.col("n") > 0).alias("known"))
+    cost = lambda n: F.log10((n + 1) / F.lit(tokens + vocab + 1))
+    new = words.sparkSession.range(1).select(cost(F.lit(0))).first()[0]  # as the JVM computes it
     grams = code_lengths(counts.where(F.col("key") < _WORD_FLAG).select(F.col("key").alias("gram"), "n"))
-    vals = words.union(grams.select("gram", "val", F.lit(True)))
-    back = keys.select("block", "key").join(vals, "key").select("block", "key", "val", "known")
+    vals = words.select("key", cost(F.col("n")).alias("val")).union(grams.select("gram", "val"))
+    back = keys.select("block", "key").join(vals, "key").select("block", "key", "val")
     out = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        _score_block, f"id {dict(rows.dtypes)['id']}, train boolean, n_tokens long, n_known long, base_score double, score double")
+        lambda d, k: _score_block(d, k, new), f"id {dict(rows.dtypes)['id']}, train boolean, times long, n_tokens long, n_known long, base_score double, score double")
+    out = out.withColumn("nth", F.explode(F.expr("sequence(1L, times)")))
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1(spark, sf_dir):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents, repeated rows included.
+
+    Null and empty texts are their end alone; rows with a null doc_id are learnt from.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 7) != 2, F.lit(True)).alias("train"))
     return score_documents(docs, "train").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

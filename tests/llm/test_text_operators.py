@@ -77,6 +77,26 @@ def test_ppm_odd(odd_docs, no_docs, odd_rows):
     assert untrained["train_tokens"] == 0 and untrained["score"] == pytest.approx(-math.log10(255))
 
 
+def test_ppm_of_copies_and_empty_texts(spark, rng):
+    """Rows of one id and text are scored once and count each time; texts without bytes are dealt over blocks by their number."""
+    texts = [prose(rng, 12) for _ in range(12)]
+    rows = [(i, t, i % 3 != 0) for i, t in enumerate(texts)] + [(50, "same text here", True)] * 500 + [(51, "other text", False)] * 40 + [(None, None, True)] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.score_documents(docs, "train").collect()]
+    train = [t or "" for _, t, ok in rows if ok]
+    assert Counter(x[0] for x in got) == Counter(i for i, _, _ in rows) and len(set(got)) == 15
+    counts = Counter(w for t in train for w in [*WORD.findall(low(t)), None])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in ((50, "same text here"), (51, "other text"), (None, ""), (3, texts[3])):
+        w = [*WORD.findall(low(t)), None]
+        (want,) = {x for x in got if x[0] == i}
+        assert want[1:4] == (len(w), sum(x in counts for x in w), n)
+        assert want[4] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs=1e-5) and want[5] == pytest.approx(plain_ppm(train, t), abs=1e-5)
+    many = spark.range(100_000).selectExpr("id as doc_id", "cast(null as string) as text", "true as train")
+    many = ppm.score_documents(many, "train", block_rows=5000).agg(F.count("*"), F.min("score"), F.max("score")).first()
+    assert many[0] == 100_000 and many[1] == many[2]
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 
@@ -336,9 +356,9 @@ def plain_label_model(votes, start, rounds):
         w = [[1 - p for p in post], post]
         rate = [[[(sum(w[y][r] for r in range(rows) if votes[r][j] == o) + all_[j][o + 1]) / (sum(w[y]) + 1) for o in (-1, 0, 1)] for j in range(voters)] for y in (0, 1)]
         prior = min(max(sum(post) / rows, 1e-3), 0.999)
-        res = [[votes[r][j] - sum(w[y][r] * (rate[y][j][2] - rate[y][j][0]) for y in (0, 1)) for j in range(voters)] for r in range(rows)]
-        mean = [sum(x[j] for x in res) / rows for j in range(voters)]
-        res = [[x[j] - mean[j] for j in range(voters)] for x in res]
+        likely = [p >= 0.5 for p in post]
+        mean = {y: [sum(x[j] for x, k in zip(votes, likely, strict=True) if k == y) / max(1, likely.count(y)) for j in range(voters)] for y in (False, True)}
+        res = [[x[j] - mean[y][j] for j in range(voters)] for x, y in zip(votes, likely, strict=True)]
         sd = [math.sqrt(sum(x[j] ** 2 for x in res) / rows) + 1e-3 for j in range(voters)]
         cor = [[sum(x[i] * x[j] for x in res) / rows / sd[i] / sd[j] for i in range(voters)] for j in range(voters)]
         weight = [1 / max(1, sum(c for c in cor[j] if c > 0.1)) for j in range(voters)]
