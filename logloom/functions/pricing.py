@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: USD for a million tokens: model, input, output, cache read, cache creation; with an @ the day from which they hold.
 RATES = """
 claude-opus-4 15 75 1.5 18.75
@@ -125,9 +127,8 @@ def normal_model(model: Column) -> Column:
 
 def rate_key(model: Column, text: str = RATES) -> Column:
     """The key whose rates a model has, the longest that fits; null where none does. An expression: no join."""
-    m = normal_model(model)
     keys = F.array(*map(F.lit, sorted({r[0] for r in rate_rows(text)}, key=lambda k: (-len(k), k))))
-    return F.get(F.filter(keys, lambda k: (m == k) | m.startswith(F.concat(k, F.lit("-")))), F.lit(0))
+    return let(normal_model(model), lambda m: F.get(F.filter(keys, lambda k: (m == k) | m.startswith(F.concat(k, F.lit("-")))), F.lit(0)))
 
 
 def with_cost(df: DataFrame, model: str, at: Column, prefix: str = "", out: str = "cost_nano") -> DataFrame:

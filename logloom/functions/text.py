@@ -49,7 +49,7 @@ def sanitize(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
 
 
-def _let(c: Column, f) -> Column:
+def let(c: Column, f) -> Column:
     """f of c, with c evaluated once however often f uses it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
@@ -63,9 +63,9 @@ def clean_prompt(c: Column) -> Column:
 
     def stripped(whole):
         rest = F.regexp_replace(_ltrim(whole), f"^(?:<({_TAGS})>[\\s\\S]*?</\\1>{_BLANKS}*)+", "")
-        return _let(rest, lambda r: F.when((r == "") | _starts(r), whole).otherwise(r))
+        return let(rest, lambda r: F.when((r == "") | _starts(r), whole).otherwise(r))
 
-    return _let(sanitize(c), stripped)
+    return let(sanitize(c), stripped)
 
 
 def is_boilerplate(c: Column) -> Column:
@@ -105,9 +105,9 @@ def first_prompt(c: Column, n: int = 200) -> Column:
 
     def shown(cleaned):
         line = F.trim(F.regexp_replace(cleaned, r"\s+", " "))
-        return _let(line, lambda x: F.when(~_starts(_ltrim(clean_prompt(cleaned))) & (x != ""), shortened(x, n)))
+        return let(line, lambda x: F.when(~_starts(_ltrim(clean_prompt(cleaned))) & (x != ""), shortened(x, n)))
 
-    return _let(_let(c, lambda x: F.coalesce(goal_objective(x), x)), lambda t: _let(clean_prompt(t), shown))
+    return let(let(c, lambda x: F.coalesce(goal_objective(x), x)), lambda t: let(clean_prompt(t), shown))
 
 
 def first_human(texts: Column) -> Column:
@@ -144,14 +144,14 @@ def user_message(c: Column) -> Column:
         for tag in (*_WRAPPERS[:3], "system-reminder", *_WRAPPERS[3:]):
             steps.append((_NAMES.get(tag, tag.lower().replace("-", "_")), f"<{tag}>([\\s\\S]*?)</{tag}>", "" if tag == "system-reminder" else "$1"))
         for step in steps:
-            state = _let(state, _taking(*step))
+            state = let(state, _taking(*step))
         one = lambda s, name: F.coalesce(F.get(s["parts"].getItem(name), F.lit(0)), F.lit(""))
-        return _let(state, lambda s: F.struct(
+        return let(state, lambda s: F.struct(
             *[(s["parts"].getItem(n) if n == "reminders" else one(s, n)).alias(n) for n, _, _ in steps],
             F.coalesce(goal_objective(x), F.lit("")).alias("goal_objective"), goal_budget(x).alias("goal_budget"), goal_scaffold(x).alias("goal_scaffold"), _trim(s["work"]).alias("body"),
         ))
 
-    return _let(c, parsed)
+    return let(c, parsed)
 
 
 PREVIEW_LINES, PREVIEW_BYTES = 40, 4096

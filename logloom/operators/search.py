@@ -41,10 +41,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 class Query:
-    """A parsed query: `terms` to rank by, and `match(tokens)`, a condition on an array of tokens."""
+    """A parsed query: `units` to rank by (words, phrases and beginnings of words that aren't negated), and `match(tokens)`, a condition on an array of tokens."""
 
     def __init__(self, text: str):
-        self.terms: list[str] = []
+        self.units: list[tuple] = []
+        self._negated = 0
         self._items = [m for m in _LEX.finditer(text)]
         self._at = 0
         self._root = self._or() if self._items else None
@@ -53,6 +54,19 @@ class Query:
             if self._at < len(self._items):
                 self._root = ("and", [self._root, self._or()])
 
+    @classmethod
+    def plain(cls, text: str) -> Query:
+        """Text without a query language: all of its words."""
+        q = cls("")
+        words = [x.lower() for x in _WORD.findall(text)]
+        q._root = ("and", [q._unit_of(("phrase", [w])) for w in words]) if words else None
+        return q
+
+    def _unit_of(self, node: tuple) -> tuple:
+        if not self._negated:
+            self.units += [("phrase", [w]) for w in node[1]] if node[0] == "near" else [node] if node[1] else []
+        return node
+
     def _peek(self) -> str | None:
         return self._items[self._at][0] if self._at < len(self._items) else None
 
@@ -71,7 +85,9 @@ class Query:
                 continue
             if p == "NOT" and parts and self._at + 1 < len(self._items):
                 self._at += 1
+                self._negated += 1
                 parts.append(("not", [self._unit()]))
+                self._negated -= 1
                 continue
             parts.append(self._unit())
         return ("and", parts) if len(parts) != 1 else parts[0]
@@ -85,15 +101,18 @@ class Query:
             return inner
         if m[2] is not None:
             words, _, n = m[2].partition(",")
-            w = [x.lower() for x in _WORD.findall(words)]
-            self.terms += w
-            return ("near", w, int(n) if n.strip().isdigit() else 10)
+            return self._unit_of(("near", [x.lower() for x in _WORD.findall(words)], int(n) if n.strip().isdigit() else 10))
         raw = m[1] if m[1] is not None else m[0]
         w = [x.lower() for x in _WORD.findall(raw)]
-        self.terms += w
-        if m[1] is None and raw.endswith("*") and len(w) == 1:
-            return ("prefix", w[0])
-        return ("phrase", w)  # foo-bar is the phrase of its words; punctuation alone is nothing
+        if m[1] is None and raw.endswith("*") and w:
+            return self._unit_of(("prefix", w))  # foo-ba*: the last word is a beginning
+        return self._unit_of(("phrase", w))  # foo-bar is the phrase of its words; punctuation alone is nothing
+
+    def hit(self, token: Column) -> Column:
+        """Whether a token is one that the ranking counts, or a part of one."""
+        words = sorted({w for kind, x in self.units for w in (x if kind == "phrase" else x[:-1])})
+        starts = sorted({x[-1] for kind, x in self.units if kind == "prefix"})
+        return reduce(or_, [token.startswith(p) for p in starts], token.isin(*words) if words else F.lit(False))
 
     def match(self, toks: Column) -> Column:
         return self._cond(self._root, toks) if self._root is not None else F.lit(False)
@@ -105,9 +124,9 @@ class Query:
             return reduce(and_ if op == "and" else or_, parts) if parts else F.lit(False)
         if op == "not":
             return ~self._cond(node[1][0], t)
-        if op == "prefix":
-            return F.exists(t, lambda x: x.startswith(node[1]))
         words = node[1]
+        if op == "prefix":
+            return F.exists(t, lambda x: x.startswith(words[0])) if len(words) == 1 else _times(node, t) > 0
         if not words:
             return F.lit(False)
         here = F.array_contains(t, words[0])
@@ -125,32 +144,50 @@ class Query:
         return here & F.exists(places(words[0]), lambda i: reduce(and_, [F.exists(places(w), lambda j: F.abs(i - j) - 1 <= node[2]) for w in words[1:]], F.lit(True)))
 
 
-def _is(word: str):
-    """A test of one argument; a second, with a default too, would get the place in the array."""
-    return lambda x: x == word
+def _times(unit: tuple, t: Column) -> Column:
+    """How often an array of tokens has a unit."""
+    kind, x = unit
+    fits = lambda w, k: w.startswith(x[k]) if kind == "prefix" and k + 1 == len(x) else w == x[k]
+    if len(x) == 1:
+        return F.size(F.filter(t, lambda w: fits(w, 0)))
+    here = lambda w, i: reduce(and_, [fits(F.get(t, i + k), k) for k in range(1, len(x))], fits(w, 0))
+    return F.size(F.filter(F.transform(t, here), lambda ok: F.coalesce(ok, F.lit(False))))
 
 
-def ranked_turns(turns: DataFrame, query: str) -> DataFrame:
-    """Turns that match, with `rank`, BM25 over all searchable turns (higher is better)."""
-    q = Query(query)
-    docs = searchable(turns).withColumn("_t", tokens(F.col("content")))
-    terms = sorted(set(q.terms))
-    has = [F.count_if(F.array_contains("_t", w)).alias(f"df{i}") for i, w in enumerate(terms)]
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg"), *has).first()  # one row: a number for each term of the query
-    n, avg = stats["n"], stats["avg"] or 1.0
+def indexed(turns: DataFrame) -> DataFrame:
+    """turns with `tokens`, to be stored: what searches them then splits no text."""
+    return turns.withColumn("tokens", tokens(F.col("content")))
+
+
+def _tokens_of(turns: DataFrame) -> Column:
+    return F.col("tokens") if "tokens" in turns.columns else tokens(F.col("content"))
+
+
+def ranked_turns(turns: DataFrame, query: str | Query) -> DataFrame:
+    """Turns that match, with `rank`, BM25 over all searchable turns (higher is better): of words, phrases and beginnings of words, each by its own frequency.
+
+    The frequencies are one row, broadcast; nothing runs before the result is asked for.
+    """
+    q = Query(query) if isinstance(query, str) else query
+    docs = searchable(turns).withColumn("_t", _tokens_of(turns))
+    units = [u for i, u in enumerate(q.units) if u not in q.units[:i]]
+    counted = docs.select(F.size("_t").alias("_size"), *[_times(u, F.col("_t")).alias(f"_tf{i}") for i, u in enumerate(units)])
+    stats = counted.agg(F.lit(1).alias("_1"), F.count("*").alias("_n"), F.avg("_size").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(units))])
+    hits = docs.where(q.match(F.col("_t"))).withColumn("_1", F.lit(1)).join(F.broadcast(stats), "_1")
     score = F.lit(0.0)
-    for i, w in enumerate(terms):
-        tf = F.size(F.filter("_t", _is(w))).cast("double")
-        idf = F.log(F.lit(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_t") / avg))
-    return docs.where(q.match(F.col("_t"))).withColumn("rank", score).withColumn("terms", F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"))
+    for i, u in enumerate(units):
+        tf = _times(u, F.col("_t")).cast("double")
+        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_t") / F.nullif(F.col("_avg"), F.lit(0.0))))
+    return hits.withColumn("rank", F.round(F.coalesce(score, F.lit(0.0)), 9)).drop("_1", "_n", "_avg", *[f"_df{i}" for i in range(len(units))])
 
 
-def snippet(toks: Column, terms: Column, width: int = 16) -> Column:
-    """`width` tokens from the first hit on, hits in guillemets."""
-    first = F.greatest(F.array_min(F.transform(terms, lambda w: F.when(F.array_position(toks, w) > 0, F.array_position(toks, w)))) - 2, F.lit(1))
-    part = F.slice(toks, F.coalesce(first, F.lit(1)).cast("int"), width)
-    return F.array_join(F.transform(part, lambda x: F.when(F.array_contains(terms, x), F.concat(F.lit("«"), x, F.lit("»"))).otherwise(x)), " ")
+def snippet(toks: Column, q: Query, width: int = 16) -> Column:
+    """`width` tokens, the first hit among them however narrow they are, hits in guillemets."""
+    flags = F.transform(toks, lambda x: q.hit(x))
+    first = F.greatest(F.array_position(flags, True) - F.lit(min(2, max(width - 1, 0))), F.lit(1))
+    part = F.slice(toks, first.cast("int"), width)
+    return F.array_join(F.transform(part, lambda x: F.when(q.hit(x), F.concat(F.lit("«"), x, F.lit("»"))).otherwise(x)), " ")
 
 
 def limit_of(n: int | None, most: int = 200, default: int = 20) -> int:
@@ -158,18 +195,19 @@ def limit_of(n: int | None, most: int = 200, default: int = 20) -> int:
     return n if n and 0 < n <= most else default
 
 
-def search(t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None) -> DataFrame:
-    """The best turn of each session, best first; ties by session and turn."""
+def search(t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None, plain: bool = False, width: int = 16) -> DataFrame:
+    """The best turn of each session, best first; ties by session and turn. plain: the query is words, all of which must stand."""
+    q = Query.plain(query) if plain else Query(query)
     s = apply(t, f).select("id", "agent", "started_at")
-    hits = ranked_turns(t.turns, query).join(s.withColumnRenamed("id", "session_id"), "session_id")
+    hits = ranked_turns(t.turns, q).join(s.withColumnRenamed("id", "session_id"), "session_id")
     best = Window.partitionBy("session_id").orderBy(F.desc("rank"), "id")
     hits = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    out = hits.select("session_id", "agent", "started_at", F.col("id").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", snippet(F.col("_t"), F.col("terms")).alias("snippet"))
+    out = hits.select("session_id", "agent", "started_at", F.col("id").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", snippet(F.col("_t"), q, width).alias("snippet"))
     return out.orderBy(F.desc("rank"), "session_id").limit(limit_of(limit))
 
 
 def matching_sessions(t: Tables, query: str, f: SessionFilter | None = None) -> DataFrame:
     """(session_id, turns) of the sessions with a turn that matches; no ranking, so one pass."""
     q = Query(query)
-    hit = searchable(t.turns).where(q.match(tokens(F.col("content")))).groupBy("session_id").agg(F.count("*").alias("turns"))
+    hit = searchable(t.turns).where(q.match(_tokens_of(t.turns))).groupBy("session_id").agg(F.count("*").alias("turns"))
     return hit.join(apply(t, f).select(F.col("id").alias("session_id")), "session_id", "left_semi")

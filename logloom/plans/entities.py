@@ -45,8 +45,8 @@ def list_sessions(t: Tables, f: SessionFilter | None = None, sort: str = "starte
     desc = desc if descending is None else descending
     keys = [F.desc("rank")] if query else [col.desc_nulls_last() if desc else col.asc_nulls_last()]
     total = s.select("id").groupBy(F.lit(1).alias("_1")).agg(F.count("*").alias("total"))
-    page = s.orderBy(*keys, F.desc("started_at"), "id").offset(offset).limit(_list_limit(limit))
-    return page.withColumn("_1", F.lit(1)).join(F.broadcast(total), "_1").drop("_1")
+    s = s.withColumn("_1", F.lit(1)).join(F.broadcast(total), "_1").drop("_1")  # one row; before the sort, which comes last
+    return s.orderBy(*keys, F.desc("started_at"), "id").offset(offset).limit(_list_limit(limit))
 
 
 def with_session_cost(t: Tables, s: DataFrame) -> DataFrame:
@@ -54,15 +54,39 @@ def with_session_cost(t: Tables, s: DataFrame) -> DataFrame:
     return with_cost(s, "model", F.col("started_at"), out="cost_nano")
 
 
-def grouped_feed(t: Tables, f: SessionFilter | None = None) -> DataFrame:
-    """Top-level sessions with their children's number and cost, most costly first, those without a cost last."""
+#: The sizes a page of a list can have, and the one that stands for others.
+PAGE_SIZES, PAGE_SIZE = (25, 50, 100, 200), 50
+
+
+def page_of(total: int, page: int = 1, size: int = PAGE_SIZE) -> tuple[int, int, int, int]:
+    """(page, pages, limit, offset): a size that is none of PAGE_SIZES means the usual one; a page out of range the nearest; there is always one page."""
+    size = size if size in PAGE_SIZES else PAGE_SIZE
+    pages = max(1, -(-total // size))
+    page = min(max(page, 1), pages)
+    return page, pages, size, (page - 1) * size
+
+
+def by_cost(t: Tables, f: SessionFilter | None = None, descending: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of single sessions by cost, in either direction; those without a cost last, then by start in the same direction."""
+    s = with_session_cost(t, with_tokens(t, apply(t, f))).select(*LISTED, "measured", "cost_nano")
+    return _cost_page(s, descending, limit, offset)
+
+
+def _cost_page(s: DataFrame, descending: bool, limit: int | None, offset: int) -> DataFrame:
+    cost, start = F.col("cost_nano"), F.col("started_at")
+    s = s.orderBy(cost.desc_nulls_last() if descending else cost.asc_nulls_last(), start.desc() if descending else start.asc(), "id")
+    return s.offset(offset).limit(_list_limit(limit)) if limit is not None or offset else s
+
+
+def grouped_feed(t: Tables, f: SessionFilter | None = None, descending: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Top-level sessions with their children's number and cost, most costly first or last, those without a cost last; a page where one is asked for."""
     s = with_session_cost(t, with_tokens(t, apply(t, f)))
     kids = s.where("parent_session_id is not null").groupBy(F.col("parent_session_id").alias("_p")).agg(F.count("*").alias("children"), F.sum("cost_nano").alias("children_cost"))
     top = s.where("parent_session_id is null").join(kids, F.col("id") == F.col("_p"), "left")
     own, sub = F.col("cost_nano"), F.col("children_cost")
     cost = F.when(own.isNotNull() | sub.isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(sub, F.lit(0)))
     out = top.select("id", "agent", "started_at", F.coalesce("children", F.lit(0)).alias("children"), own.alias("own_cost_nano"), cost.alias("cost_nano"))
-    return out.orderBy(F.col("cost_nano").desc_nulls_last(), F.desc("started_at"), "id")
+    return _cost_page(out, descending, limit, offset)
 
 
 def children(t: Tables, parent: str) -> DataFrame:

@@ -89,7 +89,7 @@ SELECT id, agent, started_at, coalesce(n, 0) AS children, cost_nano AS own_cost_
     "session_detail": f"""{BASE}, c AS (SELECT session_id, count(*) AS turns, count(*) FILTER (kind NOT IN ('tool_result', 'thinking')) AS messages FROM t GROUP BY 1),
 o AS (SELECT session_id, name, n, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, name) AS rn FROM tools), d AS (SELECT session_id, CAST(sum(n) AS BIGINT) AS tool_calls, string_agg(name || ' ×' || n, ', ' ORDER BY rn) FILTER (rn <= 3) AS top_tools FROM o GROUP BY 1)
 SELECT id, coalesce(turns, 0) AS turns, coalesce(messages, 0) AS messages, coalesce(tool_calls, 0) AS tool_calls, coalesce(top_tools, '') AS top_tools FROM s LEFT JOIN c ON c.session_id = id LEFT JOIN d ON d.session_id = id""",
-    "manifest": f"{BASE} SELECT id, md5(id) AS raw_hash, CAST(0 AS INT) AS projection_version FROM s WHERE id > 'u2' ORDER BY id LIMIT 500",
+    "manifest": f"{BASE} SELECT id, md5(id) AS raw_hash, CAST(0 AS INT) AS projection_version FROM s ORDER BY id LIMIT 5000",
     "reconcile": f"""{BASE}, r AS (SELECT id, CASE WHEN starts_with(id, 'u2') THEN 'x' ELSE md5(id) END AS h, CASE WHEN starts_with(id, 'u3') THEN 11 ELSE 12 END AS v FROM s WHERE NOT starts_with(id, 'u1'))
 SELECT s.id, CASE WHEN r.id IS NULL THEN 'missing' WHEN h <> md5(s.id) THEN 'changed' WHEN v < 12 THEN 'stale' END AS reason FROM s LEFT JOIN r USING (id) WHERE reason IS NOT NULL""",
     "orphans": f"{BASE} SELECT parent_session_id AS parent, count(*) AS children FROM s WHERE parent_session_id IS NOT NULL AND parent_session_id NOT IN (SELECT id FROM s) GROUP BY 1",
@@ -103,8 +103,14 @@ SELECT session_id, position, what AS kind, CAST(sum(n) AS BIGINT) AS turns, CASE
 max(gap) AS gap_seconds FROM n GROUP BY 1, 2, 3""",
     "work_codex_usage": f"{BASE} SELECT day, {MODEL} AS model, {USAGE} FROM {LU} WHERE id IN (SELECT session_id FROM kinds WHERE kind = 'orchestrator') AND device_id IN (SELECT id FROM dev WHERE id = 'laptop' OR friendly_name = 'laptop') GROUP BY 1, 2",
 }
-_CT = "c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM conversations WHERE role <> 'system')"
+_CT = "c AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM conversations WHERE role <> 'system')"
 SEARCHES = {
     "search_words": f"WITH {_CT} SELECT 'c' || conv_id AS session_id, count(*) AS turns FROM c WHERE list_contains(t, 'the') AND (list_contains(t, 'er') OR len(list_filter(t, lambda x: starts_with(x, 'wh'))) > 0) AND NOT list_contains(t, 'of') GROUP BY 1",
+    # a word's frequency in each turn, then BM25, then the best turn of each session
+    "search_best": f"""WITH {_CT}, n AS (SELECT *, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'er')) AS b FROM c),
+  st AS (SELECT count(*) AS n, avg(len(t)) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM n),
+  r AS (SELECT n.*, round(ln(1 + (st.n - da + 0.5) / (da + 0.5)) * a * (1.2 + 1) / (a + 1.2 * (1 - 0.75 + 0.75 * len(t) / av)) + ln(1 + (st.n - db + 0.5) / (db + 0.5)) * b * (1.2 + 1) / (b + 1.2 * (1 - 0.75 + 0.75 * len(t) / av)), 9) AS rank FROM n, st WHERE a > 0 OR b > 0),
+  x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank DESC, turn) AS nth, greatest(list_position(list_transform(t, lambda x: x IN ('the', 'er')), true) - 2, 1) AS f FROM r)
+  SELECT 'c' || conv_id AS session_id, rank, role, array_to_string(list_transform(t[f:f + 15], lambda x: CASE WHEN x IN ('the', 'er') THEN '«' || x || '»' ELSE x END), ' ') AS snippet FROM x WHERE nth = 1 ORDER BY rank DESC, session_id LIMIT 50""",
     "search_phrase": f"WITH {_CT} SELECT 'c' || conv_id AS session_id, count(*) AS turns FROM c WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') GROUP BY 1",
 }

@@ -41,7 +41,7 @@ ENTITIES = {
     "grouped_feed": entities.grouped_feed,
     "sibling_pager": entities.sibling_pager,
     "session_detail": entities.session_detail,
-    "manifest": lambda t: entities.manifest(t, after="u2", limit=500),
+    "manifest": entities.manifest,
     "reconcile": _reconcile,
     "orphans": entities.orphans,
     "device_counts": entities.device_counts,
@@ -52,7 +52,7 @@ ENTITIES = {
 SEARCHES = {
     "search_words": lambda t: search.matching_sessions(t, "the (er OR wh*) NOT of"),
     "search_phrase": lambda t: search.matching_sessions(t, '"of the"'),
-    "search_best": lambda t: search.search(t, "the OR er", limit=50),
+    "search_best": lambda t: search.search(t, "the OR er", limit=50).select("session_id", "rank", "role", "snippet"),
 }
 #: Local time in the registered views.
 _OFFSETS = {"hour_chart": -3, "punchcard_grid": 5}

@@ -29,8 +29,14 @@ def heat_level(n: Column, most: Column) -> Column:
     return F.when((n > 0) & (most > 0), F.least(F.floor((n * 4 + most - 1) / most), F.lit(4).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
+def beside(df: DataFrame, **aggregates: Column) -> DataFrame:
+    """df with aggregates of all of its rows beside each: one row, broadcast, so that no task gets all rows."""
+    one = df.agg(F.lit(1).alias("_1"), *[c.alias(n) for n, c in aggregates.items()])
+    return df.withColumn("_1", F.lit(1)).join(F.broadcast(one), "_1", "left").drop("_1")
+
+
 def bars(df: DataFrame, label: str, count: str = "sessions") -> DataFrame:
-    return df.select(F.col(label).alias("label"), F.col(count).alias("count"), bar_percent(F.col(count), F.max(count).over(_all())).alias("percent"))
+    return beside(df, _most=F.max(count)).select(F.col(label).alias("label"), F.col(count).alias("count"), bar_percent(F.col(count), F.col("_most")).alias("percent"))
 
 
 def week(day: Column) -> Column:
@@ -40,10 +46,8 @@ def week(day: Column) -> Column:
 
 def top_and_other(df: DataFrame, name: str, by: str, top: int = TOP) -> DataFrame:
     """df with `name` replaced by 'other' for all but the `top` names of the largest sums, ties by name."""
-    sums = df.groupBy(name).agg(F.sum(by).alias("_sum"))
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("_sum"), name))
-    keep = sums.select(F.col(name).alias("_name"), (rank <= top).alias("_top"))
-    return df.join(F.broadcast(keep.where("_top")), F.col(name) == F.col("_name"), "left").withColumn(name, F.coalesce("_name", F.lit(OTHER))).drop("_name", "_top")
+    keep = df.groupBy(name).agg(F.sum(by).alias("_sum")).orderBy(F.desc("_sum"), name).limit(top).select(F.col(name).alias("_name"))
+    return df.join(F.broadcast(keep), F.col(name) == F.col("_name"), "left").withColumn(name, F.coalesce("_name", F.lit(OTHER))).drop("_name")
 
 
 def percent_change(now: Column, before: Column) -> Column:
@@ -263,7 +267,7 @@ def profile_board(t: Tables, f: SessionFilter) -> DataFrame:
 
 def project_board(t: Tables, f: SessionFilter) -> DataFrame:
     g = r.projects(t, f).groupBy("project").agg(F.sum("sessions").alias("sessions"))
-    return g.withColumn("percent", F.round(F.col("sessions") * 100.0 / F.sum("sessions").over(_all()), 4))
+    return beside(g, _sum=F.sum("sessions")).withColumn("percent", F.round(F.col("sessions") * 100.0 / F.col("_sum"), 4)).drop("_sum")
 
 
 def filter_options(t: Tables) -> DataFrame:
