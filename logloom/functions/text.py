@@ -54,7 +54,8 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def _starts(c: Column) -> Column:
+def starts_as_boilerplate(c: Column) -> Column:
+    """Whether a text starts as an injected message does, to the letter."""
     return c.rlike("^(?:" + "|".join(re.escape(p) for p in BOILERPLATE) + ")")
 
 
@@ -63,13 +64,13 @@ def clean_prompt(c: Column) -> Column:
 
     def stripped(whole):
         rest = F.regexp_replace(_ltrim(whole), f"^(?:<({_TAGS})>[\\s\\S]*?</\\1>{_BLANKS}*)+", "")
-        return let(rest, lambda r: F.when((r == "") | _starts(r), whole).otherwise(r))
+        return let(rest, lambda r: F.when((r == "") | starts_as_boilerplate(r), whole).otherwise(r))
 
     return let(sanitize(c), stripped)
 
 
 def is_boilerplate(c: Column) -> Column:
-    return _starts(_ltrim(clean_prompt(c)))
+    return starts_as_boilerplate(_ltrim(clean_prompt(c)))
 
 
 def is_goal(c: Column) -> Column:
@@ -105,7 +106,7 @@ def first_prompt(c: Column, n: int = 200) -> Column:
 
     def shown(cleaned):
         line = F.trim(F.regexp_replace(cleaned, r"\s+", " "))
-        return let(line, lambda x: F.when(~_starts(_ltrim(clean_prompt(cleaned))) & (x != ""), shortened(x, n)))
+        return let(line, lambda x: F.when(~starts_as_boilerplate(_ltrim(clean_prompt(cleaned))) & (x != ""), shortened(x, n)))
 
     return let(let(c, lambda x: F.coalesce(goal_objective(x), x)), lambda t: let(clean_prompt(t), shown))
 
@@ -260,3 +261,32 @@ def human_duration(s: Column) -> Column:
 def day_header(day: Column, today: Column) -> Column:
     n = F.datediff(today, day)
     return F.when(n == 0, "Today").when(n == 1, "Yesterday").when((n > 1) & (n < 7), F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "yyyy-MM-dd"))
+
+
+#: Names of agents as they are shown, and short ones.
+AGENT_NAMES = {"claude-code": "Claude Code", "codex": "Codex", "cursor": "Cursor", "gemini": "Gemini", "antigravity": "Antigravity", "hermes": "Hermes", "grok-build": "Grok Build"}
+AGENT_SHORT = {"claude-code": "claude", "grok-build": "grok"}
+
+
+def _named(c: Column, names: dict[str, str], other: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c), other)
+
+
+def display_agent(c: Column) -> Column:
+    """A known agent's name; of others the words in capitals."""
+    return _named(c, AGENT_NAMES, F.initcap(F.translate(c, "-_", "  ")))
+
+
+def agent_short(c: Column) -> Column:
+    return _named(c, AGENT_SHORT, c)
+
+
+def is_binary(body: Column, sniff: int = 4096) -> Column:
+    """Whether bytes are no text: a database's first bytes, a zero byte or bad UTF-8 in the first 4096. A character cut off at their end is none's fault."""
+    head = F.substring(body, 1, sniff)
+    whole = lambda n: F.is_valid_utf8(F.substring(head, 1, F.greatest(F.octet_length(head) - n, F.lit(0))).cast("string"))
+    cut = F.lit(False)  # a character's first bytes at the end: one, two or three of them
+    for n, ends in enumerate(("(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F]|F[0-4])$", "(?:E[0-9A-F]|F[0-4])[89AB][0-9A-F]$", "F[0-4](?:[89AB][0-9A-F]){2}$"), 1):
+        cut = cut | (F.hex(head).rlike(ends) & whole(n))
+    ok = whole(0) | cut
+    return F.coalesce((F.octet_length(body) > 0) & (F.startswith(F.hex(head), F.lit(b"SQLite format 3\0".hex().upper())) | F.hex(head).rlike("^(?:..)*00") | ~ok), F.lit(False))

@@ -11,6 +11,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import first_prompt, starts_as_boilerplate
 from ..schema import Tables
 
 
@@ -85,12 +86,63 @@ def between(text: str) -> tuple[datetime, datetime]:
     return start, end + timedelta(days=1) - timedelta(microseconds=1)
 
 
+def since(text: str, now: datetime) -> tuple[datetime, datetime]:
+    """From the start of a day up to now."""
+    return datetime.fromisoformat(text.strip()), now
+
+
+def window(now: datetime, last_: str | None = None, since_: str | None = None, between_: str | None = None) -> tuple[datetime, datetime]:
+    """The window of one of the three; more than one is an error, none is seven days."""
+    if sum(x is not None for x in (last_, since_, between_)) > 1:
+        raise ValueError("a window is given by one of last, since and between")
+    return between(between_) if between_ is not None else since(since_, now) if since_ is not None else last(last_ if last_ is not None else "7d", now)
+
+
+def dashboard_window(now: datetime, text: str = "") -> tuple[datetime, datetime]:
+    """30 days where nothing is said; 'all' is a hundred years of 365 days."""
+    if text == "all":
+        return now - timedelta(days=100 * 365), now
+    return last(text or "30d", now)
+
+
 def heatmap_window(now: datetime) -> tuple[datetime, datetime]:
     """53 weeks that start on a Sunday and hold today."""
     day = now.replace(hour=0, minute=0, second=0, microsecond=0)
     return day - timedelta(days=(day.weekday() + 1) % 7 + 364), now
 
 
+def project_key(lines: DataFrame) -> DataFrame:
+    """(file, project) of the lines (file, line, text) of marker files: what follows the first `project:` that is not empty, without quotes and remarks."""
+    text = F.trim("text")
+    value = F.regexp_replace(F.regexp_extract(text, r"^project:\s*([^#]*)", 1), r"""^["' ]+|["'\s]+$""", "")
+    return lines.select("file", "line", value.alias("project")).where("project <> ''").groupBy("file").agg(F.min_by("project", "line").alias("project"))
+
+
+def sound_raw(sessions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions whose raw file (raw_uri, body) is of the size and hash that they claim, others with a reason)."""
+    body = F.col("body").cast("binary")
+    have = files.select(F.col("raw_uri").alias("_uri"), F.octet_length(body).cast("long").alias("_size"), F.sha2(body, 256).alias("_hash"))
+    j = sessions.join(have, F.col("raw_uri") == F.col("_uri"), "left")
+    reason = F.when(F.col("_uri").isNull(), "no raw file").when(~F.col("_size").eqNullSafe(F.col("raw_size")), "raw size mismatch").when(~F.col("_hash").eqNullSafe(F.col("raw_hash")), "raw hash mismatch")
+    marked = j.withColumn("reason", reason)
+    return marked.where("reason is null").select(*sessions.columns), marked.where("reason is not null").select(*sessions.columns, "reason")
+
+
+def boilerplate(sessions: DataFrame, limit: int = 0) -> DataFrame:
+    """(id, raw_uri) of the sessions whose first prompt starts as an injected message does; a limit takes those of the smallest ids."""
+    found = sessions.where(starts_as_boilerplate(F.col("first_prompt"))).select("id", "raw_uri")
+    return found.orderBy("id").limit(limit) if limit > 0 else found
+
+
+def denoised(t: Tables) -> DataFrame:
+    """sessions with such first prompts replaced by the first message of the user that is none; those without one keep theirs. Run again, it changes nothing."""
+    bad = boilerplate(t.sessions).select(F.col("id").alias("session_id"))
+    said = t.turns.where("role = 'user'").join(bad, "session_id", "left_semi").select("session_id", "ts", "id", first_prompt(F.col("content")).alias("p")).where("p is not null")
+    new = said.groupBy(F.col("session_id").alias("_s")).agg(F.min_by("p", F.struct("ts", "id")).alias("_new"))
+    s = t.sessions.join(new, F.col("id") == F.col("_s"), "left")
+    return s.withColumn("first_prompt", F.coalesce("_new", "first_prompt")).select(*t.sessions.columns)
+
+
 def project_of(sessions: DataFrame, remote: str | None, marker: str | None, path: str | None) -> SessionFilter:
     """Scope by remote, else marker, else the longest known path that is the folder or holds it."""
     if remote and sessions.where(F.col("project_remote") == remote).limit(1).count():

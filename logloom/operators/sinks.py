@@ -32,6 +32,14 @@ def upsert_devices(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(n, "id", "full").select("id", name.alias("friendly_name"))
 
 
+def touch_last_sync(devices: DataFrame, seen: DataFrame, now, least: str = "1 minute") -> DataFrame:
+    """devices with last_sync = now for the ids of `seen`, but for those that were touched less than a minute ago."""
+    ids = seen.select(F.col("id").alias("_id")).distinct()
+    at = F.lit(now).cast(dict(devices.dtypes)["last_sync"])
+    due = F.col("_id").isNotNull() & (F.col("last_sync").isNull() | (F.col("last_sync") < at - F.expr(f"INTERVAL {least}")))
+    return devices.join(ids, F.col("id") == F.col("_id"), "left").withColumn("last_sync", F.when(due, at).otherwise(F.col("last_sync"))).drop("_id")
+
+
 def rebind_local(sessions: DataFrame, device_id: str) -> DataFrame:
     """Sessions of the device 'local' become those of the device that has an id now."""
     return sessions.withColumn("device_id", F.when(F.col("device_id") == "local", F.lit(device_id)).otherwise(F.col("device_id")))
@@ -45,8 +53,9 @@ def fill_identity(sessions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def preserve_raw(files: DataFrame, sessions: DataFrame, path: str) -> None:
-    """files (file, body) of known sessions as Parquet in folders of agent, year and month; a second run replaces the folders that it writes."""
-    s = sessions.select(F.col("raw_uri").alias("file"), "id", "agent", F.year("started_at").alias("year"), F.month("started_at").alias("month"))
+    """files (file, body) of known sessions as Parquet in folders of agent, year and month, each under the key <id><extension>; a second run replaces the folders that it writes."""
+    ext = F.regexp_extract("raw_uri", r"(\.[^./]+)$", 1)
+    s = sessions.select(F.col("raw_uri").alias("file"), "id", F.concat("id", ext).alias("key"), "agent", F.year("started_at").alias("year"), F.month("started_at").alias("month"))
     out = files.join(s, "file")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent", "year", "month").parquet(path)
 

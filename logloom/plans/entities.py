@@ -142,6 +142,24 @@ def orphans(t: Tables) -> DataFrame:
     return kids.join(t.sessions.select(F.col("id").alias("parent")), "parent", "left_anti")
 
 
+def devices(t: DataFrame) -> DataFrame:
+    """Devices by when their fingerprint was taken, the latest first, those without one last."""
+    return t.orderBy(F.col("fingerprinted_at").desc_nulls_last(), "id")
+
+
+def slots(t: Tables, s: DataFrame, scoped: bool = False) -> DataFrame:
+    """(device, project, device_id, project_label): whether a list of sessions needs the columns device and project, and what all rows have where it doesn't.
+
+    scoped: the list is of one project, which is named elsewhere.
+    """
+    label = F.coalesce("project_remote", "project_marker", "project_path", F.lit("(unscoped)"))
+    a = s.agg(F.count_distinct("device_id").alias("d"), F.count_distinct(label).alias("p"), F.min("device_id").alias("device_id"), F.min(label).alias("label"))
+    return a.select(
+        (F.col("d") > 1).alias("device"), ((F.col("p") > 1) & F.lit(not scoped)).alias("project"), F.when(F.col("d") == 1, F.col("device_id")).alias("device_id"),
+        F.when((F.col("p") == 1) & (F.col("label") != "(unscoped)"), F.col("label")).alias("project_label"),
+    )
+
+
 def device_counts(t: Tables) -> DataFrame:
     n = t.sessions.groupBy("device_id").agg(F.count("*").alias("n"))
     return t.devices.join(n, t.devices["id"] == n["device_id"], "left").select("id", "friendly_name", F.coalesce("n", F.lit(0)).alias("sessions"))

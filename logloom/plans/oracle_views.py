@@ -22,6 +22,7 @@ def top_other(sub: str, name: str, by: str) -> str:
 y AS (SELECT x.* REPLACE (CASE WHEN rn <= 7 THEN {name} ELSE 'other' END AS {name}) FROM x JOIN n ON nm = {name})"""
 
 
+_PROFILES = priced(f"day, device_id, agent, profile, {MODEL} AS model") + """, b AS (SELECT device_id, agent, profile, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano FROM q GROUP BY 1, 2, 3)"""
 _DAY_MODEL = priced(f"day, {MODEL} AS model")
 VIEWS = {
     "kpis": priced("day, agent, coalesce(model, '') AS model")
@@ -73,6 +74,14 @@ SELECT CAST(hour AS INT) AS hour, model, CAST(sum(sessions) AS BIGINT) AS sessio
     "profile_board": priced(f"day, device_id, agent, profile, {MODEL} AS model, max(last_activity_at) AS seen")
     + f""" SELECT {DEVICE} AS device, agent, profile, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, strftime(max(seen), '%Y-%m-%d %H:%M') AS last_activity
 FROM q LEFT JOIN dev ON dev.id = device_id GROUP BY 1, 2, 3""",
+    "profile_table": _PROFILES
+    + """ SELECT count(*) AS profiles, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano,
+round(coalesce(sum(sessions) FILTER (profile <> 'default'), 0) * 100.0 / sum(sessions), 4) AS other_percent FROM b""",
+    "profile_bars": _PROFILES
+    + f""", c AS (SELECT agent || '·' || profile AS label, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano FROM b GROUP BY 1)
+SELECT label, tokens, cost_nano, CAST({BAR.format(n="tokens")} AS BIGINT) AS percent FROM c ORDER BY tokens DESC, label LIMIT 8""",
+    "profile_trend": f"""{BASE}, {DAYS}, {top_other("SELECT day, agent || '·' || profile AS agent, count(*) AS sessions FROM s GROUP BY 1, 2", "agent", "sessions")}, z AS (SELECT CAST(day AS DATE) AS b, agent, CAST(sum(sessions) AS BIGINT) AS n FROM y GROUP BY 1, 2)
+SELECT d AS bucket, coalesce(agent, '') AS agent, coalesce(n, 0) AS sessions FROM days LEFT JOIN z ON b = d""",
     "project_board": f"{BASE}, g AS (SELECT {PROJECT} AS project, count(*) AS sessions FROM s GROUP BY 1) SELECT *, round(sessions * 100.0 / sum(sessions) OVER (), 4) AS percent FROM g",
 }
 

@@ -136,8 +136,12 @@ def _bucket(f: SessionFilter, day: Column) -> Column:
 
 def activity_trend(t: Tables, f: SessionFilter, top: int = TOP) -> DataFrame:
     """(bucket, agent, sessions): days, or weeks in long windows; the busiest agents and 'other'; empty buckets have agent ''."""
-    h = r.heatmap(t, f)
-    named = top_and_other(h.where("agent <> ''"), "agent", "sessions", top).select(_bucket(f, F.col("date")).alias("bucket"), "agent", "sessions")
+    return _trend(t, f, r.heatmap(t, f).where("agent <> ''").select("date", "agent", "sessions"), top)
+
+
+def _trend(t: Tables, f: SessionFilter, counts: DataFrame, top: int) -> DataFrame:
+    """counts: (date, agent, sessions)."""
+    named = top_and_other(counts, "agent", "sessions", top).select(_bucket(f, F.col("date")).alias("bucket"), "agent", "sessions")
     per = named.groupBy("bucket", "agent").agg(F.sum("sessions").alias("sessions"))
     spine = r.day_span(t.sessions, f).select(_bucket(f, F.col("date")).alias("bucket")).distinct()
     return spine.join(per, "bucket", "left").select("bucket", F.coalesce("agent", F.lit("")).alias("agent"), F.coalesce("sessions", F.lit(0)).alias("sessions"))
@@ -265,6 +269,27 @@ def profile_board(t: Tables, f: SessionFilter) -> DataFrame:
     return g.groupBy("device", "agent", "profile").agg(F.sum("sessions").alias("sessions"), F.sum("total_tokens").alias("tokens"), F.sum("cost_nano").alias("cost_nano"), F.max("last_activity").alias("last_activity"))
 
 
+def profile_table(t: Tables, f: SessionFilter, default: str = "default") -> DataFrame:
+    """(profiles, sessions, tokens, cost_nano, other_percent): one row above the board; other_percent is the share of sessions that are not of the default profile."""
+    b = profile_board(t, f)
+    other = F.coalesce(F.sum(F.when(F.col("profile") != default, F.col("sessions"))), F.lit(0))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sessions", "tokens")]
+    return b.agg(F.count("*").alias("profiles"), *sums, F.sum("cost_nano").alias("cost_nano"), F.round(other * 100.0 / F.nullif(F.sum("sessions"), F.lit(0)), 4).alias("other_percent"))
+
+
+def profile_bars(t: Tables, f: SessionFilter, top: int = 8) -> DataFrame:
+    """(label, tokens, cost_nano, percent) of agents' profiles, whatever the device, those of most tokens."""
+    label = F.concat("agent", F.lit("·"), "profile")
+    g = profile_board(t, f).groupBy(label.alias("label")).agg(F.sum("tokens").alias("tokens"), F.sum("cost_nano").alias("cost_nano"))
+    g = beside(g, _most=F.max("tokens")).select("label", "tokens", "cost_nano", bar_percent(F.col("tokens"), F.col("_most")).alias("percent"))
+    return g.orderBy(F.desc("tokens"), "label").limit(top)
+
+
+def profile_trend(t: Tables, f: SessionFilter, top: int = TOP) -> DataFrame:
+    """(bucket, agent, sessions) as the activity trend, agents by their profiles ("codex·work")."""
+    return _trend(t, f, r.profiles_by_day(t, f).select(F.col("day").alias("date"), F.concat("agent", F.lit("·"), "profile").alias("agent"), "sessions"), top)
+
+
 def project_board(t: Tables, f: SessionFilter) -> DataFrame:
     g = r.projects(t, f).groupBy("project").agg(F.sum("sessions").alias("sessions"))
     return beside(g, _sum=F.sum("sessions")).withColumn("percent", F.round(F.col("sessions") * 100.0 / F.col("_sum"), 4)).drop("_sum")
@@ -307,7 +332,7 @@ VIEWS = {
     f.__name__: f
     for f in (
         kpis, agent_bars, tool_bars, heatmap_grid, usage_table, project_bars, model_board, hour_chart, issues, activity_trend, spend_trend, model_share, punchcard_grid, schedule_kpis, streaks,
-        durations_card, kind_bars, subagent_totals, delegation_kpis, delegation_trend, fanout_histogram, top_delegators, across_the_day, profile_board, project_board,
+        durations_card, kind_bars, subagent_totals, delegation_kpis, delegation_trend, fanout_histogram, top_delegators, across_the_day, profile_board, profile_table, profile_bars, profile_trend, project_board,
     )
 }
 

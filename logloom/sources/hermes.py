@@ -45,16 +45,17 @@ def _databases(batches):
     import hashlib
     import sqlite3
 
+    from .sqlite import opened
+
     for pdf in batches:
         for path, data in zip(pdf["file"], pdf["content"], strict=True):
             out = []
-            with closing(sqlite3.connect(":memory:")) as con:
-                try:
-                    con.deserialize(bytes(data))
+            try:
+                with closing(opened(bytes(data))) as con:
                     heads = _rows(con, "sessions", ("id", "parent_session_id", "model", "started_at", "message_count"), "started_at, id")
                     said_ = _rows(con, "messages", ("session_id", *_COLUMNS), "timestamp, id")
-                except sqlite3.DatabaseError:  # no database: nothing to read, as with a line that is no JSON
-                    continue
+            except sqlite3.DatabaseError:  # no database: nothing to read, as with a line that is no JSON
+                continue
             by: dict = {}
             for m in said_:
                 by.setdefault(m.get("session_id"), []).append(_message(m))

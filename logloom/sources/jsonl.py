@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,26 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df made once for all that is made of it: in the cluster's checkpoint folder where it has one, else kept by the executors."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def parsed(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(lines (file, line, v): the JSON lines as variants; facts (file, raw_hash, raw_size)). The files are read and parsed once."""
+    rows = files(spark, path, glob).select("file", F.posexplode(F.split("body", "\n")).alias("line", "raw"), F.col("body"))
+    first_line = F.col("line") == 0
+    rows = once(rows.select(
+        "file", "line", F.try_parse_json("raw").alias("v"), F.when(first_line, F.sha2(F.col("body").cast("binary"), 256)).alias("raw_hash"), F.when(first_line, F.octet_length("body").cast("long")).alias("raw_size"),
+    ).where("v is not null or line = 0"))
+    return rows.where("v is not null").select("file", "line", "v"), rows.where("line = 0").select("file", "raw_hash", "raw_size")
+
+
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file, line, v): the JSON lines as variants."""
-    rows = files(spark, path, glob).select("file", F.posexplode(F.split("body", "\n")).alias("line", "raw"))
-    return rows.select("file", "line", F.try_parse_json("raw").alias("v")).where("v is not null")
+    return parsed(spark, path, glob)[0]
 
 
 def get(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -125,7 +142,8 @@ def claude_code(spark: SparkSession, path: str, profile: str = "default") -> Tab
     name = F.regexp_extract("file", "([^/]+)$", 1)
     ok = name.rlike(f"^{UUID}\\.jsonl$") | (F.col("file").contains("/subagents/") & name.rlike(r"^agent-.*\.jsonl$"))
     ok = ok & ~F.col("file").rlike("/(memory|tool-results)/")
-    v = lines(spark, path).where(ok).withColumn("ts", stamp(get("timestamp"))).withColumn("type", get("type"))
+    v, facts = parsed(spark, path)
+    v = v.where(ok).withColumn("ts", stamp(get("timestamp"))).withColumn("type", get("type"))
     sub = F.col("file").contains("/subagents/") & name.rlike("^agent-")
     own_id = F.when(sub, F.regexp_replace(name, r"\.jsonl$", ""))
     parent = F.when(sub, F.nullif(F.regexp_extract("file", f"/({UUID})/subagents/", 1), F.lit("")))
@@ -149,7 +167,7 @@ def claude_code(spark: SparkSession, path: str, profile: str = "default") -> Tab
     total = best.select("file", (F.col("m.i") + F.col("m.r") + F.col("m.c")).alias("i"), "m.o", "m.r", "m.c").groupBy("file").agg(*[F.sum(x).alias(x) for x in "iorc"])
     usage = total.select("file", (F.col("i") + F.col("o")).alias("total_tokens"), F.col("i").alias("input_tokens"), F.col("o").alias("output_tokens"), F.col("r").alias("cached_tokens"), F.col("r").alias("cache_read_tokens"), F.col("c").alias("cache_creation_tokens"), F.lit(True).alias("seen"))
     model = F.when(get("message.model") != "<synthetic>", get("message.model"))
-    heads = joined(span(v, F.col("ts")), first(v, get("sessionId"), "_id"), first(v, get("cwd"), "path"), first(asst, model, "model"), raw_facts(spark, path, "*.jsonl"))
+    heads = joined(span(v, F.col("ts")), first(v, get("sessionId"), "_id"), first(v, get("cwd"), "path"), first(asst, model, "model"), facts)
     heads = heads.withColumn("id", F.coalesce(own_id, "_id")).withColumn("parent", parent)
     return assemble(heads, turns, uses, usage, "claude-code", profile)
 
@@ -166,7 +184,8 @@ def _content_text(path: str, v: str = "v") -> Column:
 
 def codex(spark: SparkSession, path: str, profile: str = "default") -> Tables:
     """rollout-*.jsonl: envelopes of a type and a payload, or older flat records."""
-    v = lines(spark, path, "rollout-*.jsonl").withColumn("ts", stamp(get("timestamp"))).withColumn("type", get("type"))
+    v, facts = parsed(spark, path, "rollout-*.jsonl")
+    v = v.withColumn("ts", stamp(get("timestamp"))).withColumn("type", get("type"))
     flat = F.col("type").isin("message", "function_call", "function_call_output")
     item = v.where((F.col("type") == "response_item") | flat).withColumn("p", F.when(flat, F.col("v")).otherwise(F.try_variant_get("v", "$.payload", "variant")))
     item = item.withColumn("kind_", get("type", v="p"))
@@ -189,7 +208,7 @@ def codex(spark: SparkSession, path: str, profile: str = "default") -> Tables:
     meta, ctx = v.where("type = 'session_meta'"), v.where("type = 'turn_context'")
     heads = joined(
         span(v, F.col("ts")), first(meta, get("payload.id"), "_id"), first(v.where(F.col("type").isin("session_meta", "turn_context")), get("payload.cwd"), "path"), first(ctx, get("payload.model"), "model"),
-        first(meta, get("payload.source.subagent.thread_spawn.parent_thread_id"), "parent"), raw_facts(spark, path, "rollout-*.jsonl"),
+        first(meta, get("payload.source.subagent.thread_spawn.parent_thread_id"), "parent"), facts,
     )
     heads = heads.withColumn("id", F.coalesce("_id", F.nullif(F.regexp_extract("file", f"({UUID})\\.jsonl$", 1), F.lit(""))))
     return assemble(heads, turns, uses, usage, "codex", profile)
@@ -201,6 +220,7 @@ def codex(spark: SparkSession, path: str, profile: str = "default") -> Tables:
 def gemini(spark: SparkSession, path: str, profile: str = "default") -> Tables:
     """session-*.json with messages, or an array of records, of which the session with most is taken, ties by id."""
     docs = files(spark, path, "*.json").withColumn("v", F.try_parse_json("body")).where("v is not null")
+    docs = once(docs.select("file", "v", F.sha2(F.col("body").cast("binary"), 256).alias("raw_hash"), F.octet_length("body").cast("long").alias("raw_size")))
     env = docs.where(get("sessionId").isNotNull()).select("file", get("sessionId").alias("sid"), F.posexplode(get("messages", "array<variant>")).alias("line", "m"))
     live = docs.where(get("sessionId").isNull()).select("file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("line", "m")).withColumn("sid", get("sessionId", v="m"))
     sizes = live.groupBy("file", "sid").agg(F.count("*").alias("n")).groupBy("file").agg(F.max_by("sid", F.struct("n", "sid")).alias("sid"))
@@ -215,7 +235,7 @@ def gemini(spark: SparkSession, path: str, profile: str = "default") -> Tables:
     u = v.where(get("tokens", "variant").isNotNull()).select("file", "line", key.alias("key"), num("input").alias("i"), (num("output") + num("thoughts")).alias("o"), num("cached").alias("r"), num("total").alias("t"))
     one = u.groupBy("file", "key").agg(F.min_by(F.struct("i", "o", "r", "t"), "line").alias("m")).groupBy("file").agg(*[F.sum(f"m.{x}").alias(x) for x in "iort"])
     usage = one.select("file", F.when(F.col("t") > 0, F.col("t")).otherwise(F.col("i") + F.col("o")).alias("total_tokens"), F.col("i").alias("input_tokens"), F.col("o").alias("output_tokens"), F.col("r").alias("cached_tokens"), F.col("r").alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), F.lit(True).alias("seen"))
-    heads = joined(span(v, F.col("ts")), first(v, F.col("sid"), "id"), first(v, get("model"), "model"), raw_facts(spark, path, "*.json"))
+    heads = joined(span(v, F.col("ts")), first(v, F.col("sid"), "id"), first(v, get("model"), "model"), docs.select("file", "raw_hash", "raw_size"))
     null = F.lit(None).cast("string")
     return assemble(heads.withColumn("path", null).withColumn("parent", null), turns, uses, usage, "gemini", profile)
 

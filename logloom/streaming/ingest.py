@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DEVICES, KINDS, LEDGER, SESSIONS, TOOLS, TURNS, USAGE, Tables
+from ..sources.jsonl import once
 
 #: The version of what importers make of a file; a higher one has every file read again.
 PROJECTION_VERSION = 1
@@ -108,9 +109,21 @@ def sweep(spark: SparkSession, files: DataFrame, store: str, importer: Callable[
     """Takes in all of files (file, raw_hash) that the store hasn't seen, those that grew since included, so many at a time; their number."""
     ledger = _read(spark, store, "ledger")
     number = max((ledger.agg(F.max("batch")).first()[0] or 0) + 1, SWEEPS)
-    todo = unseen(files, store).distinct().orderBy("file")
+    # files are hashed and held against the ledger once; each batch then takes its part of what is left
+    todo = once(unseen(files, store).distinct())
+    parts = max(1, -(-todo.count() // files_at_once))
+    part = F.pmod(F.xxhash64("file"), F.lit(parts))
     done = 0
-    while n := take_in(todo.limit(files_at_once), number, store, importer):
-        done, number = done + n, number + 1
-        todo = unseen(files, store).distinct().orderBy("file")
+    for k in range(parts):
+        n = take_in(todo.where(part == k).select("file", "raw_hash"), number, store, importer)
+        done, number = done + n, number + bool(n)
     return done
+
+
+def tallies(files: DataFrame, store: str, read: Tables | None = None) -> DataFrame:
+    """(outcome, files) of files (file, raw_hash): 'unchanged' are in the ledger, and of the others 'imported' gave a session of `read` and 'skipped' none."""
+    new = unseen(files, store).select("file", F.lit(True).alias("_new"))
+    rows = files.select("file").join(new, "file", "left")
+    got = (read.sessions.select(F.col("raw_uri").alias("file"), F.lit(True).alias("_got")) if read is not None else rows.limit(0).select("file", F.lit(True).alias("_got"))).distinct()
+    outcome = F.when(F.col("_new").isNull(), "unchanged").when(F.col("_got").isNotNull(), "imported").otherwise("skipped")
+    return rows.join(got, "file", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("files"))
