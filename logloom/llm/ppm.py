@@ -9,6 +9,7 @@ to the joins and gets their values back; nothing of the model is ever held whole
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,6 +30,7 @@ _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 255
 _END_WORD = b"\n"
 _WORD_FLAG = 1 << 62
+_UNIT = 1e9  # code lengths go from task to task as whole thousand-millionths of a digit
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +65,8 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
     k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
@@ -75,9 +79,23 @@ def _word_keys(words) -> np.ndarray:
     return ((h >> np.uint64(2)) | np.uint64(_WORD_FLAG)).astype(np.int64)
 
 
+def _packed(text: str) -> F.Column:
+    """UTF-8 bytes, packed, as texts go from task to task twice."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(t, 1) for t in utf8(texts)], dtype=object)
+
+    return run(F.col(text))
+
+
+def _unpacked(pdf: pd.DataFrame) -> list[bytes]:
+    return [zlib.decompress(z) for z in pdf["packed"]]
+
+
 def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     """(block, key, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
-    texts, times = utf8(pdf["text"]), np.where(pdf["train"].to_numpy(bool), pdf["times"].to_numpy(np.int64), 0)
+    texts, times = _unpacked(pdf), np.where(pdf["train"].to_numpy(bool), pdf["times"].to_numpy(np.int64), 0)
     words = Counter({_END_WORD: int(times.sum())})
     others = set()
     for t, k in zip(texts, times.tolist(), strict=True):
@@ -93,6 +111,8 @@ def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
         for k in np.unique(own):
             g, n = _distinct(_grams([t for t, x in zip(chunk, own == k, strict=True) if x], ORDER)[0])
             parts.append((g, n * k))
+            while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):  # like sizes first, so that few copies are held at a time
+                parts[-2:] = [_merge(parts[-2:])]
     grams, n = _merge(parts)
     return pd.DataFrame({
         "block": np.int32(pdf["block"].iloc[0]),
@@ -106,7 +126,7 @@ def _low(col: str, n: int) -> F.Column:
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, val): log10 probability of each gram's last byte after the bytes before it.
+    """(gram, val): code length of each gram's last byte after the bytes before it, -log10 of its probability in units of 1 / _UNIT.
 
     counts: (gram, n), grams of order + 1 bytes with their numbers in training texts, 0 where only scored.
     Escapes by method D (half a count for each kind of byte seen) with full exclusion; a context that was never seen costs nothing; under order 0 all
@@ -147,15 +167,15 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
             F.coalesce("out", F.lit(0)).alias("gone"), F.coalesce("kinds", F.lit(0)).alias("gone_kinds"),
         )
     s = s.select("gram", F.when(F.col("found"), F.col("val")).otherwise(F.col("val") - F.log10(F.lit(_SYMBOLS) - F.col("gone_kinds"))).alias("val"))
-    return known.union(s)
+    return known.union(s).select("gram", F.round(F.col("val") * -_UNIT).cast("long").alias("val"))
 
 
 class _Lookup:
     """Values by integer key: an open-addressed table, probed for many keys at a time. Every key asked for is there."""
 
     def __init__(self, keys: np.ndarray, vals: np.ndarray):
-        self.bits = max(8, int(len(keys) * 4).bit_length())
-        self.keys, self.vals = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits)
+        self.bits = max(8, int(len(keys) * 2).bit_length())
+        self.keys, self.vals = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits, vals.dtype)
         slot = self._slot(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -180,17 +200,18 @@ class _Lookup:
             slot[bad] = (slot[bad] + 1) & ((1 << self.bits) - 1)
 
 
-def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, new: float) -> pd.DataFrame:
-    """Scores of a block's texts; new: what each word costs that training texts lack."""
+def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, total: int) -> pd.DataFrame:
+    """Scores of a block's texts. keys: (key, val), a word's number in training texts or a gram's code length; total: what word counts are shares of."""
     if not len(docs):
         return pd.DataFrame({"id": [], "train": [], "times": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-    texts = utf8(docs["text"])
-    key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy()
+    texts = _unpacked(docs)
+    key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy(np.int64)
     word = key >= _WORD_FLAG
     look = _Lookup(key[~word].astype(np.uint64), val[~word])
     words = [*{w for t in texts for w in t.lower().split()}, _END_WORD]
-    vals = _Lookup(key[word].astype(np.uint64), val[word])(_word_keys(words).astype(np.uint64))
-    base = dict(zip(words, vals.tolist(), strict=True))
+    counts = _Lookup(key[word].astype(np.uint64), val[word])(_word_keys(words).astype(np.uint64))
+    base = dict(zip(words, np.log10((counts + 1) / total).tolist(), strict=True))
+    new = np.log10(1 / total)
     n_tokens, n_known, base_score, score = (np.zeros(len(texts), t) for t in (np.int64, np.int64, float, float))
     for i, t in enumerate(texts):
         w = t.lower().split()
@@ -199,7 +220,7 @@ def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, new: float) -> pd.DataF
         n_tokens[i], n_known[i], base_score[i] = len(w), (v > new).sum(), v.sum()
     for at, chunk in _chunks(texts):
         g, starts = _grams(chunk, ORDER)
-        score[at : at + len(chunk)] = np.add.reduceat(look(g), starts)
+        score[at : at + len(chunk)] = np.add.reduceat(look(g), starts) / -_UNIT
     return pd.DataFrame({"id": docs["id"], "train": docs["train"], "times": docs["times"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
 
 
@@ -219,18 +240,16 @@ def score_documents(docs: DataFrame, train_col: str, id_col: str = "doc_id", tex
     rows = once.select("id", "train", "text", F.lit(1).cast("long").alias("times")).union(some)
     size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(size // block_bytes, count // block_rows) + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(int(blocks))).cast("int"))
+    rows = rows.select("id", "train", "times", F.pmod(F.xxhash64("id", "text"), F.lit(int(blocks))).cast("int").alias("block"), _packed("text").alias("packed"))
     keys = stored(rows.groupBy("block").applyInPandas(_block_keys, "block int, key long, n long"), integers=True)
     counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), integers=True)
     words = counts.where(F.col("key") >= _WORD_FLAG)
     tokens, vocab = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    cost = lambda n: F.log10((n + 1) / F.lit(tokens + vocab + 1))
-    new = words.sparkSession.range(1).select(cost(F.lit(0))).first()[0]  # as the JVM computes it
     grams = code_lengths(counts.where(F.col("key") < _WORD_FLAG).select(F.col("key").alias("gram"), "n"))
-    vals = words.select("key", cost(F.col("n")).alias("val")).union(grams.select("gram", "val"))
+    vals = words.select("key", F.col("n").alias("val")).union(grams)
     back = keys.select("block", "key").join(vals, "key").select("block", "key", "val")
     out = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        lambda d, k: _score_block(d, k, new), f"id {dict(rows.dtypes)['id']}, train boolean, times long, n_tokens long, n_known long, base_score double, score double")
+        lambda d, k: _score_block(d, k, tokens + vocab + 1), f"id {dict(rows.dtypes)['id']}, train boolean, times long, n_tokens long, n_known long, base_score double, score double")
     out = out.withColumn("nth", F.explode(F.expr("sequence(1L, times)")))
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
