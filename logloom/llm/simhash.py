@@ -264,11 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Of rows that repeat an id, one stays; rows without an id stay."""
+    """docs with one row of each component: that of the smallest id. Of rows that repeat an id, the one of the smallest hashes of its text and of the whole row stays; rows without an id stay."""
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius, similarity)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("_doc"), quoted(id_col).alias("_of"))  # packed, so that no column's name can clash
-    kept = rows.join(keep, F.col("_of") == F.col("_keep")).withColumn("_nth", F.row_number().over(Window.partitionBy("_keep").orderBy("_keep")))
+    kept = rows.join(keep, F.col("_of") == F.col("_keep")).withColumn("_nth", F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64(F.col("_doc")[text_col]), F.xxhash64("_doc"))))
     return kept.where("_nth = 1").select("_doc.*").union(docs.where(quoted(id_col).isNull()))
 
 
@@ -277,5 +277,6 @@ def hex16(fp: Column) -> Column:
 
 
 def op2(spark, sf_dir):
+    """(doc_id, fingerprint, component_id), a row for each row of documents, repeated rows and null ids included; null and empty texts have the fingerprint of zeros. Whole texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
