@@ -37,19 +37,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and documents without a doc_id stay."""
     _bound_batches(spark)
     return decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts put in general terms; n_chars follows the text."""
+    """All documents, personal data in their texts put in general terms; n_chars follows the text. Null texts stay null."""
     _bound_batches(spark)
     return pii.sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token ids that decode to their texts."""
+    """All documents as token ids that decode to their texts; null and empty texts have none."""
     _bound_batches(spark)
     rows = pieces.encode(docs.select(*COLUMNS), pieces.vocabulary(spark), keep=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("decontamination", drop_benchmark), ("pii", sanitise), ("encode", encode)]
 
-#: The stages' models and fingerprints are beyond SQL; the tests hold each against a brute-force version.
+#: The stages' models and fingerprints are beyond SQL; tests/llm/test_pipeline_plain.py holds them all against plain versions.
 ORACLE_SQL = None
 
 
