@@ -60,6 +60,11 @@ def preserve_raw(files: DataFrame, sessions: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent", "year", "month").parquet(path)
 
 
+def raw_orphans(raw: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows of what preserve_raw wrote whose session was not taken in after all: what a push that failed has left, to be deleted."""
+    return raw.join(sessions.select("id"), "id", "left_anti")
+
+
 def byte_range(body: Column, offset: int = 0, size: int = 64 << 10) -> Column:
     """(bytes, eof): a window of a binary column; sizes out of range mean 64 KiB, more than 1 MiB means 1 MiB."""
     size = min(size, 1 << 20) if size > 0 else 64 << 10

@@ -44,6 +44,11 @@ class Tables:
                 df.write.mode("overwrite").parquet(f"{path}/{f.name}")
         self.sessions.withColumn("day", F.to_date("started_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/sessions")
 
+    def union(self, other: Tables) -> Tables:
+        """The rows of both; a device once."""
+        both = {f.name: getattr(self, f.name).unionByName(getattr(other, f.name), allowMissingColumns=True) for f in fields(self) if getattr(self, f.name) is not None and getattr(other, f.name) is not None}
+        return Tables(**both | {"devices": both["devices"].distinct()})
+
     @classmethod
     def read(cls, spark, path: str) -> Tables:
         return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls) if f.name != "ledger"})

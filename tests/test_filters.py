@@ -125,6 +125,8 @@ def test_raw_files_are_kept_by_key(spark, tables, tmp_path):
     sinks.preserve_raw(spark.createDataFrame([("/raw/a.jsonl", "body"), ("/raw/none", "x")], "file string, body string"), tables.sessions, str(tmp_path / "raw"))
     (r,) = spark.read.parquet(str(tmp_path / "raw")).collect()
     assert (r["key"], r["agent"], r["year"], r["month"], r["body"]) == ("a.jsonl", "codex", 2026, 5, "body")
+    kept = spark.read.parquet(str(tmp_path / "raw"))
+    assert sinks.raw_orphans(kept, tables.sessions).count() == 0 and sinks.raw_orphans(kept, tables.sessions.where("id <> 'a'")).count() == 1
 
 
 def test_tables_are_written_and_read(spark, tables, tmp_path):
@@ -178,3 +180,21 @@ def test_tallies(spark, tables, tmp_path):
     ingest.append_ledger(files.limit(1), str(tmp_path / "s"), 0)
     got = {r["outcome"]: r["files"] for r in ingest.tallies(files, str(tmp_path / "s"), tables).collect()}
     assert got == {"unchanged": 1, "imported": 1, "skipped": 1}
+
+
+def test_profiles(spark, tmp_path):
+    import json
+
+    from logloom.sources import jsonl, profiles
+
+    folders = profiles.roots(str(tmp_path / "own"), {"work": str(tmp_path / "w"), "lab": str(tmp_path / "l")})
+    assert [n for n, _ in folders] == ["default", "lab", "work"]
+    for i, (_, p) in enumerate(folders):
+        f = tmp_path / p / f"1111111{i}-1111-1111-1111-111111111111.jsonl"
+        f.parent.mkdir()
+        f.write_text(json.dumps({"type": "user", "sessionId": f.stem, "timestamp": "2026-05-01T10:00:00Z", "message": {"content": "hello"}}) + "\n")
+    t = profiles.read_all(spark, jsonl.claude_code, folders)
+    assert {r["profile"] for r in t.sessions.collect()} == {"default", "lab", "work"} and t.turns.count() == 3
+    assert profiles.roots("x", {"default": "y"}) == [("default", "y")]
+    with pytest.raises(ValueError):
+        profiles.roots("x", {" ": "y"})
