@@ -148,6 +148,18 @@ def build_bloom(keys: DataFrame, col: str) -> Bloom:
     return Bloom(out.view(np.uint64), BLOOM_BITS)
 
 
+def release_memory() -> None:
+    """Gives back to the system what earlier tasks of this Python worker have freed: workers live on from stage to stage, and C's and Arrow's allocators keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other C libraries have their own ways
+    if trim:
+        trim(0)
+
+
 def utf8(texts: pd.Series) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]

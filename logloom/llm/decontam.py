@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import build_bloom, drop_keys, ensure_checkpoint_dir, split_by_bloom, table, utf8
+from .common import build_bloom, drop_keys, ensure_checkpoint_dir, release_memory, split_by_bloom, table, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -78,6 +78,7 @@ def _text_runs(bloom, lengths: list[int], whole: bool):
     """A pass over (row, doc_id, text): each text's distinct runs of words whose hash the filter may have; as words where `whole`, with the text's number of runs."""
 
     def search(batches):
+        release_memory()
         for pdf in batches:
             own, runs, hashes, sizes, held = [], [], [], [], []
             for k, t in enumerate(utf8(pdf["text"])):

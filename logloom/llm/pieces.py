@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import quoted, table
+from .common import quoted, release_memory, table
 
 MARK = "▁"
 #: The vocabulary file of op6 and the pipeline; a parameter of everything below.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = 1 << 20  # characters whose distinct words are sorted at a time
 _ROWS = 512  # rows encoded and passed on at a time
-_WORDS, _PAIRS = 100_000, 1 << 18  # words that a task, and pairs of pieces and steps of the automaton that a Python worker remembers at most
+_WORDS, _PAIRS, _STEPS = 60_000, 1 << 18, 1 << 16  # words that a task, and pairs of pieces and steps of the automaton that a Python worker remembers at most
 UNIGRAM, BPE = 1, 2  # model types
 _UNKNOWN_COST = 10.0  # what an unknown character scores less than the worst piece
 
@@ -171,7 +171,7 @@ class Encoder:
     def words(self, words: list[str]) -> None:
         """Encode sorted distinct words, depth first."""
         v, step, ends, none, known, unigram = self.v, self.v.step, self.v.ends, self.none, self.known, self.v.type == UNIGRAM
-        room, as_bytes, follows = v.trie + _PAIRS, v.as_bytes, self.follows.get
+        room, as_bytes, follows = v.trie + _STEPS, v.as_bytes, self.follows.get
         # of each prefix: the automaton's state, its best path's last piece, score and ids
         states, last, score, paths = [0], [none], [0.0], [b""]
         before = ""
@@ -266,6 +266,7 @@ def encode(docs: DataFrame, vocab, text_col: str = "text", ids_col: str = "ids",
     def run(batches):
         import pyarrow as pa
 
+        release_memory()
         v = vocab.value
         e = Encoder(v)  # keeps what is learnt about words from batch to batch
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, build_bloom, ensure_checkpoint_dir, quoted, split_by_bloom, table
+from .common import Bloom, build_bloom, ensure_checkpoint_dir, quoted, release_memory, split_by_bloom, table
 
 WINDOW = 6  # words on either side of an entity
 SMOOTHING = 2.0  # texts that stand for what is known without the term
@@ -188,6 +188,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float =
     bloom = rows.sparkSession.sparkContext.broadcast(build_bloom(pairs.where("term <> ''").select(_term_hash().alias("h")), "h"))
 
     def count(batches):
+        release_memory()
         for pdf in batches:
             terms, got, seen = _Terms(bloom.value), {}, 0
             for t in pdf["text"]:
@@ -224,6 +225,7 @@ def _found_in(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def find(batches):
+        release_memory()
         for pdf in batches:
             possible, base, term = _Terms(bloom.value), [], []
             for t in pdf["text"]:

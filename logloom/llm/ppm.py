@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, quoted, split_by_bloom, stored, table, utf8
+from .common import crc_mod, quoted, release_memory, split_by_bloom, stored, table, utf8
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20  # of texts, about, and
@@ -95,6 +95,7 @@ def _unpacked(pdf: pd.DataFrame) -> list[bytes]:
 
 def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     """(block, key, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
+    release_memory()
     texts, times = _unpacked(pdf), np.where(pdf["train"].to_numpy(bool), pdf["times"].to_numpy(np.int64), 0)
     words = Counter({_END_WORD: int(times.sum())})
     others = set()
@@ -204,6 +205,7 @@ def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, total: int) -> pd.DataF
     """Scores of a block's texts. keys: (key, val), a word's number in training texts or a gram's code length; total: what word counts are shares of."""
     if not len(docs):
         return pd.DataFrame({"id": [], "train": [], "times": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+    release_memory()
     texts = _unpacked(docs)
     key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy(np.int64)
     word = key >= _WORD_FLAG

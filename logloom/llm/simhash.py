@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, ensure_checkpoint_dir, quoted, spanning_links, split_by_bloom, stored, table, utf8
+from .common import connected_components, ensure_checkpoint_dir, quoted, release_memory, spanning_links, split_by_bloom, stored, table, utf8
 
 SEED = 42
 TILE = 2048  # fingerprints in a tile, about
@@ -231,6 +231,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, radius: i
     rows = docs.select(quoted(id_col).alias("id"), key.alias("key"), quoted(text_col).alias("text"))
 
     def marks(batches):
+        release_memory()
         for pdf in batches:
             h = [_shingle_hashes(t, words) for t in utf8(pdf["text"])]
             fp = np.array([_majority(x) for x in h], np.uint64).view(np.int64)

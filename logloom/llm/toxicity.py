@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, quoted, stored, table
+from .common import crc_mod, quoted, release_memory, stored, table
 
 #: Labelled rows that the voters, the label model and the classifier are fitted on: at most so many, those of the smallest hashes.
 SAMPLE = 20_000
@@ -235,6 +235,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        release_memory()
         return pd.Series(shared.value.score(texts))
 
     return docs.withColumn(score_col, run(quoted(text_col)))
