@@ -26,12 +26,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def stored(df: DataFrame, integers: bool = False) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again: cuts its lineage, and what uses it twice computes it once.
 
+    All that an application stores stands in one folder, logloom-<application id>, to be removed when it has ended: results are read from it until then.
     integers: the columns are integers, which are written as differences; best where they are sorted.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/logloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if integers:
         writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
