@@ -111,3 +111,37 @@ def test_hermes(spark, tmp_path):
     assert [tuple(r) for r in t.usage.select("session_id", "total_tokens").collect()] == [("h1", 7)]
     assert {(r["session_id"], r["content"]) for r in t.turns.collect()} == {("h1", "hello"), ("h1", "hi"), ("h2", "again"), ("h3", "from the database"), ("h3", "twice")}
     assert [tuple(r) for r in t.tools.collect()] == [("h1", "grep", 1)]
+
+
+def _counted(spark, df, column):
+    """df, and a count of the times that its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    return df.withColumn(column, mark(column)), made
+
+
+def test_files_are_parsed_once(spark, tmp_path, monkeypatch):
+    """All tables that are made of a folder cost one reading of it; before, each branch of each table read it anew."""
+    for u, text in ((U1, "first"), (U2, "second")):
+        put(tmp_path / f"{u}.jsonl", line(u, text, 0), {"type": "assistant", "sessionId": u, "timestamp": "2026-05-01T10:05:00Z", "message": {"content": [{"type": "tool_use", "name": "Read", "id": "1"}]}})
+    read, counts = jsonl.files, []
+
+    def files(*how):
+        df, made = _counted(spark, read(*how), "body")
+        counts.append(made)
+        return df
+
+    monkeypatch.setattr(jsonl, "files", files)
+    t = jsonl.claude_code(spark, str(tmp_path))
+    assert [t.sessions.count(), t.turns.count(), t.tools.count(), t.kinds.count()] == [2, 2, 2, 0]
+    assert sum(c.value for c in counts) == 2
+
+
+def test_sweep_hashes_each_file_once(spark, tmp_path):
+    """A sweep in many batches reads the folder once for their sake; before, once a batch."""
+    for i in range(7):
+        put(tmp_path / "raw" / f"1111111{i}-1111-1111-1111-111111111111.jsonl", line(f"1111111{i}-1111-1111-1111-111111111111", f"text {i}", 0))
+    files, made = _counted(spark, hashed(spark, tmp_path / "raw"), "raw_hash")
+    assert ingest.sweep(spark, files, str(tmp_path / "store"), jsonl.claude_code, files_at_once=2) == 7
+    assert made.value == 7 and ingest.read(spark, str(tmp_path / "store")).sessions.count() == 7
+    assert ingest.sweep(spark, hashed(spark, tmp_path / "raw"), str(tmp_path / "store"), jsonl.claude_code, files_at_once=2) == 0
