@@ -4,7 +4,8 @@ The distinct marked words of a batch, sorted, are a trie walked depth first: a w
 with the word before. At each character an automaton of all pieces gives those that end there, longest first.
 
 A vocabulary of scored pieces (unigram): the forward score of a prefix is the greatest of any piece's score and the
-forward score of what precedes it, a character without a piece counting as an unknown one; the best path is read backwards.
+forward score of what precedes it, a character without a piece counting as an unknown one; each prefix keeps its best path. Of paths of
+equal scores the one whose last piece is the longest is taken (the library's own choice among them depends on how its 32-bit sums are rounded).
 
 A merge vocabulary (BPE): the encoding of a prefix ends in one piece, the piece p for which the encoding of what precedes p ends in
 a piece that p may follow, where q may be followed by p if merging alone turns the text q + p into q, p. All other paths score
