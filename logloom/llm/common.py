@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -166,10 +167,11 @@ def utf8(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
 
 
-def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_bloom(df: DataFrame, key: str, keys: DataFrame, beside: tuple[str, Callable[[pd.Series], pd.Series], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not among `keys`, the other rows); keys has the one column `key`.
 
     So that few rows, not all, are shuffled to an exact join. The filter is of 16 MB at most (see Bloom).
+    beside: (column, function, type) of what the first rows also get as `_beside`, made in the same pass, so that a task needs one Python worker and not two.
     """
     bloom = df.sparkSession.sparkContext.broadcast(build_bloom(keys.select(F.xxhash64(key).alias("h")), "h"))
 
@@ -178,7 +180,17 @@ def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
         return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
 
     m = maybe(F.xxhash64(key))
-    return df.where(~m), df.where(m)
+    if beside is None:
+        return df.where(~m), df.where(m)
+    column, make, kind = beside
+
+    @F.pandas_udf(f"maybe boolean, made {kind}")
+    def both(h: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"maybe": bloom.value.has(h.to_numpy(np.int64)), "made": make(c)})
+
+    # not to be evaluated once for the condition and once for the column
+    rest = df.withColumn("_b", both.asNondeterministic()(F.xxhash64(key), quoted(column))).where("not _b.maybe")
+    return rest.select(*map(quoted, df.columns), F.col("_b.made").alias("_beside")), df.where(m)
 
 
 def drop_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import build_bloom, drop_keys, ensure_checkpoint_dir, release_memory, split_by_bloom, table, utf8
+from .common import build_bloom, drop_keys, ensure_checkpoint_dir, release_memory, table, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -74,12 +74,14 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return rows.mapInPandas(run, f"item long, item_id {kind}, n int, run binary, h long, sketched boolean, total int")
 
 
-def _text_runs(bloom, lengths: list[int], whole: bool):
-    """A pass over (row, doc_id, text): each text's distinct runs of words whose hash the filter may have; as words where `whole`, with the text's number of runs."""
+def _text_runs(bloom, lengths: list[int], whole: bool, of=None):
+    """A pass over (row, doc_id, text): each text's distinct runs of words whose hash the filter may have; as words where `whole`, with the text's number of runs. of: a filter of the rows that are looked at."""
 
     def search(batches):
         release_memory()
         for pdf in batches:
+            if of is not None:
+                pdf = pdf[of.value.has(pdf["row"].to_numpy(np.int64))].reset_index(drop=True)
             own, runs, hashes, sizes, held = [], [], [], [], []
             for k, t in enumerate(utf8(pdf["text"])):
                 w = t.lower().split()
@@ -126,7 +128,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     asked = shingles.join(pairs.select("item", "item_id").distinct().select(F.col("item").alias("_i"), F.col("item_id").alias("_id")), (F.col("item") == F.col("_i")) & F.col("item_id").eqNullSafe(F.col("_id")), "left_semi").select("item", "item_id", "n", "run", "h", "total").checkpoint()
     lengths = sorted(r[0] for r in asked.select("n").distinct().collect())
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(asked, "h"))
-    texts = split_by_bloom(rows, "row", pairs.select("row"))[1].mapInPandas(_text_runs(bloom, lengths, True), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, run binary").distinct()
+    asking = docs.sparkSession.sparkContext.broadcast(build_bloom(pairs, "row"))
+    texts = rows.mapInPandas(_text_runs(bloom, lengths, True, asking), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n int, run binary").distinct()
     held = texts.join(asked.drop("h"), ["n", "run"])
     which = pairs.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d"), F.col("item").alias("_i"), F.col("item_id").alias("_id"))
     same = (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_id"))

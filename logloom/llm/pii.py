@@ -187,11 +187,14 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float =
     pairs = pairs.where((F.col("term") == "") | F.col("spelled") | (F.col("n") >= (2 if alone else 1))).checkpoint()
     bloom = rows.sparkSession.sparkContext.broadcast(build_bloom(pairs.where("term <> ''").select(_term_hash().alias("h")), "h"))
 
-    def count(batches):
+    keyed = rows.select(F.xxhash64("text").alias("key"), "text")
+    repeated = rows.sparkSession.sparkContext.broadcast(build_bloom(keyed.groupBy("key").count().where("count > 1"), "key"))
+
+    def count(batches, once: bool):
         release_memory()
         for pdf in batches:
             terms, got, seen = _Terms(bloom.value), {}, 0
-            for t in pdf["text"]:
+            for t in pdf["text"][~repeated.value.has(pdf["key"].to_numpy(np.int64))] if once else pdf["text"]:
                 if t:
                     seen += 1
                     for w in {w.lower() for w in terms.of(t)}:
@@ -199,10 +202,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", smoothing: float =
             yield pd.DataFrame({"term": ["", *got], "n": [seen, *got.values()]})
 
     # copies of a text count once, as they do in near; only texts that may have copies are shuffled
-    keyed = rows.select(F.xxhash64("text").alias("key"), "text")
-    once, maybe = split_by_bloom(keyed, "key", keyed.groupBy("key").count().where("count > 1").select("key"))
-    different = once.union(maybe.dropDuplicates(["key"])).select("text")
-    counts = different.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).checkpoint()
+    maybe = F.pandas_udf(lambda k: pd.Series(repeated.value.has(k.to_numpy(np.int64))), "boolean", F.PandasUDFType.SCALAR)
+    parts = keyed.mapInPandas(lambda b: count(b, True), "term string, n long").union(keyed.where(maybe("key")).dropDuplicates(["key"]).mapInPandas(lambda b: count(b, False), "term string, n long"))
+    counts = parts.groupBy("term").agg(F.sum("n").alias("n")).checkpoint()
     total = counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entities = pairs.where("term = ''").select("entity", F.col("n").alias("of_entity"))
     found = pairs.where("term <> ''").join(counts.where("term <> ''").withColumnRenamed("n", "of_term"), "term").join(entities, "entity")
@@ -278,15 +280,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def general(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else _replace(t, base_spans(t) if s is None else [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
 
-    @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else _replace(t, base_spans(t)) for t in texts])
+        return pd.Series([t if t is None else _replace(t, base_spans(t)) for t in texts], dtype=object)
 
     doc = F.struct(*[quoted(c) for c in docs.columns])
     keyed = docs.select(doc.alias("_doc"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("_key"), quoted(id_col).alias("_of"), quoted(text_col).alias("_text"))
-    rest, maybe = split_by_bloom(keyed, "_key", spotted.select(F.col("_row").alias("_key")))
+    rest, maybe = split_by_bloom(keyed, "_key", spotted.select(F.col("_row").alias("_key")), beside=("_text", plain, "string"))
     maybe = maybe.join(spotted, (F.col("_key") == F.col("_row")) & F.col("_of").eqNullSafe(F.col("_id")), "left")
-    out = rest.select("_doc", plain("_text").alias("_text")).union(maybe.select("_doc", general("_text", "spans").alias("_text")))
+    out = rest.select("_doc", F.col("_beside").alias("_text")).union(maybe.select("_doc", general("_text", "spans").alias("_text")))
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 

@@ -79,14 +79,9 @@ def _word_keys(words) -> np.ndarray:
     return ((h >> np.uint64(2)) | np.uint64(_WORD_FLAG)).astype(np.int64)
 
 
-def _packed(text: str) -> F.Column:
+def _packed(texts: pd.Series) -> pd.Series:
     """UTF-8 bytes, packed, as texts go from task to task twice."""
-
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(t, 1) for t in utf8(texts)], dtype=object)
-
-    return run(F.col(text))
+    return pd.Series([zlib.compress(t, 1) for t in utf8(texts)], dtype=object)
 
 
 def _unpacked(pdf: pd.DataFrame) -> list[bytes]:
@@ -237,12 +232,14 @@ def score_documents(docs: DataFrame, train_col: str, id_col: str = "doc_id", tex
     key = F.xxhash64("id", "train", "text")
     sizes = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"))  # many rows of one key are one block's otherwise
     hot = sizes.where(F.col("n") > COPIES).select("key").checkpoint()
-    once, maybe = split_by_bloom(rows.withColumn("key", key), "key", hot)
+    once, maybe = split_by_bloom(rows.withColumn("key", key), "key", hot, beside=("text", _packed, "binary"))
     some = maybe.groupBy("id", "train", "text").agg(F.count("*").alias("times"))
-    rows = once.select("id", "train", "text", F.lit(1).cast("long").alias("times")).union(some)
-    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()  # with the copies: blocks are rather too small than too large
     blocks = max(size // block_bytes, count // block_rows) + 1
-    rows = rows.select("id", "train", "times", F.pmod(F.xxhash64("id", "text"), F.lit(int(blocks))).cast("int").alias("block"), _packed("text").alias("packed"))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(int(blocks))).cast("int").alias("block")
+    pack = F.pandas_udf(lambda texts: _packed(texts), "binary", F.PandasUDFType.SCALAR)
+    rows = once.select("id", "train", F.lit(1).cast("long").alias("times"), block, F.col("_beside").alias("packed"))
+    rows = rows.union(some.select("id", "train", "times", block, pack("text").alias("packed")))
     keys = stored(rows.groupBy("block").applyInPandas(_block_keys, "block int, key long, n long"), integers=True)
     counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), integers=True)
     words = counts.where(F.col("key") >= _WORD_FLAG)
