@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import decontam, html_extract, langid, media, pieces, pii, ppm, simhash, toxicity, url_filter
+from . import centroids, decontam, html_extract, langid, media, pieces, pii, ppm, simhash, toxicity, url_filter
 
 
 def queries():
@@ -15,8 +15,9 @@ def queries():
         "op8_decontamination": decontam.op8,
         "op9_html": html_extract.op9,
         "op10_url_filters": url_filter.op10,
+        "op11_centroids": centroids.op11,
     }
 
 
 def oracle_sql():
-    return {"op8_decontamination": decontam.OP8_SQL, "op10_url_filters": url_filter.OP10_SQL}
+    return {"op8_decontamination": decontam.OP8_SQL, "op10_url_filters": url_filter.OP10_SQL, "op11_centroids": centroids.OP11_SQL}
