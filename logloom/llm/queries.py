@@ -1,6 +1,6 @@
 """The numbered queries and their SQL."""
 
-from . import centroids, decontam, divergence, html_extract, langid, media, pieces, pii, ppm, simhash, toxicity, url_filter
+from . import centroids, decontam, divergence, html_extract, langid, license_scan, media, pieces, pii, ppm, simhash, toxicity, url_filter
 
 
 def queries():
@@ -16,9 +16,16 @@ def queries():
         "op9_html": html_extract.op9,
         "op10_url_filters": url_filter.op10,
         "op11_centroids": centroids.op11,
+        "op12_licenses": license_scan.op12,
         "op13_divergence": divergence.op13,
     }
 
 
 def oracle_sql():
-    return {"op8_decontamination": decontam.OP8_SQL, "op10_url_filters": url_filter.OP10_SQL, "op11_centroids": centroids.OP11_SQL, "op13_divergence": divergence.OP13_SQL}
+    return {
+        "op8_decontamination": decontam.OP8_SQL,
+        "op10_url_filters": url_filter.OP10_SQL,
+        "op11_centroids": centroids.OP11_SQL,
+        "op12_licenses": license_scan.OP12_SQL,
+        "op13_divergence": divergence.OP13_SQL,
+    }
