@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from logloom.llm import divergence
 from tests.llm.conftest import DOCS
@@ -90,16 +91,28 @@ def test_boundaries_keep_texts_apart():
     assert [buf[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == ["abc", "def", "ghi", "é", "É", "z"]
 
 
-def test_equal_hashes_of_unlike_slices():
-    """A hash that says little: the bytes tell slices apart."""
-    data = b"aa bb aa c aa bb dd c bb"
+def slices(words):
+    data = b" ".join(words)
     buf = np.frombuffer(data, np.uint8)
-    start, end = divergence.boundaries(buf, np.array([len(data)]))
-    words = data.split()
-    for digest in (lambda b: 7, len, lambda b: b[0] % 2):
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    return data, buf, end - np.array([len(w) for w in words]), end
+
+
+def test_hashes_are_those_of_the_library():
+    r = random.Random(9)
+    words = [bytes(r.randrange(97, 123) for _ in range(n)) for n in [*range(1, 70), 500, *range(1, 40)]] + ["é你\U0001F600".encode()]
+    assert divergence.hashes(*slices(words)).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
+def test_equal_hashes_of_unlike_slices():
+    """A hash that says little: the bytes tell slices apart, short and long, of equal length and with equal beginnings."""
+    words = b"aa bb aa c aa bb dd c bb abcdefgh abcdefghi abcdefgj abcdefghijklmnopq abcdefghijklmnopr abcdefghijklmnopq".split()
+    words += [b"x" * 32, b"x" * 31, b"x" * 31 + b"y", b"x" * 30 + b"y", b"x" * 32, b"x" * 90, b"x" * 89 + b"y", b"x" * 90]
+    for digest in (lambda *a: np.zeros(len(a[2]), np.uint64), lambda d, b, s, e: (e - s).astype(np.uint64), lambda d, b, s, e: b[s].astype(np.uint64)):
+        data, buf, start, end = slices(words)
         group, rep = divergence.group_slices(data, buf, start, end, digest)
         assert [data[start[rep[g]] : end[rep[g]]] for g in group] == words
-        assert len(set(group.tolist())) == 4 == len(set(rep.tolist()))
+        assert len(set(group.tolist())) == len(set(words)) == len(set(rep.tolist()))
 
 
 def test_share_is_exact_beyond_64_bits():
