@@ -19,9 +19,15 @@ UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 BLOCKS = "array<struct<type:string,text:string,thinking:string,name:string,id:string,tool_use_id:string,content:variant>>"
 
 
-def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(file, body) of the files under path whose names fit."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+def file_name(uri: Column) -> Column:
+    """A file's name as Spark's readers take it and as `histories` gives it: nothing escaped, and two slashes before the path of a local one."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+
+
+def files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """(file, body) of the files under path, or of those named, whose names fit."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    return rows.select(file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("body"))
 
 
 def once(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def hashed(spark, d):
 def test_stream_sweep_and_changes(spark, tmp_path):
     raw, store = tmp_path / "raw", str(tmp_path / "store")
     put(raw / f"{U1}.jsonl", line(U1, "first", 0))
-    run = lambda: ingest.start(ingest.watch(spark, str(raw)), store, jsonl.claude_code, str(tmp_path / "ck")).awaitTermination()
+    run = lambda: ingest.start(ingest.watch(spark, str(raw), str(tmp_path / "seen")), store, jsonl.claude_code, str(tmp_path / "ck")).awaitTermination()
     run()
     assert [r["first_prompt"] for r in ingest.read(spark, store).sessions.collect()] == ["first"]
     put(raw / f"{U2}.jsonl", line(U2, "second", 1))
