@@ -48,18 +48,18 @@ class Query:
         self._negated = 0
         self._items = [m for m in _LEX.finditer(text)]
         self._at = 0
-        self._root = self._or() if self._items else None
-        while self._root is not None and self._at < len(self._items):  # stray closing brackets
+        self.root = self._or() if self._items else None
+        while self.root is not None and self._at < len(self._items):  # stray closing brackets
             self._at += 1
             if self._at < len(self._items):
-                self._root = ("and", [self._root, self._or()])
+                self.root = ("and", [self.root, self._or()])
 
     @classmethod
     def plain(cls, text: str) -> Query:
         """Text without a query language: all of its words."""
         q = cls("")
         words = [x.lower() for x in _WORD.findall(text)]
-        q._root = ("and", [q._unit_of(("phrase", [w])) for w in words]) if words else None
+        q.root = ("and", [q._unit_of(("phrase", [w])) for w in words]) if words else None
         return q
 
     def _unit_of(self, node: tuple) -> tuple:
@@ -108,6 +108,18 @@ class Query:
             return self._unit_of(("prefix", w))  # foo-ba*: the last word is a beginning
         return self._unit_of(("phrase", w))  # foo-bar is the phrase of its words; punctuation alone is nothing
 
+    def leaves(self) -> tuple[list[str], list[str]]:
+        """(words, beginnings of words) that it speaks of, negated ones too. A text that matches has one of them."""
+        words, starts, todo = set(), set(), [self.root] if self.root is not None else []
+        while todo:
+            kind, inner = todo.pop()[:2]
+            if kind in ("and", "or", "not"):
+                todo += inner
+            elif inner:
+                words.update(inner if kind != "prefix" else inner[:-1])
+                starts.update(inner[-1:] if kind == "prefix" else ())
+        return sorted(words), sorted(starts)
+
     def hit(self, token: Column) -> Column:
         """Whether a token is one that the ranking counts, or a part of one."""
         words = sorted({w for kind, x in self.units for w in (x if kind == "phrase" else x[:-1])})
@@ -115,7 +127,7 @@ class Query:
         return reduce(or_, [token.startswith(p) for p in starts], token.isin(*words) if words else F.lit(False))
 
     def match(self, toks: Column) -> Column:
-        return self._cond(self._root, toks) if self._root is not None else F.lit(False)
+        return self._cond(self.root, toks) if self.root is not None else F.lit(False)
 
     def _cond(self, node, t: Column) -> Column:
         op = node[0]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from ..schema import DEVICES, KINDS, LEDGER, SESSIONS, TOOLS, TURNS, USAGE, Tabl
 SCHEMAS = {
     "sessions": (SESSIONS, "id"), "turns": (TURNS, "session_id"), "tools": (TOOLS, "session_id"), "usage": (USAGE, "session_id"), "kinds": (KINDS, "session_id"), "devices": (DEVICES, "id"), "ledger": (LEDGER, "session_id"),
     "fixes": ("id string, first_prompt string, of string", "id"),
+    "postings": ("term string, session_id string, turn long, places array<int>, size int, of string", "term"), "sizes": ("session_id string, turns long, tokens long, of string", "session_id"),
 }
 ENTRY = "batch string, id string, raw_hash string"
 BATCH = r"\d{12}-[0-9a-f]{8}"
@@ -59,6 +61,16 @@ class Files:
         return self.system().delete(self.at(*parts), True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path that driver and executors share, in the cluster's checkpoint folder; a folder of this machine only in local mode, where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="logloom-")
+    return f"{top.rstrip('/')}/logloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 class Store:
     """A store at a path. buckets: of its tables, for a store that is written for the first time; more for more data, and it never changes."""
 
@@ -110,7 +122,7 @@ class Store:
         rows = rows.select(*[F.col(c).cast(k).alias(c) for c, k in want]).repartition(n, by)
         table = f"logloom_writes_{uuid.uuid4().hex}"  # of this act alone: what readers know has committed batches only
         # in the batch's own folder: writers at once would clear away each other's unfinished files in a common one
-        rows.write.bucketBy(n, by).option("path", f"{self.path}/{name}/batch={batch}").saveAsTable(table)
+        rows.write.bucketBy(n, by).sortBy(by).option("path", f"{self.path}/{name}/batch={batch}").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # the files are the store's and stay
 
     def table(self, name: str, batches: list[str] | None = None) -> DataFrame:
@@ -169,6 +181,10 @@ class Store:
         self.commit(batch, self.table_of(batch, "sessions").select("id", "raw_hash") if tell else None)
         return batch
 
+    def has(self, batch: str, name: str) -> bool:
+        """Whether a batch has rows of a table; a table of no rows leaves a mark of success alone."""
+        return any(n.startswith("part-") for n in self.files.names(name, f"batch={batch}"))
+
     def table_of(self, batch: str, name: str) -> DataFrame:
         """A table of a batch that is not committed yet, as written."""
         columns, _ = SCHEMAS[name]
