@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +163,52 @@ def release_memory() -> None:
         trim(0)
 
 
+# -- hashes of many slices of a buffer -------------------------------------------------------------
+
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+SHORT = 32  # slices of fewer bytes are hashed and compared by eights in numpy
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def eights(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes i to i + 7 as a number, for each i; bytes i to i + 3); what stands beyond the end is zero."""
+    more = np.concatenate([buf, np.zeros(SHORT, np.uint8)])
+    n = len(buf) + SHORT - 7
+    return np.ndarray((n,), "<u8", more, 0, (1,)), np.ndarray((n,), "<u4", more, 0, (1,))
+
+
+def slice_hashes(data: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of each slice of data, which buf holds too: short ones of equal length together, in numpy, the others by the library."""
+    out, size = np.empty(len(start), np.uint64), end - start
+    eight, four = eights(buf)
+    order = np.argsort(size, kind="stable")
+    cut = np.searchsorted(size[order], np.arange(SHORT + 1))
+    for n in range(1, SHORT):
+        k = order[cut[n] : cut[n + 1]]
+        if not len(k):
+            continue
+        at, h = start[k], np.full(len(k), _P5 + np.uint64(n))
+        left = n
+        while left >= 8:
+            h = _rotated(h ^ (_rotated(eight[at] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at, left = at + 8, left - 8
+        if left >= 4:
+            h = _rotated(h ^ (four[at].astype(np.uint64) * _P1), 23) * _P2 + _P3
+            at, left = at + 4, left - 4
+        for i in range(left):
+            h = _rotated(h ^ (buf[at + i].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[k] = h ^ (h >> np.uint64(32))
+    for i in order[cut[SHORT] :].tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+    return out
+
+
 def utf8(texts: pd.Series) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, release_memory, stored, table
+from .common import SHORT, eights, quoted, release_memory, slice_hashes, stored, table
 
 LEAST_DOCS, PARTS, TOP = 3, 9, 200  # documents of a language that have a kept term; 10^9 parts; ranks of the part `term`
 BLOCK, TILE = 200_000, 512
@@ -47,65 +46,21 @@ def boundaries(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(start), np.flatnonzero(end)
 
 
-#: The primes of XXH64.
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-_SHORT = 32  # slices of fewer bytes are hashed and compared by eights in numpy
-
-
-def _rotated(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def _eights(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes i to i + 7 as a number, for each i; bytes i to i + 3); what stands beyond the end is zero."""
-    more = np.concatenate([buf, np.zeros(_SHORT, np.uint8)])
-    n = len(buf) + _SHORT - 7
-    return np.ndarray((n,), "<u8", more, 0, (1,)), np.ndarray((n,), "<u4", more, 0, (1,))
-
-
-def hashes(data: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """XXH64 (seed 0) of each slice: short ones of equal length together, in numpy, the others by the library."""
-    out, size = np.empty(len(start), np.uint64), end - start
-    eight, four = _eights(buf)
-    order = np.argsort(size, kind="stable")
-    cut = np.searchsorted(size[order], np.arange(_SHORT + 1))
-    for n in range(1, _SHORT):
-        k = order[cut[n] : cut[n + 1]]
-        if not len(k):
-            continue
-        at, h = start[k], np.full(len(k), _P5 + np.uint64(n))
-        left = n
-        while left >= 8:
-            h = _rotated(h ^ (_rotated(eight[at] * _P2, 31) * _P1), 27) * _P1 + _P4
-            at, left = at + 8, left - 8
-        if left >= 4:
-            h = _rotated(h ^ (four[at].astype(np.uint64) * _P1), 23) * _P2 + _P3
-            at, left = at + 4, left - 4
-        for i in range(left):
-            h = _rotated(h ^ (buf[at + i].astype(np.uint64) * _P5), 11) * _P1
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        out[k] = h ^ (h >> np.uint64(32))
-    for i in order[cut[_SHORT] :].tolist():
-        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
-    return out
-
-
 def _same_bytes(data: bytes, buf: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether each slice has the bytes of the slice numbered `other`."""
-    eight, _ = _eights(buf)
+    eight, _ = eights(buf)
     same = size == size[other]
-    for lane in range(_SHORT // 8):
-        k = np.flatnonzero(same & (size > 8 * lane) & (size < _SHORT))
+    for lane in range(SHORT // 8):
+        k = np.flatnonzero(same & (size > 8 * lane) & (size < SHORT))
         over = np.maximum(8 * (lane + 1) - size[k], 0).astype(np.uint64) * np.uint64(8)  # bits of the eight that are not the slice's
         same[k] = ((eight[start[k] + 8 * lane] ^ eight[start[other[k]] + 8 * lane]) << over) == 0
-    for i in np.flatnonzero(same & (size >= _SHORT)).tolist():
+    for i in np.flatnonzero(same & (size >= SHORT)).tolist():
         a, b = start[i], start[other[i]]
         same[i] = data[a : a + size[i]] == data[b : b + size[i]]
     return same
 
 
-def group_slices(data: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray, digest=hashes) -> tuple[np.ndarray, np.ndarray]:
+def group_slices(data: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray, digest=slice_hashes) -> tuple[np.ndarray, np.ndarray]:
     """(group of each slice, a slice of each group): slices are of one group if, and only if, their bytes are equal.
 
     Grouped by their hash; then the bytes of each are held against those of its group's first, and what differs is grouped by the bytes themselves.

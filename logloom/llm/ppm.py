@@ -10,7 +10,6 @@ to the joins and gets their values back; nothing of the model is ever held whole
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -18,18 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, quoted, release_memory, split_by_bloom, stored, table, utf8
+from .common import crc_mod, quoted, release_memory, slice_hashes, split_by_bloom, stored, table, utf8
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20  # of texts, about, and
 BLOCK_ROWS = 20_000  # rows that are scored together at most, about
 COPIES = 16  # rows of one id and text beyond which they are scored once
 _SHORT = 2  # contexts of so many bytes are 65,536 at most, whatever the texts: their tables are broadcast
-_CHUNK = 1 << 20
+_CHUNK, _CHUNK_TEXTS = 1 << 20, 1 << 16
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 255
-_END_WORD = b"\n"
 _WORD_FLAG = 1 << 62
+_END_KEY = _WORD_FLAG | xxhash.xxh64_intdigest(b"\n") >> 2  # of what no word is
 _UNIT = 1e9  # code lengths go from task to task as whole thousand-millionths of a digit
 
 
@@ -50,10 +49,11 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(texts: list[bytes]):
+    """(number of its first text, texts) of chunks of about _CHUNK bytes, or of one longer text."""
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= _CHUNK or i + 1 == len(texts):
+        if size >= _CHUNK or i + 1 - at == _CHUNK_TEXTS or i + 1 == len(texts):
             yield at, texts[at : i + 1]
             at, size = i + 1, 0
 
@@ -74,9 +74,17 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return k[at], np.add.reduceat(n, at)
 
 
-def _word_keys(words) -> np.ndarray:
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return ((h >> np.uint64(2)) | np.uint64(_WORD_FLAG)).astype(np.int64)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of its text) of each word of the texts, A-Z lower-cased: the word's hash, marked as a word's."""
+    data = b" ".join(texts).lower()
+    buf = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(buf) + 2, bool)
+    inside[1:-1] = (buf != 0x20) & ((buf < 0x09) | (buf > 0x0D))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    h = slice_hashes(data, buf, start, end)
+    return ((h >> np.uint64(2)) | np.uint64(_WORD_FLAG)).astype(np.int64), np.searchsorted(ends, start, side="right")
 
 
 def _packed(texts: pd.Series) -> pd.Series:
@@ -88,33 +96,40 @@ def _unpacked(pdf: pd.DataFrame) -> list[bytes]:
     return [zlib.decompress(z) for z in pdf["packed"]]
 
 
+class _Sums:
+    """Numbers by key, gathered part by part; like sizes are merged first, so that few copies are held at a time."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        while len(self.parts) > 1 and len(self.parts[-2][0]) < 2 * len(self.parts[-1][0]):
+            self.parts[-2:] = [_merge(self.parts[-2:])]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merge(self.parts)
+
+
 def _block_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     """(block, key, n) of one block: its distinct words and grams with their numbers in training texts, 0 for those that only other texts have."""
     release_memory()
     texts, times = _unpacked(pdf), np.where(pdf["train"].to_numpy(bool), pdf["times"].to_numpy(np.int64), 0)
-    words = Counter({_END_WORD: int(times.sum())})
-    others = set()
-    for t, k in zip(texts, times.tolist(), strict=True):
-        if k > 1:
-            for w, n in Counter(t.lower().split()).items():
-                words[w] += n * k
-        else:
-            (words if k else others).update(t.lower().split())
-    others = [w for w in others if w not in words]
-    parts = []
+    words, grams = _Sums(), _Sums()
+    words.add(np.array([_END_KEY]), np.array([times.sum()]))
     for at, chunk in _chunks(texts):
         own = times[at : at + len(chunk)]
+        key, of = _words(chunk)
+        if len(key):
+            distinct, same = np.unique(key, return_inverse=True)
+            n = np.zeros(len(distinct), np.int64)
+            np.add.at(n, same, own[of])
+            words.add(distinct, n)
         for k in np.unique(own):
             g, n = _distinct(_grams([t for t, x in zip(chunk, own == k, strict=True) if x], ORDER)[0])
-            parts.append((g, n * k))
-            while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):  # like sizes first, so that few copies are held at a time
-                parts[-2:] = [_merge(parts[-2:])]
-    grams, n = _merge(parts)
-    return pd.DataFrame({
-        "block": np.int32(pdf["block"].iloc[0]),
-        "key": np.r_[_word_keys(words), _word_keys(others), grams.astype(np.int64)],
-        "n": np.r_[np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64), n],
-    })
+            grams.add(g, n * k)
+    (word, word_n), (gram, gram_n) = words.all(), grams.all()
+    return pd.DataFrame({"block": np.int32(pdf["block"].iloc[0]), "key": np.r_[word, gram.astype(np.int64)], "n": np.r_[word_n, gram_n]})
 
 
 def _low(col: str, n: int) -> F.Column:
@@ -166,58 +181,36 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return known.union(s).select("gram", F.round(F.col("val") * -_UNIT).cast("long").alias("val"))
 
 
-class _Lookup:
-    """Values by integer key: an open-addressed table, probed for many keys at a time. Every key asked for is there."""
-
-    def __init__(self, keys: np.ndarray, vals: np.ndarray):
-        self.bits = max(8, int(len(keys) * 4).bit_length())
-        self.keys, self.vals = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits, vals.dtype)
-        slot = self._slot(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == np.uint64((1 << 64) - 1)
-            first = np.zeros(len(left), bool)
-            first[np.unique(at, return_index=True)[1]] = True
-            put = free & first
-            self.keys[at[put]], self.vals[at[put]] = keys[left[put]], vals[left[put]]
-            left = left[~put]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        while True:
-            bad = np.flatnonzero(self.keys[slot] != keys)
-            if not len(bad):
-                return self.vals[slot]
-            slot[bad] = (slot[bad] + 1) & ((1 << self.bits) - 1)
-
-
 def _score_block(docs: pd.DataFrame, keys: pd.DataFrame, total: int) -> pd.DataFrame:
-    """Scores of a block's texts. keys: (key, val), a word's number in training texts or a gram's code length; total: what word counts are shares of."""
+    """Scores of a block's texts. keys: (key, val), a word's number in training texts or a gram's code length; total: what word counts are shares of.
+
+    Places are sorted by what stands there, so that values are met in order and not looked up one by one; a place's text goes along in the lowest bits.
+    """
     if not len(docs):
         return pd.DataFrame({"id": [], "train": [], "times": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
     release_memory()
     texts = _unpacked(docs)
-    key, val = keys["key"].to_numpy(np.int64), keys["val"].to_numpy(np.int64)
-    word = key >= _WORD_FLAG
-    look = _Lookup(key[~word].astype(np.uint64), val[~word])
-    words = [*{w for t in texts for w in t.lower().split()}, _END_WORD]
-    counts = _Lookup(key[word].astype(np.uint64), val[word])(_word_keys(words).astype(np.uint64))
-    base = dict(zip(words, np.log10((counts + 1) / total).tolist(), strict=True))
-    new = np.log10(1 / total)
+    order = np.argsort(keys["key"].to_numpy(np.int64))
+    key, val = keys["key"].to_numpy(np.int64)[order], keys["val"].to_numpy(np.int64)[order]
+    first = np.searchsorted(key, _WORD_FLAG)
+    gram, length, word, count = key[:first].astype(np.uint64), val[:first].astype(float), key[first:], val[first:]
+    share = np.log10((count + 1) / total)
+    end = np.searchsorted(word, _END_KEY)
     n_tokens, n_known, base_score, score = (np.zeros(len(texts), t) for t in (np.int64, np.int64, float, float))
-    for i, t in enumerate(texts):
-        w = t.lower().split()
-        w.append(_END_WORD)
-        v = np.fromiter(map(base.__getitem__, w), float, len(w))
-        n_tokens[i], n_known[i], base_score[i] = len(w), (v > new).sum(), v.sum()
     for at, chunk in _chunks(texts):
+        own, m = slice(at, at + len(chunk)), len(chunk)
+        k, of = _words(chunk)
+        distinct, same = np.unique(k, return_inverse=True)
+        place = np.searchsorted(word, distinct)
+        n_tokens[own] = np.bincount(of, minlength=m) + 1
+        n_known[own] = np.bincount(of, (count[place] > 0)[same], minlength=m) + (count[end] > 0)
+        base_score[own] = np.bincount(of, share[place][same], minlength=m) + share[end]
         g, starts = _grams(chunk, ORDER)
-        score[at : at + len(chunk)] = np.add.reduceat(look(g), starts) / -_UNIT
+        g = (g << np.uint64(16)) | np.repeat(np.arange(m, dtype=np.uint64), np.diff(np.append(starts, len(g))))
+        g.sort()
+        of, g = (g & np.uint64(0xFFFF)).astype(np.int64), g >> np.uint64(16)
+        new = np.r_[True, g[1:] != g[:-1]]
+        score[own] = np.bincount(of, length[np.searchsorted(gram, g[new])][np.cumsum(new) - 1], minlength=m) / -_UNIT
     return pd.DataFrame({"id": docs["id"], "train": docs["train"], "times": docs["times"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
 
 
