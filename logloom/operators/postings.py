@@ -16,10 +16,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import fitted
 from ..schema import Tables
 from ..streaming.store import Store
 from .filters import SessionFilter, apply
-from .search import B, K1, Query, limit_of, searchable, snippet, tokens
+from .search import B, K1, Query, limit_of, marked, searchable, snippet, tokens
 
 
 def lists_of(turns: DataFrame, *also: str) -> DataFrame:
@@ -99,7 +100,7 @@ class Postings:
         hit = self.hits(q).where(matches(q, F.col("lists"))).groupBy("session_id").agg(F.count("*").alias("turns"))
         return hit.join(apply(t, f).select(F.col("id").alias("session_id")), "session_id", "left_semi")
 
-    def search(self, t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None, plain: bool = False, width: int = 16) -> DataFrame:
+    def search(self, t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None, plain: bool = False, width: int = 16, columns: int | None = None) -> DataFrame:
         """As `search.search`, the store being read as t. The hits that are shown, 200 at most, come to the driver: only their sessions' turns are read."""
         q = Query.plain(query) if plain else Query(query)
         s = apply(t, f).select(F.col("id").alias("session_id"), "agent", "started_at")
@@ -110,8 +111,9 @@ class Postings:
         shown = hits.sparkSession.createDataFrame(rows, hits.schema)
         turns = t.turns.where(F.col("session_id").isin([r["session_id"] for r in rows])).withColumnRenamed("id", "turn")
         out = turns.join(F.broadcast(shown), ["session_id", "turn"])
+        shown_text = snippet(tokens(F.col("content")), q, width) if columns is None else fitted(marked(F.col("content"), q), columns)
         return out.select(
-            "session_id", "agent", "started_at", F.col("turn").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", snippet(tokens(F.col("content")), q, width).alias("snippet"),
+            "session_id", "agent", "started_at", F.col("turn").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", shown_text.alias("snippet"),
         ).orderBy(F.desc("rank"), "session_id")
 
 

@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import fitted
 from ..schema import Tables
 from .filters import SessionFilter, apply
 
@@ -120,10 +121,14 @@ class Query:
                 starts.update(inner[-1:] if kind == "prefix" else ())
         return sorted(words), sorted(starts)
 
+    def ranked_words(self) -> tuple[list[str], list[str]]:
+        """(words, beginnings of words) that the ranking counts."""
+        words = sorted({w for kind, x in self.units for w in (x if kind == "phrase" else x[:-1])})
+        return words, sorted({x[-1] for kind, x in self.units if kind == "prefix"})
+
     def hit(self, token: Column) -> Column:
         """Whether a token is one that the ranking counts, or a part of one."""
-        words = sorted({w for kind, x in self.units for w in (x if kind == "phrase" else x[:-1])})
-        starts = sorted({x[-1] for kind, x in self.units if kind == "prefix"})
+        words, starts = self.ranked_words()
         return reduce(or_, [token.startswith(p) for p in starts], token.isin(*words) if words else F.lit(False))
 
     def match(self, toks: Column) -> Column:
@@ -202,20 +207,33 @@ def snippet(toks: Column, q: Query, width: int = 16) -> Column:
     return F.array_join(F.transform(part, lambda x: F.when(q.hit(x), F.concat(F.lit("«"), x, F.lit("»"))).otherwise(x)), " ")
 
 
+def marked(text: Column, q: Query) -> Column:
+    """The text itself, its words that the ranking counts in guillemets; guillemets of its own become single ones."""
+    words, starts = q.ranked_words()
+    letters = r"[\p{L}\p{N}]"
+    units = "|".join([*sorted(words, key=lambda w: (-len(w), w)), *[f"{p}{letters}*" for p in starts]])
+    own = F.translate(text, "«»", "‹›")
+    return F.regexp_replace(own, f"(?iu)(?<!{letters})(?:{units})(?!{letters})", "«$0»") if units else own
+
+
 def limit_of(n: int | None, most: int = 200, default: int = 20) -> int:
     """Out of range means the default, not the nearest end."""
     return n if n and 0 < n <= most else default
 
 
-def search(t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None, plain: bool = False, width: int = 16) -> DataFrame:
-    """The best turn of each session, best first; ties by session and turn. plain: the query is words, all of which must stand."""
+def search(t: Tables, query: str, f: SessionFilter | None = None, limit: int | None = None, plain: bool = False, width: int = 16, columns: int | None = None) -> DataFrame:
+    """The best turn of each session, best first; ties by session and turn. plain: the query is words, all of which must stand.
+
+    The snippet is of `width` tokens; with columns, as much of the text itself around its first hit as fits a line of so many.
+    """
     q = Query.plain(query) if plain else Query(query)
     s = apply(t, f).select("id", "agent", "started_at")
     hits = ranked_turns(t.turns, q).join(s.withColumnRenamed("id", "session_id"), "session_id")
     best = Window.partitionBy("session_id").orderBy(F.desc("rank"), "id")
     hits = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    out = hits.select("session_id", "agent", "started_at", F.col("id").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", snippet(F.col("_t"), q, width).alias("snippet"))
-    return out.orderBy(F.desc("rank"), "session_id").limit(limit_of(limit))
+    out = hits.select("session_id", "agent", "started_at", F.col("id").alias("turn_id"), "ts", "role", "kind", "tool_name", F.lit("content").alias("match_field"), "rank", (snippet(F.col("_t"), q, width) if columns is None else marked(F.col("content"), q)).alias("snippet"))
+    out = out.orderBy(F.desc("rank"), "session_id").limit(limit_of(limit))
+    return out if columns is None else out.withColumn("snippet", fitted(F.col("snippet"), columns))
 
 
 def matching_sessions(t: Tables, query: str, f: SessionFilter | None = None) -> DataFrame:

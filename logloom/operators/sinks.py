@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import display
+from ..functions import text as tx
 from ..schema import Tables
 
 
@@ -52,6 +54,11 @@ def fill_identity(sessions: DataFrame, known: DataFrame) -> DataFrame:
     return s.withColumns({"project_remote": F.coalesce("project_remote", "_remote"), "project_marker": F.coalesce("project_marker", "_marker")}).select(*sessions.columns)
 
 
+def paths_without_identity(sessions: DataFrame) -> DataFrame:
+    """(project_path): paths, neither null nor empty, of sessions that have neither remote nor marker: what `fill_identity` can be asked about."""
+    return sessions.where("project_path <> '' and project_remote is null and project_marker is null").select("project_path").distinct()
+
+
 def preserve_raw(files: DataFrame, sessions: DataFrame, path: str) -> None:
     """files (file, body) of known sessions as Parquet in folders of agent, year and month, each under the key <id><extension>; a second run replaces the folders that it writes."""
     ext = F.regexp_extract("raw_uri", r"(\.[^./]+)$", 1)
@@ -76,13 +83,17 @@ def ndjson(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`").alias(c.lower()) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _top_tools(t: Tables, most: int = 3) -> DataFrame:
+    """(session_id, tools): a session's most used tools and how often they were."""
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("count"), "name"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("_n", "name", "count"))), lambda x: F.concat(x["name"], F.lit(" ×"), x["count"].cast("string")))
+    return t.tools.withColumn("_n", nth).where(F.col("_n") <= most).groupBy("session_id").agg(F.array_join(named, ", ").alias("tools"))
+
+
 def timeline(t: Tables, sessions: DataFrame | None = None) -> DataFrame:
     """(started, agent, project, seconds, tools, prompt), newest first: the six columns of the plain timeline; tools: the three most used."""
-    from pyspark.sql import Window
-
     s = t.sessions if sessions is None else sessions
-    nth = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("count"), "name"))
-    top = t.tools.withColumn("_n", nth).where("_n <= 3").groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name", "count"))), lambda x: F.concat(x["name"], F.lit(" ×"), x["count"].cast("string"))), ", ").alias("tools"))
+    top = _top_tools(t)
     seconds = F.greatest(F.unix_timestamp(F.col("last_activity_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")), F.lit(0))
     rows = s.join(top, F.col("id") == F.col("session_id"), "left").orderBy(F.desc("started_at"), "id")
     return rows.select(
@@ -91,6 +102,26 @@ def timeline(t: Tables, sessions: DataFrame | None = None) -> DataFrame:
     )
 
 
+def timeline_rows(t: Tables, now: Column, sessions: DataFrame | None = None) -> DataFrame:
+    """The timeline as it is drawn, newest first: (day, time, active, agent, device, project, prompt, meta, id, detail, ago), all but active and meta texts.
+
+    day: the header that the row stands under; meta: whether nobody wrote the first prompt, which is then `(meta)`; detail: how long it took and the three most used tools.
+    """
+    s = t.sessions if sessions is None else sessions
+    named = t.devices.select(F.col("id").alias("_device"), F.nullif("friendly_name", F.lit("")).alias("_name"))
+    rows = s.join(named, F.col("device_id") == F.col("_device"), "left").join(_top_tools(t), F.col("id") == F.col("session_id"), "left")
+    started, last = F.col("started_at").cast("timestamp"), F.col("last_activity_at").cast("timestamp")
+    line = tx.display_text(tx.clean_prompt(F.col("first_prompt")))
+    meta = F.coalesce(line, F.lit("")).eqNullSafe("") | tx.starts_as_boilerplate(F.col("first_prompt"))
+    seconds = F.greatest(F.unix_timestamp(last) - F.unix_timestamp(started), F.lit(0))
+    detail = F.concat_ws(" · ", tx.human_duration(seconds), F.nullif("tools", F.lit("")))
+    return rows.orderBy(F.desc("started_at"), "id").select(
+        tx.day_header(F.to_date(started), F.to_date(now)).alias("day"), F.date_format(started, "HH:mm").alias("time"), display.is_active(last, now).alias("active"), tx.agent_short(F.col("agent")).alias("agent"),
+        F.coalesce("_name", "device_id").alias("device"), tx.project_label(F.col("project_marker"), F.col("project_remote"), F.col("project_path")).alias("project"),
+        F.when(meta, "(meta)").otherwise(line).alias("prompt"), meta.alias("meta"), "id", detail.alias("detail"), display.ago(last, now).alias("ago"),
+    )
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tabs and line ends inside values become spaces."""
     flat = df.select(*[F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ").alias(c) for c in df.columns])

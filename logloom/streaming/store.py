@@ -27,6 +27,7 @@ from ..schema import DEVICES, KINDS, LEDGER, SESSIONS, TOOLS, TURNS, USAGE, Tabl
 SCHEMAS = {
     "sessions": (SESSIONS, "id"), "turns": (TURNS, "session_id"), "tools": (TOOLS, "session_id"), "usage": (USAGE, "session_id"), "kinds": (KINDS, "session_id"), "devices": (DEVICES, "id"), "ledger": (LEDGER, "session_id"),
     "fixes": ("id string, first_prompt string, of string", "id"),
+    "raw": ("session_id string, key string, body binary", "session_id"), "synced": ("id string, last_sync timestamp", "id"),
     "postings": ("term string, session_id string, turn long, places array<int>, size int, of string", "term"), "sizes": ("session_id string, turns long, tokens long, of string", "session_id"),
 }
 ENTRY = "batch string, id string, raw_hash string"
@@ -192,6 +193,14 @@ class Store:
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).parquet(f"{self.path}/{name}/batch={batch}")
 
+    def discard(self, batch: str) -> None:
+        """Removes what a batch that is not committed has left."""
+        if batch in self.batches():
+            raise ValueError(f"{batch} is committed")
+        for name in SCHEMAS:
+            self.files.remove(name, f"batch={batch}")
+        self.files.remove("log", f".{batch}")
+
     def vacuum(self, hours: float = 24, now: Callable[[], float] | None = None) -> list[str]:
         """Removes what batches that were never committed have left, if it is older than so many hours: a writer may be at work on younger ones. Their ids."""
         import time
