@@ -10,7 +10,7 @@ import pytest
 from logloom.sources import sqlite as sq
 from logloom.sources import wire
 
-AGENT = "aa11bb22-1111-2222-3333-444455556666"
+AGENT = "5b0c7a4e-93d1-4c28-8f60-1d2e3f4a5b6c"
 
 
 def number(n):
@@ -29,36 +29,36 @@ def field(n, value):
 
 def test_fields():
     assert wire.fields(b"") == ([], True)
-    assert wire.fields(field(1, 42) + field(3, "hello")) == ([(1, 0, 42), (3, 2, b"hello")], True)
-    assert wire.fields(bytes([5 << 3 | 5]) + b"abcd" + bytes([6 << 3 | 1]) + b"12345678")[0] == [(5, 5, b"abcd"), (6, 1, b"12345678")]
-    assert wire.fields(field(1, 7) + b"\x12\x7f") == ([(1, 0, 7)], False)
+    assert wire.fields(field(4, 70_000) + field(9, "teapot")) == ([(4, 0, 70_000), (9, 2, b"teapot")], True)
+    assert wire.fields(bytes([2 << 3 | 5]) + b"wxyz" + bytes([8 << 3 | 1]) + b"eightish")[0] == [(2, 5, b"wxyz"), (8, 1, b"eightish")]
+    assert wire.fields(field(6, 31) + b"\x1a\x55") == ([(6, 0, 31)], False)
     assert wire.fields(b"\x80") == ([], False) and wire.fields(b"\x00\x01") == ([], False)
 
 
 def test_strings_go_into_messages():
-    inner = field(2, "hello")
-    assert [*wire.strings(field(1, inner + field(9, 1)) + field(3, "world"))] == ["hello", "world"]
+    inner = field(5, "kettle")
+    assert [*wire.strings(field(2, inner + field(4, 3)) + field(7, "teapot"))] == ["kettle", "teapot"]
     deep = field(1, "far down")
     for _ in range(10):
         deep = field(2, 1) + field(1, deep)  # the integer keeps it from being read as text
     assert [*wire.strings(deep)] == []
 
 
-@pytest.mark.parametrize("b, want", [(b"hello world", True), ("olá\ntab\there".encode(), True), (b"", False), (b"\x00\x01\x02", False), (b"\xff\xfe", False)])
+@pytest.mark.parametrize("b, want", [(b"some plain words", True), ("naïve\n\tindented line".encode(), True), (b"", False), (b"\x03bell\x07", False), (b"cut \xc3", False)])
 def test_readable(b, want):
     assert (wire.readable(b) is not None) == want
 
 
 def test_tool_calls():
-    pair = field(1, "view_file") + field(2, '{"AbsolutePath":"/x","toolAction":"y"}')
-    assert sq.tool_call(field(7, pair + field(3, 1))) == ("view_file", '{"AbsolutePath":"/x","toolAction":"y"}')
-    assert sq.tool_call(field(1, "list_permissions") + field(2, '{"toolAction":"Listing"}'))[0] == "list_permissions"
-    assert sq.tool_call(field(1, "hello world")) == (None, None)
-    assert sq.first_text(field(1, '{"toolAction":"x is a long text"}') + field(2, "this is a longer narrative span")) == "this is a longer narrative span"
-    assert sq.first_text(field(1, "short")) is None
+    pair = field(1, "grep_search") + field(2, '{"Query":"todo","toolAction":"Searching"}')
+    assert sq.tool_call(field(7, pair + field(3, 1))) == ("grep_search", '{"Query":"todo","toolAction":"Searching"}')
+    assert sq.tool_call(field(1, "open_url") + field(2, '{"toolAction":"Opening"}'))[0] == "open_url"
+    assert sq.tool_call(field(1, "only some prose")) == (None, None)
+    assert sq.first_text(field(1, '{"toolAction":"Searching all of it"}') + field(2, "The build broke on the second try")) == "The build broke on the second try"
+    assert sq.first_text(field(1, "brief")) is None
 
 
-@pytest.mark.parametrize("s, want", [(x, True) for x in ("view_file", "run_command", "list-permissions", "codebase_investigator")] + [(x, False) for x in ("", "12345", "/path/with/slash", "has spaces", "olá", "x" * 65)])
+@pytest.mark.parametrize("s, want", [(x, True) for x in ("grep_search", "open_url", "multi-edit", "planner")] + [(x, False) for x in ("", "2027", "src/main", "two words", "naïve", "y" * 65)])
 def test_names(s, want):
     assert bool(sq._NAME.match(s)) == want
 
@@ -95,17 +95,17 @@ def call(name):
     return {"type": "tool-call", "toolName": name}
 
 
-CREATED = 1_771_093_800_000  # 2026-02-14 18:30
+CREATED = 1_798_964_100_000  # 2027-01-03 08:15
 
 
 @pytest.fixture(scope="module")
 def cursor(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("cursor")
-    meta = {"agentId": AGENT, "createdAt": CREATED, "lastUsedModel": "claude-sonnet-4-6"}
-    store(root, "ws", "first", meta, [say("user", text("explain quantum entanglement")), say("assistant", text("two particles share state"), call("Read")), say("assistant", call("Read"), call("Bash")), b"\x00\x01\x02\x03", {"name": "rootnode"}])
+    meta = {"agentId": AGENT, "createdAt": CREATED, "lastUsedModel": "gpt-5.1-codex"}
+    store(root, "ws", "first", meta, [say("user", text("why is the night sky dark")), say("assistant", text("most stars are too far away"), call("Grep")), say("assistant", call("Grep"), call("Edit")), b"\x05\x00noise", {"kind": "index"}])
     store(root, "ws", "shell", tables=False)
     store(root, "ws", "norow")
-    dirty = "<local-command-stdout>Set model to \x1b[1mOpus 4.7\x1b[22m</local-command-stdout>\nnow refactor the sync logic"
+    dirty = "<local-command-stdout>Theme is \x1b[4mdark\x1b[24m now</local-command-stdout>\nrename the config loader"
     store(root, "ws", "dirty", {"agentId": "dirty-1", "createdAt": CREATED}, [say("user", text(dirty))], plain=True)
     wrapped = [say("user", "<user_info>\nWorkspace Path: /home/me/told\nOS: x</user_info>"), say("user", "<timestamp>1</timestamp><user_query>\n fix it \n</user_query>"), say("assistant", "done")]
     store(root, "ws", "told", {"agentId": "told-1"}, wrapped)
@@ -113,7 +113,7 @@ def cursor(spark, tmp_path_factory):
     state = field(1, field(2, "/home/me/proj/src/a.go") + field(3, CREATED + 60_000)) + field(4, 99)
     store(root, md5, "digest", {"agentId": "digest-1", "createdAt": CREATED}, [*wrapped, state])
     store(root, md5, "plan", {"agentId": "plan-1", "currentPlanUri": "file:///home/me/planned/.cursor/plan-1.md"}, [state])
-    (root / "ws" / "first" / "store.db-wal").write_bytes(b"x")
+    (root / "ws" / "first" / "store.db-wal").write_bytes(b"a log")
     (root / "ws" / "none").mkdir()
     (root / "ws" / "none" / "store.db").write_bytes(b"no database")
     return sq.cursor(spark, str(root))
@@ -123,30 +123,30 @@ def test_cursor_sessions(cursor):
     s = {r["id"]: r for r in cursor.sessions.collect()}
     assert s.keys() == {AGENT, "shell", "norow", "dirty-1", "told-1", "digest-1", "plan-1"}
     r = s[AGENT]
-    assert (r["agent"], r["model"], r["first_prompt"], r["started_at"]) == ("cursor", "claude-sonnet-4-6", "explain quantum entanglement", datetime(2026, 2, 14, 18, 30))
+    assert (r["agent"], r["model"], r["first_prompt"], r["started_at"]) == ("cursor", "gpt-5.1-codex", "why is the night sky dark", datetime(2027, 1, 3, 8, 15))
     assert s["shell"]["started_at"] is None and s["shell"]["model"] is None and s["norow"]["first_prompt"] is None
-    assert s["dirty-1"]["first_prompt"] == "now refactor the sync logic"
+    assert s["dirty-1"]["first_prompt"] == "rename the config loader"
     assert s["told-1"]["first_prompt"] == "fix it"
     assert {k: r["project_path"] for k, r in s.items() if r["project_path"]} == {"told-1": "/home/me/told", "digest-1": "/home/me/proj", "plan-1": "/home/me/planned"}
-    assert s["digest-1"]["last_activity_at"] == datetime(2026, 2, 14, 18, 31)
+    assert s["digest-1"]["last_activity_at"] == datetime(2027, 1, 3, 8, 16)
 
 
 def test_cursor_turns_and_tools(cursor):
     turns = [(r["role"], r["content"]) for r in cursor.turns.where(f"session_id = '{AGENT}'").orderBy("seq").collect()]
-    assert turns == [("user", "explain quantum entanglement"), ("assistant", "two particles share state")]
+    assert turns == [("user", "why is the night sky dark"), ("assistant", "most stars are too far away")]
     told = [r["content"] for r in cursor.turns.where("session_id = 'told-1'").orderBy("seq").collect()]
     assert told[1:] == ["fix it", "done"] and told[0].startswith("<user_info>")
-    assert {(r["name"], r["count"]) for r in cursor.tools.where(f"session_id = '{AGENT}'").collect()} == {("Read", 2), ("Bash", 1)}
+    assert {(r["name"], r["count"]) for r in cursor.tools.where(f"session_id = '{AGENT}'").collect()} == {("Grep", 2), ("Edit", 1)}
     assert cursor.usage.count() == 0
 
 
 # -- Antigravity -------------------------------------------------------------------------------
 
-CASCADE, BASE = "cccc1111-2222-3333-4444-555566667777", 1_780_421_834
+CASCADE, BASE = "e7d6c5b4-0a1b-4c2d-9e3f-708192a3b4c5", 1_801_234_567
 
 
 def at(s, usage=None):
-    time = field(1, field(1, BASE + s) + field(2, 214_557_952))
+    time = field(1, field(1, BASE + s) + field(2, 640_250_000))
     return time + (field(9, b"".join(field(k, v) for k, v in usage.items())) if usage else b"")
 
 
@@ -155,9 +155,9 @@ def tool(name, args):
 
 
 STEPS = [
-    (0, 14, at(0), field(19, field(2, "olá, look at this"))), (1, 15, at(1, {2: 100, 3: 20, 4: 5, 5: 40}), field(20, field(1, "I shall look"))),
-    (2, 8, b"", tool("view_file", '{"AbsolutePath":"/tmp/x/AGENTS.md","toolAction":"Viewing"}')), (3, 15, at(3), None), (4, 21, at(4, {2: 10, 3: 2}), tool("run_command", '{"CommandLine":"echo hi"}')),
-    (5, 132, None, tool("list_permissions", '{"toolAction":"Listing"}')), (6, 17, at(5), field(3, field(1, 1) + field(2, "something that went wrong at length"))), (7, 14, at(5), field(19, field(2, "a second message"))), (8, 23, at(6), None),
+    (0, 14, at(0), field(19, field(2, "schau dir das an"))), (1, 15, at(1, {2: 310, 3: 64, 4: 9, 5: 71}), field(20, field(1, "Reading it now"))),
+    (2, 8, b"", tool("grep_search", '{"Query":"deadline","toolAction":"Searching"}')), (3, 15, at(3), None), (4, 21, at(4, {2: 17, 3: 3}), tool("open_url", '{"Url":"https://example.org/a","toolAction":"Opening"}')),
+    (5, 132, None, tool("multi-edit", '{"toolAction":"Editing"}')), (6, 17, at(5), field(3, field(1, 1) + field(2, "the last command gave no output at all"))), (7, 14, at(5), field(19, field(2, "and another thing"))), (8, 23, at(6), None),
 ]
 
 
@@ -171,10 +171,10 @@ def trajectory(path, cascade=CASCADE, steps=STEPS, model=True):
         con.execute("INSERT INTO trajectory_meta VALUES ('t', ?)", (cascade,))
     con.execute("INSERT INTO trajectory_metadata_blob VALUES ('main', ?)", (field(1, "file:///home/me/work"),))
     con.executemany("INSERT INTO steps VALUES (?, ?, 3, ?, ?)", steps)
-    con.execute("INSERT INTO gen_metadata VALUES (0, ?, 1)", (field(1, field(19, "gemini-3-flash-a") + field(2, 1)) if model else field(2, b"\x08\x01"),))
+    con.execute("INSERT INTO gen_metadata VALUES (0, ?, 1)", (field(1, field(19, "gemini-4-mini-b") + field(2, 1)) if model else field(2, b"\x08\x01"),))
     if model == "executor":
         con.execute("CREATE TABLE executor_metadata (idx INT, data BLOB)")
-        con.execute("INSERT INTO executor_metadata VALUES (0, ?)", (field(10, field(1, field(28, "gemini-3.5-flash-low") + field(3, 1))),))
+        con.execute("INSERT INTO executor_metadata VALUES (0, ?)", (field(10, field(1, field(28, "gemini-4.2-pro-fast") + field(3, 1))),))
     con.commit()
     con.close()
 
@@ -185,7 +185,7 @@ def antigravity(spark, tmp_path_factory):
     trajectory(root / f"{CASCADE}.db")
     trajectory(root / "named.db", cascade="", steps=[], model="executor")
     trajectory(root / "late.db", cascade="late", steps=[(1, 14, None, field(19, field(2, "no time yet"))), (2, 15, at(9), field(20, field(1, "now")))], model=False)
-    (root / "decoy.txt").write_text("not a db")
+    (root / "notes.md").write_text("# nothing here")
     (root / "empty.db").write_bytes(b"")
     return sq.antigravity(spark, str(root))
 
@@ -194,15 +194,15 @@ def test_antigravity_sessions(antigravity):
     s = {r["id"]: r for r in antigravity.sessions.collect()}
     assert s.keys() == {CASCADE, "named", "late"}
     r = s[CASCADE]
-    assert (r["agent"], r["project_path"], r["model"], r["first_prompt"]) == ("antigravity", "/home/me/work", "gemini-3-flash-a", "olá, look at this")
-    assert (r["started_at"], r["last_activity_at"]) == (datetime(2026, 6, 2, 17, 37, 14, 214557), datetime(2026, 6, 2, 17, 37, 20, 214557))
-    assert s["named"]["model"] == "gemini-3.5-flash-low" and s["named"]["started_at"] is not None and s["late"]["model"] is None
+    assert (r["agent"], r["project_path"], r["model"], r["first_prompt"]) == ("antigravity", "/home/me/work", "gemini-4-mini-b", "schau dir das an")
+    assert (r["started_at"], r["last_activity_at"]) == (datetime(2027, 1, 29, 14, 56, 7, 640250), datetime(2027, 1, 29, 14, 56, 13, 640250))
+    assert s["named"]["model"] == "gemini-4.2-pro-fast" and s["named"]["started_at"] is not None and s["late"]["model"] is None
 
 
 def test_antigravity_turns(antigravity):
     turns = [(r["role"], r["tool_name"], r["content"], r["ts"].second) for r in antigravity.turns.where(f"session_id = '{CASCADE}'").orderBy("seq").collect()]
-    assert [t[:2] for t in turns] == [("user", None), ("assistant", None), ("tool", "view_file"), ("tool", "run_command"), ("tool", "list_permissions"), ("assistant", None)]
-    assert turns[5][2] == "something that went wrong at length" and turns[2][2].startswith('{"AbsolutePath"')
+    assert [t[:2] for t in turns] == [("user", None), ("assistant", None), ("tool", "grep_search"), ("tool", "open_url"), ("tool", "multi-edit"), ("assistant", None)]
+    assert turns[5][2] == "the last command gave no output at all" and turns[2][2].startswith('{"Query"')
     # a step without a time has that of the step before it
     assert [t[3] - turns[0][3] for t in turns] == [0, 1, 1, 4, 4, 5]
     late = {r["content"]: r["ts"] for r in antigravity.turns.where("session_id = 'late'").collect()}
@@ -211,5 +211,5 @@ def test_antigravity_turns(antigravity):
 
 def test_antigravity_usage_and_tools(antigravity):
     (u,) = antigravity.usage.collect()
-    assert (u["session_id"], u["input_tokens"], u["output_tokens"], u["total_tokens"], u["cache_read_tokens"], u["cache_creation_tokens"]) == (CASCADE, 155, 22, 177, 40, 5)
-    assert {(r["name"], r["count"]) for r in antigravity.tools.collect()} == {("view_file", 1), ("run_command", 1), ("list_permissions", 1)}
+    assert (u["session_id"], u["input_tokens"], u["output_tokens"], u["total_tokens"], u["cache_read_tokens"], u["cache_creation_tokens"]) == (CASCADE, 407, 67, 474, 71, 9)
+    assert {(r["name"], r["count"]) for r in antigravity.tools.collect()} == {("grep_search", 1), ("open_url", 1), ("multi-edit", 1)}
