@@ -2,8 +2,8 @@
 
 The sets differ greatly in size, an item's few shingles and a long document's many, so that their resemblance says
 nothing; the sketch is one of containment: the MinHash values of the item alone, its smallest shingle hashes, looked up in each
-document. Items are partitioned by size, their number of distinct shingles, from each power of two to the next; a partition's sketch has
-`sketch_size` hashes. A document that holds the threshold's share of an item lacks so few shingles that one of the sketch is surely
+document. Items are partitioned by size, their number of distinct shingles, from each power of two to the next; `sketch_size` says how many hashes a partition's
+sketches have. Shingles that many items share, such as a common preamble, come last: they would have every document that has them asked for all these items. A document that holds the threshold's share of an item lacks so few shingles that one of the sketch is surely
 met, or, in partitions of large items, is met but for a probability of MISS. Documents are asked only for items
 of partitions that their own number of shingles can hold. A pass over all texts finds which documents meet which sketches; these
 documents alone are read again, and the shingles themselves decide on these items alone.
@@ -16,26 +16,30 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import build_bloom, drop_keys, ensure_checkpoint_dir, release_memory, table, utf8
 
 WORDS = 5
 THRESHOLD = 0.8
+COMMON = 8  # items of different texts that may have a shingle before it counts as a common one
 MISS = 1e-9  # probability that a document that holds an item at the threshold meets none of its sketch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch_size(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Hashes in the sketch of an item of n distinct shingles: of its size partition's largest item.
+def sketch_size(total: Column, rare: Column, threshold: float = THRESHOLD, miss: float = MISS) -> Column:
+    """Hashes in the sketch of an item of `total` distinct shingles, `rare` of them in COMMON items at most, where those come first.
 
-    Whoever holds the threshold's share of N shingles lacks N - ceil(threshold N) at most: one hash more suffices.
-    k random hashes are all among those with probability (1 - threshold)^k at most.
+    Whoever holds the threshold's share of N shingles lacks N - ceil(threshold N) at most, N being the largest of the size partition: one hash more
+    suffices, whichever they are. What is lacking is (1 - threshold) total / rare of the rare ones at most, so k of these, taken at random, are all lacking with that
+    share's k-th power as probability at most.
     """
-    largest = (1 << n.bit_length()) - 1
-    lacks = largest - math.ceil(threshold * largest - 1e-9)
-    return min(n, lacks + 1, max(1, math.ceil(math.log(miss) / math.log(1 - threshold))) if threshold < 1 else 1)
+    largest = F.pow(F.lit(2), F.length(F.bin(total))) - 1
+    lacks = largest - F.ceil(largest * threshold - 1e-9)
+    share = F.try_divide(total * (1 - threshold), rare)
+    enough = F.when(share <= 0, 1).when(share < 1, F.greatest(F.lit(1), F.ceil(math.log(miss) / F.ln(share))))
+    return F.least(lacks + 1, enough)
 
 
 def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -56,22 +60,27 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 
     item: hash of id and text; n: number of words of a shingle, `words` or all the words of a shorter item.
     """
+    ensure_checkpoint_dir(items.sparkSession)
     kind = dict(items.dtypes)[id_col]
 
     def run(batches):
         for pdf in batches:
             out = []
-            for i, j, t in zip(pdf["item"].tolist(), pdf["item_id"].tolist(), utf8(pdf["text"]), strict=True):
+            for i, j, x, t in zip(pdf["item"].tolist(), pdf["item_id"].tolist(), pdf["body"].tolist(), utf8(pdf["text"]), strict=True):
                 w = t.lower().split()
                 n = min(len(w), words)
                 h = _run_hashes(_word_hashes(w), n) if n else ()
                 found = {b" ".join(w[k : k + n]): x for k, x in enumerate(h)}
-                sketch = set(sorted(set(found.values()))[: sketch_size(len(found), threshold)]) if found else ()
-                out += [(i, j, n, s, int(x.view(np.int64)), x in sketch, len(found)) for s, x in found.items()]
-            yield pd.DataFrame(out, columns=["item", "item_id", "n", "run", "h", "sketched", "total"])
-
-    rows = items.select(F.xxhash64(id_col, text_col).alias("item"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).dropDuplicates(["item", "item_id"])
-    return rows.mapInPandas(run, f"item long, item_id {kind}, n int, run binary, h long, sketched boolean, total int")
+                out += [(i, j, x, n, s, int(v.view(np.int64)), len(found)) for s, v in found.items()]
+            yield pd.DataFrame(out, columns=["item", "item_id", "body", "n", "run", "h", "total"])
+
+    rows = items.select(F.xxhash64(id_col, text_col).alias("item"), F.col(id_col).alias("item_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).dropDuplicates(["item", "item_id"])
+    rows = rows.mapInPandas(run, f"item long, item_id {kind}, body long, n int, run binary, h long, total int").checkpoint()
+    many = rows.select("n", "h", "body").distinct().groupBy("n", "h").agg(F.count("*").alias("_items")).where(F.col("_items") > COMMON)
+    rows = rows.join(many, ["n", "h"], "left").na.fill(0, ["_items"])
+    own = Window.partitionBy("item", "item_id")
+    rare, place = F.count_if(F.col("_items") == 0).over(own), F.row_number().over(own.orderBy("_items", "h"))
+    return rows.select("item", "item_id", "n", "run", "h", (place <= sketch_size(F.col("total"), rare, threshold)).alias("sketched"), "total")
 
 
 def _text_runs(bloom, lengths: list[int], whole: bool, of=None):

@@ -257,6 +257,21 @@ def test_sketches_miss_nothing(spark, rng):
     assert sizes[1] == 1 and sizes[7] == 2 and sizes[33] == 13 and sizes[600] == 13
 
 
+def test_common_shingles_ask_for_nothing(spark, rng):
+    """A preamble that all items share makes no candidates of the documents that have it; items and documents that hold one are found all the same, copies of an item too."""
+    preamble = "answer the following question with care and"
+    body = lambda j, n: " ".join(f"b{j}x{k}" for k in range(n))
+    items = [(j, f"{preamble} {body(j, 20 + j % 40)}") for j in range(300)] + [(1000 + j, preamble) for j in range(3)]
+    docs = [(i, f"{prose(rng, 20)} {preamble} {prose(rng, 20)}") for i in range(300)] + [(500 + j, f"{preamble} {body(j, 20 + j % 40)} end") for j in range(0, 300, 30)]
+    docs += [(900 + j, f"so {body(j, 20 + j % 40)} end") for j in (39, 79)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shingles = decontam.item_shingles(i).checkpoint()
+    found = decontam.candidates(d.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), shingles).collect()
+    want = plain_containment(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in found} >= want.keys() and len(found) < 1000 + len(want)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contained(d, i).collect()} == want.keys() and len(want) > 900
+
+
 def test_containment_odd(spark, odd_docs, no_docs, odd_rows):
     items = spark.createDataFrame([(1, odd_rows[0][1]), (1, odd_rows[0][1]), (None, "no id here at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contained(odd_docs, items).collect()}
