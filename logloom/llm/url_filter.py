@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, table
+from .common import quoted, stored, table
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -81,6 +81,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     a shuffled one that AQE splits where one URL holds many rows.
     """
     keys = listed.select(canonical_url(url_host(quoted(listed_url_col)), url_path(quoted(listed_url_col))).alias("_listed")).where("_listed is not null").distinct()
+    keys = stored(keys)  # counted, and read by filter and join
     if blocks is None:
         blocks = bloom_blocks(keys.count())
     block, bits = _bloom_address("_key", blocks)
