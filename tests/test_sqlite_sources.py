@@ -52,13 +52,13 @@ def test_readable(b, want):
 def test_tool_calls():
     pair = field(1, "grep_search") + field(2, '{"Query":"todo","toolAction":"Searching"}')
     assert sq.tool_call(field(7, pair + field(3, 1))) == ("grep_search", '{"Query":"todo","toolAction":"Searching"}')
-    assert sq.tool_call(field(1, "open_url") + field(2, '{"toolAction":"Opening"}'))[0] == "open_url"
+    assert sq.tool_call(field(1, "find_files") + field(2, '{"toolAction":"Opening"}'))[0] == "find_files"
     assert sq.tool_call(field(1, "only some prose")) == (None, None)
     assert sq.first_text(field(1, '{"toolAction":"Searching all of it"}') + field(2, "The build broke on the second try")) == "The build broke on the second try"
     assert sq.first_text(field(1, "brief")) is None
 
 
-@pytest.mark.parametrize("s, want", [(x, True) for x in ("grep_search", "open_url", "multi-edit", "planner")] + [(x, False) for x in ("", "2027", "src/main", "two words", "naïve", "y" * 65)])
+@pytest.mark.parametrize("s, want", [(x, True) for x in ("grep_search", "find_files", "multi-edit", "planner")] + [(x, False) for x in ("", "2027", "src/main", "two words", "naïve", "y" * 65)])
 def test_names(s, want):
     assert bool(sq._NAME.match(s)) == want
 
@@ -156,7 +156,7 @@ def tool(name, args):
 
 STEPS = [
     (0, 14, at(0), field(19, field(2, "schau dir das an"))), (1, 15, at(1, {2: 310, 3: 64, 4: 9, 5: 71}), field(20, field(1, "Reading it now"))),
-    (2, 8, b"", tool("grep_search", '{"Query":"deadline","toolAction":"Searching"}')), (3, 15, at(3), None), (4, 21, at(4, {2: 17, 3: 3}), tool("open_url", '{"Url":"https://example.org/a","toolAction":"Opening"}')),
+    (2, 8, b"", tool("grep_search", '{"Query":"deadline","toolAction":"Searching"}')), (3, 15, at(3), None), (4, 21, at(4, {2: 17, 3: 3}), tool("find_files", '{"Pattern":"*.toml","toolAction":"Listing files"}')),
     (5, 132, None, tool("multi-edit", '{"toolAction":"Editing"}')), (6, 17, at(5), field(3, field(1, 1) + field(2, "the last command gave no output at all"))), (7, 14, at(5), field(19, field(2, "and another thing"))), (8, 23, at(6), None),
 ]
 
@@ -201,7 +201,7 @@ def test_antigravity_sessions(antigravity):
 
 def test_antigravity_turns(antigravity):
     turns = [(r["role"], r["tool_name"], r["content"], r["ts"].second) for r in antigravity.turns.where(f"session_id = '{CASCADE}'").orderBy("seq").collect()]
-    assert [t[:2] for t in turns] == [("user", None), ("assistant", None), ("tool", "grep_search"), ("tool", "open_url"), ("tool", "multi-edit"), ("assistant", None)]
+    assert [t[:2] for t in turns] == [("user", None), ("assistant", None), ("tool", "grep_search"), ("tool", "find_files"), ("tool", "multi-edit"), ("assistant", None)]
     assert turns[5][2] == "the last command gave no output at all" and turns[2][2].startswith('{"Query"')
     # a step without a time has that of the step before it
     assert [t[3] - turns[0][3] for t in turns] == [0, 1, 1, 4, 4, 5]
@@ -212,4 +212,4 @@ def test_antigravity_turns(antigravity):
 def test_antigravity_usage_and_tools(antigravity):
     (u,) = antigravity.usage.collect()
     assert (u["session_id"], u["input_tokens"], u["output_tokens"], u["total_tokens"], u["cache_read_tokens"], u["cache_creation_tokens"]) == (CASCADE, 407, 67, 474, 71, 9)
-    assert {(r["name"], r["count"]) for r in antigravity.tools.collect()} == {("grep_search", 1), ("open_url", 1), ("multi-edit", 1)}
+    assert {(r["name"], r["count"]) for r in antigravity.tools.collect()} == {("grep_search", 1), ("find_files", 1), ("multi-edit", 1)}
