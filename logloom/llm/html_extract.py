@@ -24,7 +24,9 @@ from .common import quoted, stored, table
 
 #: Labelled pages that the potentials are trained on: at most so many, those of the smallest hashes of their ids.
 SAMPLE = 2000
-ROUNDS = 16  # steps of training
+ROUNDS = 16  # steps of training, at most
+SETTLED = 3  # steps one after the other that leave no block of the sample on the wrong side, after which training ends
+WRONG = ""  # beside the features in a gradient: the blocks on the wrong side
 SUPPORT = 5  # pages of the sample that must have a feature
 
 #: Fixed values of HTML.
@@ -332,7 +334,7 @@ def _labelled(batches):
 
 
 def gradient(weights: dict[str, float], pages) -> dict[str, float]:
-    """For each weight, what the labels have less what the marginals expect, summed over pages."""
+    """For each weight, what the labels have less what the marginals expect, summed over pages; under WRONG the blocks whose marginals contradict their labels."""
     total: dict[str, float] = {}
     edges = {k: tuple(weights[f"{k}:{y}"] for y in _TIES) for k in PRIOR_EDGES}
     none = (0.0,) * 4
@@ -347,6 +349,8 @@ def gradient(weights: dict[str, float], pages) -> dict[str, float]:
         out, low, rest = messages(own, parents, ties)
         for i, (x, y) in enumerate(zip(names, ys, strict=True)):
             p = _probability(out[i])
+            if (p > 0.5) != y:
+                total[WRONG] = total.get(WRONG, 0.0) + 1
             for f in x:
                 if f in weights:
                     add(f, y, p)
@@ -361,7 +365,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     """Potentials of the greatest likelihood, with a prior of the weight of PRIOR_COUNTS observations, on at most `sample` labelled pages.
 
     The sample is of pages with an id, a page each. Pages whose mark-up labels nothing add nothing; without labelled pages the prior stands.
-    Each round is one pass over the sample's parsed pages; what comes to the driver is two sums for each feature that SUPPORT pages of the sample have.
+    Each round is one pass over the sample's parsed pages, and the last is the third one after the other that found all of its blocks on the right side; what comes to the driver is two sums for each feature that SUPPORT pages of the sample have.
     """
     ids = pages.select(quoted(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = pages.select(quoted(id_col).alias("_id"), quoted(html_col).alias("html")).join(F.broadcast(ids), "_id")
@@ -371,6 +375,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     known = known.groupBy("f").count().where(F.col("count") >= SUPPORT).select("f").toArrow()["f"].to_pylist()
     mean = {f: 0.0 for f in known} | prior()
     weights, steps, last = dict(mean), dict.fromkeys(mean, 0.25), dict.fromkeys(mean, 0.0)
+    right = 0
     for _ in range(rounds if known else 0):
         shared = parsed.sparkSession.sparkContext.broadcast(weights)
 
@@ -389,6 +394,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
             weights[f] = w + steps[f] * float(np.sign(last[f]))
         weights = dict(weights)
         shared.unpersist()
+        right = 0 if got.get(WRONG) else right + 1
+        if right == SETTLED:
+            break
     return Model(weights)
 
 
