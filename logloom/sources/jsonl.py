@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import TOKENS, Tables
+from ..shared import shared_folder
 
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 BLOCKS = "array<struct<type:string,text:string,thinking:string,name:string,id:string,tool_use_id:string,content:variant>>"
@@ -31,11 +32,8 @@ def files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df made once for all that is made of it: in the cluster's checkpoint folder where it has one, else kept by the executors."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df made once for all that is made of it, in the folder that driver and executors share; kept by the executors where a cluster names none."""
+    return df.checkpoint() if shared_folder(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def parsed(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:

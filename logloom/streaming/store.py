@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DEVICES, KINDS, LEDGER, SESSIONS, TOOLS, TURNS, USAGE, Tables
+from ..shared import shared_folder
 
 #: Table, its columns, the column by which it is dealt.
 SCHEMAS = {
@@ -63,13 +63,11 @@ class Files:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path that driver and executors share, in the cluster's checkpoint folder; a folder of this machine only in local mode, where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="logloom-")
-    return f"{top.rstrip('/')}/logloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    top = shared_folder(spark)
+    if top is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{top}/logloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 class Store:
