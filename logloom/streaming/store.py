@@ -132,7 +132,8 @@ class Store:
             return self.spark.createDataFrame([], f"{columns}, batch string")
         n = self.buckets()
         table = f"logloom_{hashlib.sha256(f'{self.path} {n}'.encode()).hexdigest()[:24]}_{name}"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, batch STRING) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({by}) INTO {n} BUCKETS LOCATION '{self.path}/{name}'")
+        place = f"{self.path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, batch STRING) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({by}) INTO {n} BUCKETS LOCATION '{place}'")
         known = {r[0] for r in self.spark.sql(f"SHOW PARTITIONS {table}").collect()}
         there = self.files.names(name)  # a table of which a batch has no rows has no folder for it
         new = [b for b in batches if f"batch={b}" not in known and f"batch={b}" in there]

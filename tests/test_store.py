@@ -99,7 +99,7 @@ def test_writers_at_once(spark, tmp_path):
 
 def test_reading_shuffles_nothing(spark, tmp_path):
     """Buckets bring a session's rows of all batches together: no exchange of turns, sessions or their children."""
-    path = str(tmp_path / "store")
+    path = str(tmp_path / "the user's store")
     for part in (FIRST, THEN):
         Store(spark, path, buckets=3).append(tables(spark, part))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
