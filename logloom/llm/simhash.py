@@ -226,18 +226,32 @@ def similar_texts(docs: DataFrame, texts: DataFrame, words: int, radius: int, si
     return members.join(sets, "key").groupBy("band", "value", "x", "y").applyInPandas(links, "a long, b long")
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _told_apart(df: DataFrame, twice: DataFrame) -> DataFrame:
+    """df (key, also) with keys of their own for texts that meet another one's key. twice: (key, low), such keys and the second hash of which of their texts keeps it."""
+    met = df.join(twice.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
+    return met.withColumn("key", F.when(F.col("also") != F.col("low"), F.xxhash64("key", "also")).otherwise(F.col("key"))).select(*df.columns)
+
+
 def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float) -> DataFrame:
-    key = F.xxhash64(F.col(text_col))
-    rows = docs.select(quoted(id_col).alias("id"), key.alias("key"), quoted(text_col).alias("text"))
+    """A text goes by a hash of 64 bits; a second one tells unlike texts of the same hash apart."""
+    text = quoted(text_col)
+    rows = docs.select(quoted(id_col).alias("id"), text_key(text).alias("key"), F.xxhash64(F.lit(1), text).alias("also"), text.alias("text"))
 
     def marks(batches):
         release_memory()
         for pdf in batches:
             h = [_shingle_hashes(t, words) for t in utf8(pdf["text"])]
             fp = np.array([_majority(x) for x in h], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "fp": fp, "n": [len(x) for x in h], "bands": list(band_values(h))})
+            yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "also": pdf["also"], "fp": fp, "n": [len(x) for x in h], "bands": list(band_values(h))})
 
-    marked = rows.mapInPandas(marks, f"id {dict(rows.dtypes)['id']}, key long, fp long, n long, bands array<long>").checkpoint()  # about 220 bytes a row
+    marked = rows.mapInPandas(marks, f"id {dict(rows.dtypes)['id']}, key long, also long, fp long, n long, bands array<long>").checkpoint()  # about 230 bytes a row
+    twice = marked.groupBy("key").agg(F.min("also").alias("low"), F.max("also").alias("high")).where("low <> high").select("key", "low").checkpoint()
+    if twice.limit(1).count():  # of ten thousand million texts two or three pairs
+        rows, marked = _told_apart(rows, twice), _told_apart(marked, twice).checkpoint()
     texts = marked.select("key", "fp", "n", "bands").dropDuplicates(["key"]).checkpoint()
     parts = connected_components(similar_texts(rows.select("key", "text"), texts, words, radius, similarity)).withColumnRenamed("node", "key")
     found = marked.select("id", "key", "fp").join(parts, "key", "left").select("id", "fp", F.coalesce("component", "key").alias("component")).checkpoint()

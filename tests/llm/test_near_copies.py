@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import simhash
 
@@ -26,10 +27,12 @@ def test_near_copies_are_dropped(spark):
     assert len(alike) > 50 and kept == set(texts) - alike
 
 
-@pytest.mark.parametrize("tile", [300, 2_000_000])
-def test_similar_groups_in_tiles(spark, monkeypatch, tile):
-    """Chains, exact copies and buckets that are cut in tiles give the components of all similar pairs."""
+@pytest.mark.parametrize("tile, keys", [(300, None), (2_000_000, None), (2_000_000, 7)])
+def test_similar_groups_in_tiles(spark, monkeypatch, tile, keys):
+    """Chains, exact copies and buckets that are cut in tiles give the components of all similar pairs, and so do texts most of which have another one's hash."""
     monkeypatch.setattr(simhash, "_SETS", tile)
+    if keys:
+        monkeypatch.setattr(simhash, "text_key", lambda text: F.pmod(F.xxhash64(text), F.lit(keys)).cast("long"))
     r = random.Random(5)
     texts = []
     for _ in range(6):
