@@ -1,0 +1,48 @@
+"""Importers by agent, those that are there and one that is added."""
+
+import json
+
+import pytest
+
+from logloom.schema import AGENTS
+from logloom.sources import importers, jsonl
+
+U = "44444444-4444-4444-4444-444444444444"
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "own" / "p").mkdir(parents=True)
+    said = {"type": "user", "sessionId": U, "timestamp": "2026-05-01T10:00:00Z", "message": {"content": "what is new"}}
+    (tmp_path / "own" / "p" / f"{U}.jsonl").write_text(json.dumps(said) + "\n")
+    (tmp_path / "own" / "p" / "notes.md").write_text("no history")
+    return tmp_path
+
+
+def test_every_agent_has_an_importer():
+    assert set(importers.agents()) >= set(AGENTS)
+    with pytest.raises(ValueError, match="no importer for nobody"):
+        importers.of("nobody")
+    with pytest.raises(ValueError, match="has an importer"):
+        importers.register("codex", jsonl.codex, "*")
+    with pytest.raises(ValueError, match="without an agent"):
+        importers.register(" ", jsonl.codex, "*")
+
+
+def test_the_registry_reads_what_the_importer_reads(spark, folder, monkeypatch):
+    monkeypatch.setattr(importers, "_KNOWN", dict(importers._KNOWN))
+    want = jsonl.claude_code(spark, str(folder / "own")).sessions.collect()
+    got = importers.read(spark, {"claude-code": [("default", str(folder / "own"))]})
+    assert got.sessions.collect() == want and want[0]["first_prompt"] == "what is new"
+    # another agent, whose histories have the same form
+    importers.register("other", lambda spark, path, profile="default": jsonl.claude_code(spark, path, profile), "*.jsonl")
+    both = importers.read(spark, {"claude-code": [("default", str(folder / "own"))], "other": [("work", str(folder / "own"))]})
+    assert sorted(r["profile"] for r in both.sessions.collect()) == ["default", "work"] and both.turns.count() == 2
+    with pytest.raises(ValueError, match="no folders"):
+        importers.read(spark, {})
+
+
+def test_files_of_agents(spark, folder):
+    got = importers.files(spark, {"claude-code": [("default", str(folder / "own"))], "cursor": [("work", str(folder / "own"))]}).collect()
+    assert [(r["agent"], r["profile"], r["file"]) for r in got] == [("claude-code", "default", f"file://{folder}/own/p/{U}.jsonl")]
+    assert got[0]["raw_hash"] == jsonl.raw_facts(spark, str(folder), "*.jsonl").first()["raw_hash"] and importers.files(spark, {}).count() == 0
