@@ -27,6 +27,15 @@ def _ledger(files: DataFrame, version: int) -> DataFrame:
     return files.select(F.col("file").alias("session_id"), "raw_hash", F.lit(version).alias("projection_version"))
 
 
+def append_ledger(files: DataFrame, path: str, version: int = PROJECTION_VERSION) -> str:
+    """A batch of files (file, raw_hash) that are known and gave nothing: what is skipped by rule is not read again."""
+    s = Store(files.sparkSession, path)
+    batch = s.next_batch()
+    s.write(batch, "ledger", _ledger(files, version))
+    s.commit(batch)
+    return batch
+
+
 def append(t: Tables, path: str) -> str:
     """The tables as a batch of the store; its id. It counts wholly, or not at all where the writer died before its end."""
     return Store(t.sessions.sparkSession, path).append(t, ledger=t.ledger)

@@ -177,7 +177,7 @@ def test_bundle(spark, tmp_path):
 
 def test_tallies(spark, tables, tmp_path):
     files = spark.createDataFrame([("/raw/a.jsonl", "h1"), ("/raw/b.jsonl", "h2"), ("/raw/z.jsonl", "h3")], "file string, raw_hash string")
-    ingest.append_ledger(files.limit(1), str(tmp_path / "s"), 0)
+    ingest.append_ledger(files.limit(1), str(tmp_path / "s"))
     got = {r["outcome"]: r["files"] for r in ingest.tallies(files, str(tmp_path / "s"), tables).collect()}
     assert got == {"unchanged": 1, "imported": 1, "skipped": 1}
 
